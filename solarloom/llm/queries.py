@@ -9,6 +9,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_quality_rules(spark, sf_dir):
+    from .quality import BASE, quality_rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, _table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op3_quotation_linking(spark, sf_dir):
+    from .quotations import link_quotations
+
+    return link_quotations(_table(spark, sf_dir, "conversations")).drop("text")
+
+
+def op4_language_profiles(spark, sf_dir):
+    from .languages import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    from .contamination import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_url_rules(spark, sf_dir):
+    from .url_rules import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_tokens
+
+    return pack_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_suffix_array_dedup(spark, sf_dir):
     from .suffix_arrays import suffix_array_dedup
 
@@ -23,6 +70,12 @@ def op9_substring_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_simhash(spark, sf_dir):
+    from .simhash import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
