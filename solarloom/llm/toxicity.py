@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from .common import mix, row_chunks, text_buffer
 from .contamination import lowered_words
 
-BITS = 20
+BITS = 22
 #: Labelled rows that a model learns from at most, and rows of a shard.
-SAMPLE, SHARD = 12_000, 4_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 0.5, 4
+SAMPLE, SHARD = 12_000, 12_000
+ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.5, 4
+#: L1 grows with the shard, from 1 to 10: one for each thousand rows.
+L1_ROWS, L1_MOST = 1_000, 10.0
+#: Rows that a feature has to occur in to be learned.
+LEAST_ROWS = 3
 
 
 def grams(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,18 +42,28 @@ def presence(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """Dense weights (last: the intercept) after EPOCHS passes: per-coordinate
-    rates from the squared gradients, L1 that keeps weak coordinates at 0."""
+    rates from the squared gradients, L1 that keeps weak coordinates at 0. The
+    rarer class weighs more, by the root of the classes' ratio."""
+    l1 = min(L1_MOST, max(1.0, len(samples) / L1_ROWS))
+    often = np.zeros(1 << BITS, np.int32)
+    for features, _ in samples:
+        often[features] += 1
+    samples = [(features[often[features] >= LEAST_ROWS], label) for features, label in samples]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i):
-        shrunk = np.sign(z[i]) * L1 - z[i]
-        return np.where(np.abs(z[i]) <= L1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+        shrunk = np.sign(z[i]) * l1 - z[i]
+        return np.where(np.abs(z[i]) <= l1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+
+    toxic = sum(label for _, label in samples)
+    rare = min(4.0, ((len(samples) - toxic) / max(1, toxic)) ** 0.5)
 
     for _ in range(EPOCHS):
         for features, label in samples:
             i = np.append(features, 1 << BITS)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+            g *= rare if label else 1.0
             rate = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - rate * w
             n[i] += g * g
@@ -92,17 +106,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     no label at all every score is 0.5. Empty table: empty result."""
     weights = train(docs, labels, text, key, label)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    at = np.flatnonzero(weights)
+    shared = spark.sparkContext.broadcast((at, weights[at]))
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.expr(f"crc32(cast({key} as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
 
     def run(batches):
-        w = shared.value
+        w = np.zeros((1 << BITS) + 1, np.float32)
+        w[shared.value[0]] = shared.value[1]
+        used = w != 0
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            logit = np.full(batch.num_rows, w[-1])
+            logit = np.full(batch.num_rows, float(w[-1]))
             for lo, hi in row_chunks(offsets):
                 row, feature = grams(*lowered_words(data, offsets[lo : hi + 1]))
-                live = w[feature] != 0
+                live = used[feature]
                 row, feature = presence(row[live], feature[live])
                 logit[lo:hi] += np.bincount(row, w[feature], hi - lo)
             score = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
