@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -53,13 +52,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def held_out():
-    """True for the fifth of the documents that no model learns from."""
-    return F.expr("crc32(cast(doc_id as string)) % 5 = 0")
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of texts of at most ``rows`` rows, so that a worker's
+    memory does not follow the default of ten thousand whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +103,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def row_chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (or one row)."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

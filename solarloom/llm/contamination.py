@@ -1,7 +1,7 @@
 """Benchmark decontamination with suffix arrays of the training text
 (operator 5).
 
-Every task lays its rows out in shards of about a million words and builds a
+Every task lays its rows out in shards of a bounded size and builds a
 word-level suffix array of each; every test suffix of the broadcast benchmark
 block is looked up in it by binary search, which gives all places of its
 window, and the matches are then extended to their longest. The benchmark is
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffer, word_hashes, word_spans
+from .common import bounded_batches, text_buffer, word_hashes, word_spans
 
 #: A benchmark block's text in bytes; a larger benchmark comes in more blocks.
 BLOCK = 8_000_000
-#: Words of a shard, about.
-SHARD = 6_000_000
+#: Bytes of a shard of training text, about.
+SHARD = 1_500_000
 #: Suffixes whose first words open no test suffix can't match and are left out.
 LEAD = 3
 BITS = 21
@@ -187,6 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
     added = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
     spark = docs.sparkSession
+    bounded_batches(spark)
     carried = StructType.fromDDL("n_words long, hit binary, items array<string>, longest long")
     names = [c for c in docs.columns if c not in added.names]
     out = docs.select(*[F.col(f"`{c}`") for c in names])

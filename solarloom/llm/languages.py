@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks, text_buffer
+from .common import bounded_batches, row_chunks, text_buffer
 
 DIMENSIONS = 1024
 #: Letter classes: the gap, and letters by their code point.
@@ -134,6 +134,7 @@ def identify_language(docs: DataFrame, text: str = "text", key: str = "doc_id",
     whole text. ``und`` with score 0: null text, no letter, or nothing learned.
     Null keys are not held out and never learned from. Repeated rows are
     predicted each; ties go to the first language by name."""
+    bounded_batches(docs.sparkSession)
     learned = docs.sparkSession.sparkContext.broadcast(prototypes(docs, text, key, lang))
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.expr(f"crc32(cast({key} as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
 

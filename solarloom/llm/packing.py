@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Word forms whose ids a task remembers.
@@ -159,6 +159,7 @@ def pack_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     may be null. At most one sequence is not full; it is cut at powers of two.
     An empty table gives no piece.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     kind = source.schema["k"].dataType.simpleString()
     names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]

@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BYTE_CODE, covered, discard, materialize, prefix_hash, row_chunks, runs, shuffle_width,
-    span_hash, text_buffer, word_hashes, word_spans,
+    BYTE_CODE, bounded_batches, covered, discard, materialize, prefix_hash, row_chunks, runs, span_hash, text_buffer, word_hashes, word_spans,
 )
 
-PIECE = 1 << 21
-INDEX_BITS = 23
+PIECE = 1 << 19
+INDEX_BITS = 21
 
 
 class Bytes:
@@ -108,7 +107,7 @@ def _pieces(unit, data, offsets, length) -> Iterator[tuple]:
 
 
 def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callable, text: str = "text", key: str = "doc_id",
-                 target: int = 2_000_000, hot: int = 20_000) -> DataFrame:
+                 target: int = 1_000_000, hot: int = 20_000) -> DataFrame:
     """Per row key (``key``, ``th`` = hash of the text) the ranges of window
     starts [from, to) whose window also starts elsewhere in the corpus.
 
@@ -117,7 +116,7 @@ def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callabl
     mask for each. Rows without a repeat are absent. A null text is empty.
     Repeated rows count as copies of each other.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     kind = keyed.schema["k"].dataType.simpleString()
 

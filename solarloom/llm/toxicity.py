@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_chunks, text_buffer
+from .common import bounded_batches, mix, row_chunks, text_buffer
 from .contamination import lowered_words
 
 BITS = 22
@@ -104,6 +104,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     text. Null or empty text: the score of the intercept alone. A null key is
     not held out and never learned from. Repeated rows are scored each; with
     no label at all every score is 0.5. Empty table: empty result."""
+    bounded_batches(docs.sparkSession)
     weights = train(docs, labels, text, key, label)
     spark = docs.sparkSession
     at = np.flatnonzero(weights)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_buffer
+from .common import bounded_batches, text_buffer
 
 #: The rules of the contract, as host and path prefix.
 HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -93,6 +93,7 @@ def filter_urls(pages: DataFrame, url: str = "url", host_rules=None, block_globs
     judged each. Columns named like the added ones are replaced. Empty table:
     empty result.
     """
+    bounded_batches(pages.sparkSession)
     rules = sorted(host_rules or HOST_RULES, key=lambda r: -len(r[0]))
     globs = [g for rule, _ in rules for g in (f"{rule}**", f"*.{rule}**")] + list(BLOCK_GLOBS if block_globs is None else block_globs)
     machine = pages.sparkSession.sparkContext.broadcast(Automaton(globs))
