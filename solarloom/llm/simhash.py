@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_buffer
+from .common import bounded_batches, materialize, text_buffer
 from .components import connected_components
 
 RADIUS = 3
@@ -48,6 +48,7 @@ def fingerprint(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, fp): fp a signed long. Null text has no words."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
 
     def run(batches):
@@ -167,6 +168,8 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest key."""
-    keep = simhash_components(docs, text, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k")).distinct()
-    return docs.join(keep, F.col(key).eqNullSafe(F.col("__k"))).drop("__k").dropDuplicates([key])
+    """One row of each near-duplicate group: that of the smallest key. Rows
+    without a key stay; of repeated rows of one key one stays."""
+    keep = simhash_components(docs, text, key).filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    named = docs.filter(F.col(key).isNotNull()).join(keep, key).select(*docs.columns).dropDuplicates([key])
+    return named.unionByName(docs.filter(F.col(key).isNull()))
