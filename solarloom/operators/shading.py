@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.predicates import half_year, recency, sky_bins
+from ..plans.lineage import cut
 from .aggregate import weighted_quantile
 
 
@@ -48,24 +49,26 @@ def worst_sectors(cells: DataFrame, k: int = 12) -> DataFrame:
 def joint_fit(rows: DataFrame, rounds: int = 3) -> DataFrame:
     """Differential fit of strings seen together (ITR-03): rounds of a common
     moment per epoch, a level per string and a shade per cell. Every step is
-    a grouped aggregate; the rounds are few and fixed."""
+    a grouped aggregate; the rounds are few and fixed, and each cuts the
+    lineage."""
     shared = rows.groupBy("ts_utc").agg(F.countDistinct("string_id").alias("c")).filter("c >= 2").select("ts_utc")
     seen = rows.join(shared, "ts_utc")
     enough = seen.groupBy("string_id").agg(F.countDistinct("ts_utc").alias("e")).filter("e >= 50").select("string_id")
-    seen = seen.join(enough, "string_id")
+    seen = cut(seen.join(enough, "string_id"))
     keys = ["string_id", "az_bin", "el_bin"]
     level = seen.groupBy("string_id").agg((F.sum(F.col("logr") * F.col("w")) / F.sum("w")).alias("level"))
     shade = seen.select(*keys).distinct().withColumn("shade", F.lit(0.0))
     for _ in range(rounds):
         now = seen.join(level, "string_id").join(shade, keys)
         moment = now.groupBy("ts_utc").agg((F.sum(F.col("w") * (F.col("logr") - F.col("level") - F.col("shade"))) / F.sum("w")).alias("tau"))
-        tied = now.drop("level").join(moment, "ts_utc")
+        tied = cut(now.drop("level").join(moment, "ts_utc"))
         level = tied.groupBy("string_id").agg((F.sum(F.col("w") * (F.col("logr") - F.col("shade") - F.col("tau"))) / F.sum("w")).alias("level"))
         left = tied.join(level, "string_id").withColumn("left", F.col("logr") - F.col("level") - F.col("tau"))
         cell = weighted_quantile(left, keys, "left", "w", 0.5).filter(F.col("total") >= C.CELL_WEIGHT).withColumn("n", F.col("n").cast("double"))
         zero = weighted_quantile(cell.withColumnRenamed("quantile", "q"), ["string_id"], "q", "n", C.REFERENCE_QUANTILE).select("string_id", F.col("quantile").alias("zero"))
         fixed = cell.join(zero, "string_id").select(*keys, F.least(F.col("quantile") - F.col("zero"), F.lit(0.0)).alias("shade"), "n")
-        level = level.join(zero, "string_id").select("string_id", (F.col("level") + F.col("zero")).alias("level"))
+        level = cut(level.join(zero, "string_id").select("string_id", (F.col("level") + F.col("zero")).alias("level")))
+        fixed = cut(fixed)
         shade = fixed.drop("n")
     return fixed.join(level, "string_id")
 
