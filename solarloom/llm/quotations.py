@@ -3,8 +3,8 @@
 Lines that begin with ``>`` are quoted, one level per ``>``; consecutive lines
 of one level are a passage. A message's own passages and the passages that
 others quote are hashed after normalising case and white space; a quotation
-links to the latest earlier message of its conversation with that passage or
-that whole body. Only distinct (conversation, hash, turn) go into the as-of
+links to the latest earlier message of its conversation with that passage,
+that line or that whole body. Only distinct (conversation, hash, turn) go into the as-of
 step, and that is dealt by blocks of turns, so neither a hot conversation nor
 a hot line meets in one task.
 """
@@ -55,12 +55,13 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
     names = base.columns
     rows = _passages(base.withColumn("__c", F.col(conv)).withColumn("__t", F.col(turn).cast("long")), text)
     body = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
-    rows = rows.withColumn("body", F.trim(body)).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     quotes = rows.select("__c", "__t", F.explode("passages").alias("p"))
     own = quotes.filter("p.level = 0").select("__c", "__t", F.col("p.hash").alias("hash"))
+    lines = quotes.filter("p.level = 0").select("__c", "__t", F.explode(F.split("p.body", "\n")).alias("line")).select("__c", "__t", F.sha2(_normal(F.col("line")), 256).alias("hash"))
     whole = rows.filter("body <> ''").select("__c", "__t", F.sha2(_normal(F.col("body")), 256).alias("hash"))
     asked = quotes.filter("p.level > 0").groupBy("__c", "__t", F.col("p.hash").alias("hash")).agg(F.min("p.level").alias("level"))
-    said = own.union(whole).distinct().join(asked.select("__c", "hash").distinct(), ["__c", "hash"], "left_semi")
+    said = own.union(whole).union(lines).distinct().join(asked.select("__c", "hash").distinct(), ["__c", "hash"], "left_semi")
     points = said.select("__c", "hash", "__t", F.lit(None).cast("int").alias("level"), F.col("__t").alias("origin")).union(
         asked.select("__c", "hash", "__t", "level", F.lit(None).cast("long"))).groupBy("__c", "hash", "__t").agg(F.max("level").alias("level"), F.max("origin").alias("origin"))
     points = points.withColumn("block", F.floor(F.col("__t") / TURNS))
