@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, row_chunks, text_buffer
@@ -19,7 +19,7 @@ from .common import bounded_batches, row_chunks, text_buffer
 DIMENSIONS = 1024
 #: Letter classes: the gap, and letters by their code point.
 CLASSES = 64
-#: Rows of each language that its prototype bundles at most.
+#: Keys of each language that its prototype bundles at most.
 SAMPLE = 3_000
 
 
@@ -102,9 +102,19 @@ def prototypes(docs: DataFrame, text: str, key: str, lang: str) -> tuple[list[st
     """Languages and their unit vectors, less what all of them share."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(F.expr("lang is not null and text is not null and crc32(cast(k as string)) % 5 <> 0"))
-    best = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    ids = rows.select("k", "lang").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= SAMPLE).select("k", "lang")
-    chosen = rows.join(ids.distinct(), ["k", "lang"]).select("lang", "text")
+    # How small a key's hash is, on a logarithmic scale of steps of 1/64: as
+    # many buckets at any number of rows, so that a language's cut comes from a
+    # few thousand counts and the texts themselves are only filtered.
+    step = F.floor(-F.log((F.expr("shiftrightunsigned(xxhash64(k), 1)") + 1.0) / 2.0**63) * 64)
+    rows = rows.withColumn("step", step)
+    counts = rows.select("k", "lang", "step").distinct().groupBy("lang", "step").count().toPandas()
+    cuts = []
+    for name, mine in counts.sort_values("step", ascending=False).groupby("lang"):
+        fits = (mine["count"].cumsum() <= SAMPLE).to_numpy().copy()
+        fits[0] = True
+        cuts.append((name, int(mine["step"].to_numpy()[fits].min())))
+    cut = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    chosen = rows.join(F.broadcast(cut), "lang").filter("step >= cut").select("lang", "text")
 
     def count(batches):
         for batch in batches:
