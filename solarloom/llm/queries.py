@@ -80,5 +80,41 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+it AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, CAST(len(ws) - k + 2 AS BIGINT)), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS gram FROM (SELECT *, least(len(ws), 10) AS k FROM it WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dg AS (SELECT doc_id, k, unnest(range(1, CAST(len(ws) - k + 2 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(ws) - k + 2 AS BIGINT)), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS gram FROM d, ks WHERE len(ws) >= k),
+hit AS (SELECT doc_id, dg.k, i, item_id FROM dg JOIN iw ON dg.k = iw.k AND dg.gram = iw.gram),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+OP6_SQL = f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT *, '.' || host AS h, CASE
+  WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host || path, '(?s)^([^/]*spam[^/]*/.*|[^/]*cheap-[^/]*/.*|.*/login[^/]*|.*\\.exe|.*/ads/.*)$') THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+
+OP9_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, CAST(len(ws) - 33 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(ws) - 33 AS BIGINT)), lambda i: md5(array_to_string(ws[i : i + 34], ' ')))) AS h FROM d WHERE len(ws) >= 35),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM w JOIN twice USING (h)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, CAST(len(ws) + 1 AS BIGINT))) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS said FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql():
-    return {}
+    """SQL can't express the learned scores (1, 2, 4), the tokenizer (7) or
+    XXH64 (10); byte windows (8) and the chains of quotations (3) are tested
+    against brute force and literal cases."""
+    return {"op5_decontamination": OP5_SQL, "op6_url_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
