@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import solarloom.publish_queries  # noqa: F401  (registers its queries)
 from solarloom.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
