@@ -7,6 +7,7 @@ BINDING_AT, BINDING_PHYSICS, BATTERY_MARGIN = 0.97, 1.05, 1.10
 EMA_HALF_LIFE, SHRINK_K, EFFECT_CLAMP, TOTAL_CLAMP = 15, 10.0, 0.7, 1.4
 RATIO_LOW, RATIO_HIGH = 0.05, 5.0
 AZ_BIN, EL_BIN, CELL_WEIGHT, CELL_QUANTILE, REFERENCE_QUANTILE, CELL_K = 10, 5, 4.0, 0.80, 0.90, 6.0
+JOINT_EPOCHS, LEGACY_BEAM, SHADE_LOW = 50, 0.5, 0.05
 SEASON_DELTA, SEASON_DAYS = 0.18, 10
 SKY_RECENCY_DAYS, CURVE_RECENCY_DAYS = 730.0, 365.0
 LOAD_BUCKETS = [2, 5, 10, 20, 35, 50, 75, 100]

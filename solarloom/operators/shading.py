@@ -13,18 +13,20 @@ from .aggregate import weighted_quantile
 
 def observations(obs: DataFrame, now: int) -> DataFrame:
     """Usable rows (FLT-16) with their cell, season half, log ratio and aged
-    weight."""
+    weight; beam and physics_w stay where there are any."""
     az, el = sky_bins("azimuth_deg", "elevation_deg")
     good = obs.filter((F.col("elevation_deg") >= 8) & (F.col("ratio") > 0) & (F.col("ratio") <= C.RATIO_HIGH))
     return good.select("ts_utc", "string_id", az.alias("az_bin"), el.alias("el_bin"), half_year("ts_utc").alias("half"), F.log("ratio").alias("logr"),
-                       (F.col("weight") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.SKY_RECENCY_DAYS)).alias("w"))
+                       (F.col("weight") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.SKY_RECENCY_DAYS)).alias("w"),
+                       *[c for c in ("beam", "physics_w") if c in obs.columns])
 
 
-def absolute_fit(rows: DataFrame) -> DataFrame:
+def absolute_fit(rows: DataFrame, evidence: str = "n") -> DataFrame:
     """Cells of each string (CMP-17): the 0.80 weighted quantile of a cell of
-    enough weight, less the 0.90 quantile of all its cells (at most 0)."""
+    enough weight, less the 0.90 quantile of all its cells (at most 0). A cell
+    counts by its rows (``n``) or its weight (``total``)."""
     cell = weighted_quantile(rows, ["string_id", "az_bin", "el_bin"], "logr", "w", C.CELL_QUANTILE).filter(F.col("total") >= C.CELL_WEIGHT)
-    cell = cell.withColumn("n", F.col("n").cast("double"))
+    cell = cell.withColumn("n", F.col(evidence).cast("double"))
     level = weighted_quantile(cell.withColumnRenamed("quantile", "q"), ["string_id"], "q", "n", C.REFERENCE_QUANTILE).select("string_id", F.least("quantile", F.lit(0.0)).alias("level"))
     raw = F.least(F.col("quantile") - F.col("level"), F.lit(0.0))
     return cell.join(level, "string_id").select("string_id", "az_bin", "el_bin", (raw * F.col("n") / (F.col("n") + C.CELL_K)).alias("value"), "n", raw.alias("raw"), "level")
@@ -50,27 +52,62 @@ def joint_fit(rows: DataFrame, rounds: int = 3) -> DataFrame:
     """Differential fit of strings seen together (ITR-03): rounds of a common
     moment per epoch, a level per string and a shade per cell. Every step is
     a grouped aggregate; the rounds are few and fixed, and each cuts the
-    lineage."""
-    shared = rows.groupBy("ts_utc").agg(F.countDistinct("string_id").alias("c")).filter("c >= 2").select("ts_utc")
-    seen = rows.join(shared, "ts_utc")
-    enough = seen.groupBy("string_id").agg(F.countDistinct("ts_utc").alias("e")).filter("e >= 50").select("string_id")
-    seen = cut(seen.join(enough, "string_id"))
+    lineage. A cell without a shade counts as unshaded.
+
+    Strings that share fewer than 50 epochs with others, and all strings if
+    fewer than two are left, get their absolute map. Per cell: shade (log,
+    at most 0), n (its weight), level (log; of the reference cells in an
+    absolute map) and method. Without ``beam`` a row counts as half beam;
+    ``physics_w`` weighs an epoch where all of its rows have it."""
     keys = ["string_id", "az_bin", "el_bin"]
-    level = seen.groupBy("string_id").agg((F.sum(F.col("logr") * F.col("w")) / F.sum("w")).alias("level"))
-    shade = seen.select(*keys).distinct().withColumn("shade", F.lit(0.0))
+    for c in ("beam", "physics_w"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("double"))
+    known = F.col("beam").isNotNull() & ~F.isnan("beam") & (F.abs("beam") < float("inf"))
+    rows = cut(rows.filter("w > 0").select("ts_utc", *keys, "logr", "w", "physics_w", F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "beam"))).alias("known")))
+    rows = rows.withColumn("beam", F.coalesce("known", F.lit(C.LEGACY_BEAM)))
+    shared = rows.groupBy("ts_utc").agg(F.countDistinct("string_id").alias("c")).filter("c >= 2").select("ts_utc")
+    enough = rows.join(shared, "ts_utc").groupBy("string_id").agg(F.countDistinct("ts_utc").alias("e")).filter(F.col("e") >= C.JOINT_EPOCHS).select("string_id")
+    enough = cut(enough)
+    if enough.limit(2).count() < 2:
+        return _absolute(rows)
+    mine = rows.join(enough, "string_id", "left_semi")
+    level = cut(mine.groupBy("string_id").agg((F.sum(F.col("logr") * F.col("w")) / F.sum("w")).alias("level")))
+    epochs = mine.groupBy("ts_utc").agg(F.countDistinct("string_id").alias("c"), F.bool_and(F.col("physics_w").isNotNull()).alias("watts")).filter("c >= 2").drop("c")
+    pull = F.col("w") * F.when(F.col("watts"), F.col("physics_w")).otherwise(1.0)
+    seen = cut(mine.join(epochs, "ts_utc").withColumn("pull", F.when(pull > 0, pull)).drop("watts", "physics_w"))
+    shade = None
     for _ in range(rounds):
-        now = seen.join(level, "string_id").join(shade, keys)
-        moment = now.groupBy("ts_utc").agg((F.sum(F.col("w") * (F.col("logr") - F.col("level") - F.col("shade"))) / F.sum("w")).alias("tau"))
-        tied = cut(now.drop("level").join(moment, "ts_utc"))
-        level = tied.groupBy("string_id").agg((F.sum(F.col("w") * (F.col("logr") - F.col("shade") - F.col("tau"))) / F.sum("w")).alias("level"))
-        left = tied.join(level, "string_id").withColumn("left", F.col("logr") - F.col("level") - F.col("tau"))
-        cell = weighted_quantile(left, keys, "left", "w", 0.5).filter(F.col("total") >= C.CELL_WEIGHT).withColumn("n", F.col("n").cast("double"))
-        zero = weighted_quantile(cell.withColumnRenamed("quantile", "q"), ["string_id"], "q", "n", C.REFERENCE_QUANTILE).select("string_id", F.col("quantile").alias("zero"))
-        fixed = cell.join(zero, "string_id").select(*keys, F.least(F.col("quantile") - F.col("zero"), F.lit(0.0)).alias("shade"), "n")
-        level = cut(level.join(zero, "string_id").select("string_id", (F.col("level") + F.col("zero")).alias("level")))
-        fixed = cut(fixed)
+        now = seen.join(level, "string_id")
+        now = now.withColumn("shade", F.lit(0.0)) if shade is None else now.join(shade, keys, "left")
+        now = now.withColumn("cast", _blended(F.coalesce("shade", F.lit(0.0)), F.col("beam"))).drop("shade")
+        moment = cut(now.groupBy("ts_utc").agg(F.sum(F.col("pull") * (F.col("logr") - F.col("level") - F.col("cast"))).alias("num"), F.sum("pull").alias("den")).filter("den > 0"))
+        centre = moment.agg(F.sum("num") / F.sum("den")).first()[0] or 0.0
+        tied = cut(now.drop("level").join(moment.select("ts_utc", (F.col("num") / F.col("den") - centre).alias("tau")), "ts_utc"))
+        level = tied.groupBy("string_id").agg((F.sum(F.col("w") * (F.col("logr") - F.col("cast") - F.col("tau"))) / F.sum("w")).alias("level"))
+        left = tied.join(level, "string_id").withColumn("left", _clear_day(F.col("logr") - F.col("level") - F.col("tau"), F.coalesce("known", F.lit(1.0))))
+        cell = weighted_quantile(left.withColumn("lit", F.col("w") * F.col("beam")).filter("lit > 0"), keys, "left", "lit", 0.5).filter(F.col("total") >= C.CELL_WEIGHT)
+        cell = cut(cell.select(*keys, F.col("quantile").alias("q"), "total"))
+        zero = weighted_quantile(cell, ["string_id"], "q", "total", C.REFERENCE_QUANTILE).select("string_id", F.col("quantile").alias("zero"))
+        level = cut(level.join(zero, "string_id", "left").select("string_id", (F.col("level") + F.coalesce("zero", F.lit(0.0))).alias("level")))
+        fixed = cut(cell.join(zero, "string_id").select(*keys, F.least(F.col("q") - F.col("zero"), F.lit(0.0)).alias("shade"), F.col("total").alias("n")))
         shade = fixed.drop("n")
-    return fixed.join(level, "string_id")
+    joint = fixed.join(level, "string_id").withColumn("method", F.lit("differential"))
+    return joint.unionByName(_absolute(rows.join(enough, "string_id", "left_anti")))
+
+
+def _absolute(rows: DataFrame) -> DataFrame:
+    return absolute_fit(rows, "total").select("string_id", "az_bin", "el_bin", F.col("raw").alias("shade"), "n", "level", F.lit("absolute").alias("method"))
+
+
+def _blended(shade, beam):
+    """A clear-day shade at partial beam, in log space."""
+    return F.log(F.greatest(1 - beam * (1 - F.exp(shade)), F.lit(C.SHADE_LOW)))
+
+
+def _clear_day(left, beam):
+    """The clear-day shade that what is left at partial beam implies."""
+    return F.log(F.greatest(F.least(1 - (1 - F.exp(left)) / F.greatest(beam, F.lit(1e-6)), F.lit(1.0)), F.lit(C.SHADE_LOW)))
 
 
 def refit_due(counts: DataFrame, before: DataFrame) -> DataFrame:
