@@ -102,15 +102,16 @@ def plant_power(rows: DataFrame, strings: int) -> DataFrame:
     return rows.groupBy("ts_utc").agg(F.when(F.count("power_mean_w") == strings, F.sum("power_mean_w")).alias("power_w"))
 
 
-def bias_observations(issues: DataFrame, measured: DataFrame) -> DataFrame:
+def bias_observations(issues: DataFrame, measured: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """What each issue got wrong (CMP-08): truth is the measured hour, else the
     newest issue within two hours of it; dark hours, analyses and an issue that
-    is its own truth don't count."""
-    by = issues.groupBy("ts_utc").agg(F.max_by("ghi_wm2", F.when((F.col("horizon_h") <= 2) & F.col("ghi_wm2").isNotNull(), F.col("issued_at_utc"))).alias("near"))
-    truth = by.join(measured.select("ts_utc", F.col("ghi").alias("measured")), "ts_utc", "left").select("ts_utc", F.coalesce("measured", "near").alias("truth")).filter("truth > 5")
-    rows = issues.filter("ghi_wm2 is not null and horizon_h >= 0").join(truth, "ts_utc").filter("not (horizon_h <= 2 and truth = ghi_wm2) and ghi_wm2 > 5")
+    is its own truth don't count. ``by``: further keys of the issues, each
+    with a newest issue of its own."""
+    near = issues.groupBy("ts_utc", *by).agg(F.max_by("ghi_wm2", F.when((F.col("horizon_h") <= 2) & F.col("ghi_wm2").isNotNull(), F.col("issued_at_utc"))).alias("near"))
+    truth = near.join(measured.select("ts_utc", F.col("ghi").alias("measured")), "ts_utc", "left").select("ts_utc", *by, F.coalesce("measured", "near").alias("truth")).filter("truth > 5")
+    rows = issues.filter("ghi_wm2 is not null and horizon_h >= 0").join(truth, ["ts_utc", *by]).filter("not (horizon_h <= 2 and truth = ghi_wm2) and ghi_wm2 > 5")
     rows = rows.filter((F.col("truth") / F.col("ghi_wm2")).between(C.RATIO_LOW, C.RATIO_HIGH)).withColumn("residual", F.log(F.col("truth") / F.col("ghi_wm2")))
-    return rows.select("ts_utc", "issued_at_utc", "horizon_h", R.horizon_bucket("horizon_h").alias("bucket"), "truth", "ghi_wm2", "residual", R.bias_weight("truth").alias("weight"))
+    return rows.select("ts_utc", *by, "issued_at_utc", "horizon_h", R.horizon_bucket("horizon_h").alias("bucket"), "truth", "ghi_wm2", "residual", R.bias_weight("truth").alias("weight"))
 
 
 def implausible_hours(rows: DataFrame, kwp: float, least: float = 0.8 * 12) -> DataFrame:

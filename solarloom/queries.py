@@ -203,6 +203,12 @@ def _(spark, d):
     return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin").distinct(), cells))
 
 
+@query("jon15_sky_lookup_whole", SQL["jon15_sky_lookup"].replace("SELECT * FROM fit WHERE (az_bin + el_bin) % 4 <> 0", "SELECT * FROM fit"))
+def _(spark, d):
+    rows = _sky(spark, d)
+    return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin").distinct(), S.absolute_fit(rows)))
+
+
 @query("itr03_joint_fit")
 def _(spark, d):
     return rounded(S.joint_fit(_sky(spark, d)))
