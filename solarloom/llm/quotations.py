@@ -4,9 +4,11 @@ Lines that begin with ``>`` are quoted, one level per ``>``; consecutive lines
 of one level are a passage. A message's own passages and the passages that
 others quote are hashed after normalising case and white space; a quotation
 links to the latest earlier message of its conversation with that passage,
-that line or that whole body. Only distinct (conversation, hash, turn) go into the as-of
-step, and that is dealt by blocks of turns, so neither a hot conversation nor
-a hot line meets in one task.
+that paragraph, that whole body or those lines one after another (blank lines
+don't count). Runs of lines are hashed only where the first line and the number
+of lines are those of a quotation in the conversation. Only distinct
+(conversation, hash, turn) go into the as-of step, and that is dealt by blocks
+of turns, so neither a hot conversation nor a hot line meets in one task.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 TURNS = 1024
+PARAGRAPH = r"\n(?:[ \t\r\f\x0B]*\n)+"
 
 
 def _normal(text):
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _said_lines(text):
+    """The lines that are not blank, normalised."""
+    return F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != "")
+
+
 def _passages(messages: DataFrame, text: str) -> DataFrame:
     """Adds ``passages``: array of (level, body, hash), in order."""
     mark = r"^(?:[ \t]*>)+"
@@ -37,6 +45,17 @@ def _passages(messages: DataFrame, text: str) -> DataFrame:
     return out.withColumn("passages", F.filter(hashed, lambda p: p["said"])).drop("__lines", "__cuts", "__runs")
 
 
+def _runs(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hashes of the runs of ``lines`` that begin and are as long as a wanted
+    one: at most one for each line and each wanted length, however often a
+    quotation is repeated."""
+    each = messages.select("__c", "__t", "__h", F.size("lines").alias("of"), F.posexplode("lines").alias("pos", "line"))
+    starts = each.select("__c", "__t", "__h", "of", "pos", F.sha2("line", 256).alias("first")).join(wanted, ["__c", "first"]).filter("pos + n <= of")
+    at = starts.groupBy("__c", "__t", "__h").agg(F.collect_set(F.struct("pos", "n")).alias("at"))
+    run = F.transform("at", lambda x: F.sha2(F.array_join(F.slice("lines", x["pos"] + 1, x["n"]), " "), 256))
+    return messages.join(at, ["__c", "__t", "__h"]).select("__c", "__t", F.explode(run).alias("hash"))
+
+
 def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """All columns with body (the text without quotations), n_quotes
     (quotation passages), n_linked (those found in an earlier message), levels
@@ -57,11 +76,14 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
     body = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
     rows = rows.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     quotes = rows.select("__c", "__t", F.explode("passages").alias("p"))
-    own = quotes.filter("p.level = 0").select("__c", "__t", F.col("p.hash").alias("hash"))
-    lines = quotes.filter("p.level = 0").select("__c", "__t", F.explode(F.split("p.body", "\n")).alias("line")).select("__c", "__t", F.sha2(_normal(F.col("line")), 256).alias("hash"))
-    whole = rows.filter("body <> ''").select("__c", "__t", F.sha2(_normal(F.col("body")), 256).alias("hash"))
-    asked = quotes.filter("p.level > 0").groupBy("__c", "__t", F.col("p.hash").alias("hash")).agg(F.min("p.level").alias("level"))
-    said = own.union(whole).union(lines).distinct().join(asked.select("__c", "hash").distinct(), ["__c", "hash"], "left_semi")
+    parts = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: F.concat(F.array(p["body"]), F.split(p["body"], "\n"), F.split(p["body"], PARAGRAPH)))
+    own = rows.select("__c", "__t", F.explode(F.array_distinct(F.concat(F.array("body"), F.flatten(parts)))).alias("part"))
+    own = own.select("__c", "__t", _normal(F.col("part")).alias("part")).filter("part <> ''").select("__c", "__t", F.sha2("part", 256).alias("hash"))
+    quoted = quotes.filter("p.level > 0").select("__c", "__t", "p.level", "p.hash", _said_lines(F.col("p.body")).alias("lines"))
+    quoted = materialize(quoted.select("__c", "__t", "level", "hash", F.sha2(F.col("lines")[0], 256).alias("first"), F.size("lines").alias("n")))
+    asked = quoted.groupBy("__c", "__t", "hash").agg(F.min("level").alias("level"))
+    runs = _runs(rows.select("__c", "__t", "__h", _said_lines(F.col("body")).alias("lines")).filter("size(lines) > 1"), quoted.filter("n > 1").select("__c", "first", "n").distinct())
+    said = own.union(runs).distinct().join(asked.select("__c", "hash").distinct(), ["__c", "hash"], "left_semi")
     points = said.select("__c", "hash", "__t", F.lit(None).cast("int").alias("level"), F.col("__t").alias("origin")).union(
         asked.select("__c", "hash", "__t", "level", F.lit(None).cast("long"))).groupBy("__c", "hash", "__t").agg(F.max("level").alias("level"), F.max("origin").alias("origin"))
     points = points.withColumn("block", F.floor(F.col("__t") / TURNS))
@@ -82,13 +104,13 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
         chain = new.drop("moved")
         if not moved:
             break
-    mine = quotes.filter("p.level > 0").select("__c", "__t", F.col("p.hash").alias("hash")).distinct()
+    mine = quoted.select("__c", "__t", "hash").distinct()
     found = mine.join(linked.select("__c", "__t", "hash"), ["__c", "__t", "hash"], "left_semi").groupBy("__c", "__t").agg(F.collect_set("hash").alias("found"))
     info = chain.join(found, ["__c", "__t"], "full")
     out = rows.join(info, ["__c", "__t"], "left")
-    quoted = F.filter("passages", lambda p: p["level"] > 0)
+    passages = F.filter("passages", lambda p: p["level"] > 0)
     return out.select(
-        *[F.col(f"`{c}`") for c in names], "body", F.size(quoted).cast("long").alias("n_quotes"),
-        F.size(F.filter(quoted, lambda p: F.array_contains(F.coalesce("found", F.array().cast("array<string>")), p["hash"]))).cast("long").alias("n_linked"),
-        F.coalesce(F.array_max(F.transform(quoted, lambda p: p["level"])), F.lit(0)).cast("long").alias("levels"),
+        *[F.col(f"`{c}`") for c in names], "body", F.size(passages).cast("long").alias("n_quotes"),
+        F.size(F.filter(passages, lambda p: F.array_contains(F.coalesce("found", F.array().cast("array<string>")), p["hash"]))).cast("long").alias("n_linked"),
+        F.coalesce(F.array_max(F.transform(passages, lambda p: p["level"])), F.lit(0)).cast("long").alias("levels"),
         F.col("parent").alias("parent_turn"), F.coalesce("root", "__t").alias("root_turn"))
