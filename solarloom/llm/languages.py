@@ -24,10 +24,10 @@ SAMPLE = 3_000
 
 
 def letter_classes() -> np.ndarray:
-    """For each code point of the basic plane its letter class; 0: no letter.
-    Upper and lower case fall together."""
-    table = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
+    """For each code point its letter class; 0: no letter. Upper and
+    lower case fall together."""
+    table = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
             low = ord(chr(c).lower()[0])
             table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 40503 >> 4) % (CLASSES - 27)
@@ -64,8 +64,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray):
     heads = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
     rows = heads[cuts]
     row = np.repeat(np.arange(n), np.diff(rows))
-    kind = table[np.minimum(points, 0xFFFF)].astype(np.int64)
-    kind[points > 0xFFFF] = 0
+    kind = table[points].astype(np.int64)
     has = np.bincount(row, kind > 0, n) > 0
     # Rows are kept apart by a gap on both sides.
     at = np.arange(len(kind)) + 2 * row + 1
