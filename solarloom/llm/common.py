@@ -4,7 +4,7 @@ rolling hashes, and lineage cuts in the shared checkpoint folder."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,14 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session;
-    a folder of its own only where that is unset (tests, local mode)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session,
+    or the checkpoint folder of its context. Where neither is set, a local
+    session (tests) gets a temporary one; on a cluster that is an error, since
+    executors would not see each other's files."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
@@ -34,30 +36,62 @@ def shared_dir(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, jvm.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read
-    it back. A lost executor costs a re-read, never a recomputation."""
+    it back. A lost executor costs a re-read, never a recomputation. What no
+    ``discard`` deletes goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/solarloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, store = _folder(spark, path)
+    store.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._solarloom_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote once nothing reads it any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df._solarloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in frames:
+        where, store = _folder(df.sparkSession, df._solarloom_path)
+        store.delete(where, True)
+
+
+#: Bytes of an Arrow batch on its way into a Python worker.
+BATCH_BYTES = 32 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of texts of at most ``rows`` rows, so that a worker's
-    memory does not follow the default of ten thousand whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    """Arrow batches of texts of at most ``rows`` rows and about BATCH_BYTES,
+    so that a worker's memory follows neither the default of ten thousand
+    whole texts nor very long ones. Both settings are read when a plan runs,
+    so they stay in the session; values that are tighter already are kept."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name)).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def numbered(docs: DataFrame, added: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
+    """``docs`` without the columns named (in any case) like the ``added``
+    ones, its columns renamed to c0, c1, ... so that no name of the user's
+    meets one of ours; and their names."""
+    taken = {a.lower() for a in added}
+    names = [c for c in docs.columns if c.lower() not in taken]
+    return docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)]), names
+
+
+def slot(names: list[str], column: str) -> str:
+    """The number name of a user's column."""
+    low = [n.lower() for n in names]
+    if column.lower() not in low:
+        raise ValueError(f"no column {column}, or it is named like a result")
+    return f"c{low.index(column.lower())}"
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

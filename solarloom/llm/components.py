@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of ``edges`` (a, b),
     for every node that has an edge to another. Each step only groups by a
     node with map-side combining, so a hub is never gathered; a chain takes a
-    logarithmic number of rounds. No edges: an empty table."""
+    logarithmic number of rounds. No edges: an empty table. The result reads
+    the last edges, which ``discard`` deletes."""
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = now.union(now.select("b", "a"))
@@ -26,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = new
         if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+            out._solarloom_path = now._solarloom_path
+            return out
 
 
 def _digest(edges: DataFrame):

@@ -4,8 +4,10 @@
 Every task lays its rows out in shards of a bounded size and builds a
 word-level suffix array of each; every test suffix of the broadcast benchmark
 block is looked up in it by binary search, which gives all places of its
-window, and the matches are then extended to their longest. The benchmark is
-dealt into blocks of bounded size, so what is broadcast does not grow.
+window, and the matches are then extended to their longest over every place of
+that window in the block. The benchmark is dealt into blocks of bounded size
+that reach the driver one by one; a job looks up CHAIN of them, and a larger
+benchmark takes more jobs, so neither the driver nor a broadcast grows with it.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_buffer, word_hashes, word_spans
+from .common import bounded_batches, discard, materialize, numbered, runs, slot, text_buffer, word_hashes, word_spans
 
-#: A benchmark block's text in bytes; a larger benchmark comes in more blocks.
-BLOCK = 8_000_000
+#: A benchmark block's text in bytes. A word takes two bytes with its gap, so
+#: a block has less than 2**BITS different ones.
+BLOCK = 4_000_000
+#: Blocks whose indexes one job broadcasts.
+CHAIN = 4
+#: Bytes of a part of an item; a longer item comes in parts that overlap.
+PART = 500_000
 #: Bytes of a shard of training text, about.
 SHARD = 1_500_000
 #: Suffixes whose first words open no test suffix can't match and are left out.
@@ -73,6 +80,24 @@ def bound(keys: list[np.ndarray], queries: list[np.ndarray], after: bool) -> np.
     return lo
 
 
+def suffix_ranks(words: np.ndarray, most: int) -> np.ndarray:
+    """Ranks of all suffixes by their first ``most`` words at least, by prefix
+    doubling; equal ones share a rank."""
+    n, depth = len(words), 3
+    by = np.lexsort(pack(np.append(words, np.zeros(depth, np.int64)), np.arange(n), depth)[::-1])
+    key = pack(np.append(words, np.zeros(depth, np.int64)), by, depth)[0]
+    rank = np.zeros(n, np.int64)
+    rank[by] = np.cumsum(np.append([False], key[1:] != key[:-1]))[:n]
+    while depth < most and n and rank.max() < n - 1:
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - depth)] = rank[depth:] + 1
+        by = np.lexsort([later, rank])
+        new = np.append([False], (rank[by][1:] != rank[by][:-1]) | (later[by][1:] != later[by][:-1]))[:n]
+        rank[by] = np.cumsum(new)
+        depth *= 2
+    return rank
+
+
 class Tests:
     """The windows of one benchmark block, ready to be looked up."""
 
@@ -95,7 +120,8 @@ class Tests:
         length = np.minimum(window, sizes[item])
         self.window = window
         self.lead = int(min(LEAD, length.min())) if len(length) else LEAD
-        by = np.lexsort([*reversed(pack(self.words, at, window)), length])
+        rank = suffix_ranks(self.words, int(sizes.max(initial=0)))
+        by = np.lexsort([rank[at], *reversed(pack(self.words, at, window)), length])
         at, item, length = at[by], item[by], length[by]
         keys = pack(self.words, at, window)
         new = np.ones(len(at), bool)
@@ -106,7 +132,6 @@ class Tests:
         self.at, self.length = at[head], length[head]
         self.item, self.first = item, np.append(head, len(at))
         self.all_at = at
-        self.item_end = (start + sizes)[item]
         self.low = [k[head] for k in keys]
         self.high = [k.copy() for k in self.low]
         for j in range(window):
@@ -116,6 +141,17 @@ class Tests:
             self.high[j // 3] |= ((1 << BITS) - 1) << (BITS * (2 - j % 3))
         self.openings = np.unique(pack(self.words, self.at, self.lead)[0]) if len(self.at) else np.zeros(0, np.int64)
 
+    def bisect(self, lo: np.ndarray, hi: np.ndarray, step: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Among the sorted test suffixes [lo, hi), the first whose word at
+        ``step`` is not under ``word``."""
+        lo, hi = lo.copy(), hi.copy()
+        while np.any(open_ := lo < hi):
+            mid = np.minimum((lo + hi) >> 1, len(self.all_at) - 1)
+            less = open_ & (self.words[np.minimum(self.all_at[mid] + step, len(self.words) - 1)] < word)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
+        return lo
+
     def scan(self, hashes: np.ndarray, rows: np.ndarray):
         """For consecutive training rows: mask of hit words, the (row, item)
         pairs, and each row's longest match in words."""
@@ -152,52 +188,81 @@ class Tests:
         many = self.first[q_ + 1] - self.first[q_]
         who = self.item[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[q_], many)]
         both = np.unique(np.repeat(r, many) * np.int64(len(self.names)) + who)
-        # Longest: from each place on, as far as one of the window's items goes.
-        reach = self.length[q].copy()
-        mine, test, own = spread[at], self.at[q], np.arange(len(q))
+        # Longest: from each place on, as far as any of the window's items goes.
+        # The test suffixes are sorted, so those that go on with the same word
+        # are a part of the ones before.
+        reach, mine, own = self.length[q].copy(), spread[at], np.arange(len(q))
+        first, stop = self.first[q], self.first[q + 1]
         while len(own):
-            a, b = symbols[mine[own] + reach[own]], self.words[test[own] + reach[own]]
-            own = own[(a == b) & (a > 0)]
+            step = reach[own]
+            a = symbols[mine[own] + step]
+            first[own] = self.bisect(first[own], stop[own], step, a)
+            stop[own] = self.bisect(first[own], stop[own], step, a + 1)
+            own = own[(first[own] < stop[own]) & (a > 0)]
             reach[own] += 1
         np.maximum.at(longest, row[at], reach)
         return hit, (both // len(self.names), both % len(self.names)), longest
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The benchmark in blocks of at most about BLOCK bytes."""
-    texts = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    count = max(1, math.ceil(size / BLOCK))
+def _parts(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(i, t): items by id, long ones in parts that share window - 1 words."""
+    texts = benchmark.select(F.coalesce(benchmark[f"`{item}`"].cast("string"), F.lit("")).alias("i"), F.coalesce(benchmark[f"`{text}`"], F.lit("")).alias("t"))
+
+    def cut(batches):
+        for batch in batches:
+            names, texts_ = [], []
+            data, offsets = text_buffer(batch.column(1))
+            for r, name in enumerate(batch.column(0).to_pylist()):
+                a, b = int(offsets[r]), int(offsets[r + 1])
+                starts, ends, _ = word_spans(LOWER[data[a:b]], np.array([0, b - a]), GAP)
+                lo = 0
+                while lo < len(starts):
+                    hi = max(int(np.searchsorted(ends, starts[lo] + PART, "right")), lo + window)
+                    hi = min(hi, len(starts))
+                    names.append(name)
+                    texts_.append(data[a + starts[lo] : a + ends[hi - 1]].tobytes().decode())
+                    lo = hi - window + 1 if hi < len(starts) else hi
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts_, pa.string())], names=["i", "t"])
+
+    return texts.mapInArrow(cut, "i string, t string").distinct()
+
+
+def _blocks(parts: DataFrame):
+    """The parts in blocks of at most about BLOCK bytes, one at a time."""
+    size = parts.agg(F.sum(F.octet_length("t") + 1)).first()[0] or 0
+    count = max(1, math.ceil(size / (BLOCK * 0.8))) if size > BLOCK else 1
     for b in range(count):
-        yield sorted(tuple(r) for r in texts.filter(F.expr(f"pmod(xxhash64(i, t), {count}) = {b}")).collect())
+        yield sorted(tuple(r) for r in parts.filter(F.expr(f"pmod(xxhash64(i, t), {count}) = {b}")).collect())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", window: int = 10,
                   item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit (words in an occurrence of a
-    window), n_items, items_sha256, contaminated and longest (words of the
-    longest verbatim match); all other columns are kept.
+    window), n_items, items_sha256, contaminated, longest (words of the longest
+    verbatim match, within a part of PART bytes of an item) and spans (the
+    places: word ranges [start, stop) of the maximal hit runs); all other columns
+    are kept.
 
     A window is ``window`` consecutive words of an item, or a shorter item as
-    a whole. Null text: no words. Items without words have no window. Repeated
-    rows each get their result. Columns named like the added ones are
+    a whole. Null text: no words. A text or item may be of any length. Items
+    without words have no window, items of a null id share the empty id.
+    Repeated rows each get their result; repeated items count once. Extra
+    columns of any name are kept, but those named like the added ones are
     replaced. Empty tables give empty or unmarked results.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
-    added = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
+    added = StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, spans array<struct<start: int, stop: int>>")
     spark = docs.sparkSession
     bounded_batches(spark)
-    carried = StructType.fromDDL("n_words long, hit binary, items array<string>, longest long")
-    names = [c for c in docs.columns if c not in added.names]
-    out = docs.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index(text)
-    blocks = list(_blocks(benchmark, item, item_text))
+    carried = StructType.fromDDL("words long, hit binary, items array<string>, longest long")
+    out, names = numbered(docs, added.names)
+    at, width = int(slot(names, text)[1:]), len(names)
+    schema = StructType(out.schema.fields + carried.fields)
 
     def scanner(tests, carry):
-        """Rows with the columns of ``carry`` at the end, each block adding to
-        what the ones before it found."""
-        schema = StructType(out.schema.fields + carried.fields)
+        """Rows with the columns of ``carried`` at the end, each block adding
+        to what the ones before it found."""
 
         def run(batches):
             for batch in batches:
@@ -209,7 +274,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
                     hit, (r, who), longest = tests.value.scan(hashes, rows)
                     cut = np.searchsorted(r, np.arange(hi - lo + 1))
                     part = batch.slice(lo, hi - lo)
-                    old = part.columns[len(names):]
+                    old = part.columns[width:]
                     hits, items, most = [], [], []
                     for i in range(hi - lo):
                         mine = hit[rows[i] : rows[i + 1]]
@@ -225,26 +290,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
                         items.append(found)
                         most.append(top)
                     new = [pa.array(np.diff(rows)), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(part.columns[: len(names)] + new, names=schema.names)
+                    yield pa.RecordBatch.from_arrays(part.columns[:width] + new, names=schema.names)
                     lo = hi
 
-        return run, schema
-
-    state = out
-    for i, block in enumerate(blocks):
-        tests = spark.sparkContext.broadcast(Tests(block, window))
-        run, schema = scanner(tests, i > 0)
-        state = state.mapInArrow(run, schema)
+        return run
 
-    final = StructType(out.schema.fields + added.fields)
+    parts = materialize(_parts(benchmark, item, item_text, window))
+    state, cut = out, None
+    for i, block in enumerate(_blocks(parts)):
+        if i and i % CHAIN == 0:
+            last, cut = cut, materialize(state)
+            state = cut
+            if last is not None:
+                discard(last)
+        state = state.mapInArrow(scanner(spark.sparkContext.broadcast(Tests(block, window)), i > 0), schema)
+    discard(parts)
+    kept = [StructField(name, f.dataType, f.nullable, f.metadata) for name, f in zip(names, out.schema.fields)]
+    final = StructType(kept + added.fields)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def finish(batches):
         for batch in batches:
-            words, hits, items, longest = batch.columns[len(names):]
-            n_hit = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits.to_pylist()]
+            words, hits, items, longest = batch.columns[width:]
+            masks = [np.unpackbits(np.frombuffer(h, np.uint8)) > 0 for h in hits.to_pylist()]
+            places = [[{"start": a, "stop": b} for a, b in zip(*(x.tolist() for x in runs(m)))] for m in masks]
+            n_hit = [int(m.sum()) for m in masks]
             ids = [sorted(set(x)) for x in items.to_pylist()]
             sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-            new = [words, pa.array(n_hit, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in n_hit], pa.bool_()), longest]
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)] + new, names=final.names)
+            new = [words, pa.array(n_hit, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in n_hit], pa.bool_()), longest, pa.array(places, span)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:width] + new, names=final.names)
 
     return state.mapInArrow(finish, final)

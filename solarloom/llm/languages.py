@@ -9,54 +9,61 @@ language of the largest cosine.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, row_chunks, text_buffer
+from .common import bounded_batches, mix, row_chunks, text_buffer
 
 DIMENSIONS = 1024
-#: Letter classes: the gap, and letters by their code point.
-CLASSES = 64
+#: Bits of a code point; three of them make the code of a trigram.
+POINT = 21
 #: Keys of each language that its prototype bundles at most.
 SAMPLE = 3_000
 
 
 def letter_classes() -> np.ndarray:
-    """For each code point its letter class; 0: no letter. Upper and
-    lower case fall together."""
-    table = np.zeros(0x110000, np.uint8)
+    """For each code point the letter that it counts as, upper and lower case
+    together; 0: no letter, a gap."""
+    table = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            low = ord(chr(c).lower()[0])
-            table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 40503 >> 4) % (CLASSES - 27)
+            table[c] = ord(chr(c).lower()[0])
     return table
 
 
-_space: dict = {}
+_table: list = []
 
 
-def space():
-    """Letter table and the bound vectors of all trigrams of classes."""
-    if not _space:
-        letters = np.random.default_rng(11).choice(np.array([-1, 1], np.int8), (CLASSES, DIMENSIONS))
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        _space["table"] = letter_classes()
-        _space["bound"] = (first, second, letters)
-    return _space["table"], _space["bound"]
+def letters() -> np.ndarray:
+    if not _table:
+        _table.append(letter_classes())
+    return _table[0]
+
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """The random vector of +1 and -1 of each letter (0: of the gap)."""
+    words = DIMENSIONS // 64
+    at = points.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64)
+    bits = np.unpackbits(mix(mix(at + np.uint64(0x5851F42D4C957F2D))).astype("<u8").view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
-    """Bound vectors of the trigrams with these codes."""
-    first, second, third = space()[1]
-    return (first[codes // CLASSES**2] * second[codes // CLASSES % CLASSES] * third[codes % CLASSES]).astype(np.float32)
+    """Bound vectors of the trigrams with these codes: each letter's vector,
+    permuted by its place, multiplied."""
+    out, low = None, (1 << POINT) - 1
+    for place, shift in ((2, 2 * POINT), (1, POINT), (0, 0)):
+        points, at = np.unique((codes >> shift) & low, return_inverse=True)
+        each = np.roll(letter_vectors(points), place, axis=1)[at]
+        out = each if out is None else out * each
+    return out.astype(np.float32)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray):
     """(row, code) of the letter trigrams of consecutive rows, runs of other
     characters being one gap; and which rows have a letter."""
-    table = space()[0]
+    table = letters()
     n = len(offsets) - 1
     part, cuts = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     text = part.tobytes().decode("utf-8", "replace")
@@ -77,7 +84,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray):
     spread, owner = spread[where], owner[where]
     if len(spread) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    code = (spread[:-2] * CLASSES + spread[1:-1]) * CLASSES + spread[2:]
+    code = (spread[:-2] << 2 * POINT) | (spread[1:-1] << POINT) | spread[2:]
     middle = spread[1:-1] > 0
     return owner[1:-1][middle], code[middle], has
 
@@ -98,8 +105,9 @@ def bundles(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
 
 
 def prototypes(docs: DataFrame, text: str, key: str, lang: str) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit vectors, less what all of them share."""
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """Languages and their unit vectors, bundled from at most SAMPLE keys of
+    each. What reaches the driver is one vector a language."""
+    rows = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{lang}`"].alias("lang"), docs[f"`{text}`"].alias("text"))
     rows = rows.filter(F.expr("lang is not null and text is not null and crc32(cast(k as string)) % 5 <> 0"))
     # How small a key's hash is, on a logarithmic scale of steps of 1/64: as
     # many buckets at any number of rows, so that a language's cut comes from a
@@ -113,39 +121,41 @@ def prototypes(docs: DataFrame, text: str, key: str, lang: str) -> tuple[list[st
         fits[0] = True
         cuts.append((name, int(mine["step"].to_numpy()[fits].min())))
     cut = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
-    chosen = rows.join(F.broadcast(cut), "lang").filter("step >= cut").select("lang", "text")
+    chosen = rows.join(F.broadcast(cut), "lang").filter("step >= cut").select("k", "lang", "text").distinct().select("lang", "text")
 
-    def count(batches):
+    def bundle(batches):
+        """Sums of this partition's trigram vectors, by language and place."""
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
             names, at = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
             data, offsets = text_buffer(batch.column(1))
             for lo, hi in row_chunks(offsets):
                 row, code, _ = trigrams(data, offsets[lo : hi + 1])
-                pair, n = np.unique(at[lo:hi][row] * CLASSES**3 + code, return_counts=True)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame({"lang": names[pair // CLASSES**3], "code": pair % CLASSES**3, "n": n}), preserve_index=False)
+                for i in np.unique(at[lo:hi]):
+                    used, n = np.unique(code[at[lo:hi][row] == i], return_counts=True)
+                    mine = total.setdefault(names[i], np.zeros(DIMENSIONS, np.int64))
+                    for a in range(0, len(used), 8192):
+                        mine += (n[a : a + 8192].astype(float) @ vectors(used[a : a + 8192])).astype(np.int64)
+        for name in sorted(total):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS)), pa.array(total[name])], names=["lang", "at", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["lang"].unique())
-    total = np.zeros((len(names), DIMENSIONS))
-    for i, name in enumerate(names):
-        mine = counts[counts["lang"] == name].sort_values("code")
-        for a in range(0, len(mine), 8192):
-            some = mine.iloc[a : a + 8192]
-            total[i] += some["n"].to_numpy(float) @ vectors(some["code"].to_numpy(np.int64))
-        total[i] /= np.linalg.norm(total[i])
-    return names, total.astype(np.float32)
+    sums = chosen.mapInArrow(bundle, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    sums = sums.pivot(index="lang", columns="at", values="n").sort_index()
+    sums = sums[(sums != 0).any(axis=1)]
+    total = sums.to_numpy(float)
+    return list(sums.index), (total / np.maximum(np.linalg.norm(total, axis=1), 1e-9)[:, None]).astype(np.float32)
 
 
 def identify_language(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Key, held_out, lang_pred and score (the cosine, at least 0) of every
-    whole text. ``und`` with score 0: null text, no letter, or nothing learned.
-    Null keys are not held out and never learned from. Repeated rows are
-    predicted each; ties go to the first language by name."""
+    whole text, of any length; no other column is kept, so none can clash.
+    ``und`` with score 0: null text, no letter, or nothing learned. Null keys
+    are not held out and never learned from. Repeated rows are predicted each;
+    ties go to the first language by name. Empty table: empty result."""
     bounded_batches(docs.sparkSession)
     learned = docs.sparkSession.sparkContext.broadcast(prototypes(docs, text, key, lang))
-    source = docs.select(F.col(key).alias("k"), F.coalesce(F.expr(f"crc32(cast({key} as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    keys = docs[f"`{key}`"]
+    source = docs.select(keys.alias("k"), F.coalesce(F.crc32(keys.cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), docs[f"`{text}`"].alias("text"))
 
     def run(batches):
         names, proto = learned.value

@@ -155,12 +155,14 @@ def pack_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     """Pieces of all rows' token ids (plus id ``end``) in sequences of at most
     ``size``: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null or empty text: the end id alone. Repeated rows are packed each. Keys
-    may be null. At most one sequence is not full; it is cut at powers of two.
-    An empty table gives no piece.
+    Null or empty text: the end id alone. A text may be of any length.
+    Repeated rows are packed each; of windows that fit equally well the oldest
+    wins. Keys may be null. No other column is kept, so none can clash. What is
+    left of all is cut at powers of two, so nothing is padded. An empty table
+    gives no piece.
     """
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    source = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("text"))
     kind = source.schema["k"].dataType.simpleString()
     names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
     schema = f"k {kind}, {PIECE}, ids binary, part long"

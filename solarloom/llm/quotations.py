@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, numbered, slot
 
 TURNS = 1024
 PARAGRAPH = r"\n(?:[ \t\r\f\x0B]*\n)+"
@@ -31,18 +31,23 @@ def _said_lines(text):
     return F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != "")
 
 
-def _passages(messages: DataFrame, text: str) -> DataFrame:
-    """Adds ``passages``: array of (level, body, hash), in order."""
+def _lines(text):
+    """Array of (level, body) of a text's lines."""
     mark = r"^(?:[ \t]*>)+"
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(
-        F.length(F.regexp_replace(F.regexp_extract(x, mark, 0), "[^>]", "")).alias("level"),
-        F.when(x.rlike(mark), F.regexp_replace(x, mark + "[ \t]?", "")).otherwise(x).alias("body")))
-    out = messages.withColumn("__lines", lines)
-    out = out.withColumn("__cuts", F.expr("filter(sequence(1, size(__lines)), i -> i = 1 or __lines[i-1].level <> __lines[i-2].level)"))
-    out = out.withColumn("__runs", F.expr("transform(__cuts, (c, i) -> slice(__lines, c, coalesce(get(__cuts, i + 1), size(__lines) + 1) - c))"))
-    runs = F.transform("__runs", lambda r: F.struct(r[0]["level"].alias("level"), F.array_join(F.transform(r, lambda x: x["body"]), "\n").alias("body")))
-    hashed = F.transform(runs, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), F.sha2(_normal(p["body"]), 256).alias("hash"), (F.length(_normal(p["body"])) > 0).alias("said")))
-    return out.withColumn("passages", F.filter(hashed, lambda p: p["said"])).drop("__lines", "__cuts", "__runs")
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(
+        F.length(F.regexp_replace(F.regexp_extract(x, mark, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, mark + "[ \t]?", "").alias("body")))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Adds ``passages``, array of (level, body, hash) in order. Each step is a
+    column of its own, so that no line is parsed twice."""
+    out = rows.withColumn("lines", _lines(F.col("text")))
+    out = out.withColumn("cuts", F.expr("filter(sequence(1, size(lines)), i -> i = 1 or lines[i-1].level <> lines[i-2].level)"))
+    out = out.withColumn("runs", F.expr("transform(cuts, (c, i) -> slice(lines, c, coalesce(get(cuts, i + 1), size(lines) + 1) - c))"))
+    out = out.withColumn("runs", F.transform("runs", lambda r: F.struct(r[0]["level"].alias("level"), F.array_join(F.transform(r, lambda x: x["body"]), "\n").alias("body"))))
+    out = out.withColumn("runs", F.transform("runs", lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), _normal(p["body"]).alias("normal"))))
+    said = F.filter("runs", lambda p: p["normal"] != "")
+    return out.withColumn("passages", F.transform(said, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), F.sha2(p["normal"], 256).alias("hash")))).drop("lines", "cuts", "runs")
 
 
 def _runs(messages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,17 +69,18 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
     without one); ordering a conversation by (root_turn, turn) puts replies
     behind what they quote.
 
-    Null text is empty. Null conversation or turn: the row is kept and never
-    linked. Messages of the same turn share parent and root; the later parent
-    wins. Repeated rows come out as often as they come in. Columns named like
-    the added ones are replaced. Empty table: empty result.
+    Null text is empty; a text may be of any length. Null conversation or
+    turn: the row is kept and never linked. Messages of the same turn share
+    parent and root; the later parent wins. Repeated rows come out as often as
+    they come in. Extra columns of any name are kept, but those named like the
+    added ones are replaced. Empty table: empty result.
     """
     added = ["body", "n_quotes", "n_linked", "levels", "parent_turn", "root_turn"]
-    base = conversations.drop(*[c for c in added if c in conversations.columns])
-    names = base.columns
-    rows = _passages(base.withColumn("__c", F.col(conv)).withColumn("__t", F.col(turn).cast("long")), text)
+    base, names = numbered(conversations, added)
+    conv, turn, text = (F.col(slot(names, c)) for c in (conv, turn, text))
+    rows = _parsed(base.select(F.struct(*base.columns).alias("row"), conv.alias("__c"), turn.cast("long").alias("__t"), text.alias("text")))
     body = F.array_join(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["body"]), "\n")
-    rows = rows.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = materialize(rows.withColumn("body", F.regexp_replace(body, r"^\s+|\s+$", "")).withColumn("__h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).drop("text"))
     quotes = rows.select("__c", "__t", F.explode("passages").alias("p"))
     parts = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: F.concat(F.array(p["body"]), F.split(p["body"], "\n"), F.split(p["body"], PARAGRAPH)))
     own = rows.select("__c", "__t", F.explode(F.array_distinct(F.concat(F.array("body"), F.flatten(parts)))).alias("part"))
@@ -100,17 +106,18 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
     while True:
         jump = chain.select("__c", F.col("__t").alias("root"), F.col("root").alias("next"))
         new = materialize(chain.join(jump, ["__c", "root"], "left").select("__c", "__t", "parent", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        chain = new.drop("moved")
-        if not moved:
+        discard(chain)
+        chain = new
+        if not new.filter("moved").limit(1).count():
             break
     mine = quoted.select("__c", "__t", "hash").distinct()
     found = mine.join(linked.select("__c", "__t", "hash"), ["__c", "__t", "hash"], "left_semi").groupBy("__c", "__t").agg(F.collect_set("hash").alias("found"))
-    info = chain.join(found, ["__c", "__t"], "full")
+    info = materialize(chain.drop("moved").join(found, ["__c", "__t"], "full"))
+    discard(quoted, linked, chain)
     out = rows.join(info, ["__c", "__t"], "left")
     passages = F.filter("passages", lambda p: p["level"] > 0)
     return out.select(
-        *[F.col(f"`{c}`") for c in names], "body", F.size(passages).cast("long").alias("n_quotes"),
+        *[F.col(f"row.{c}").alias(n) for c, n in zip(base.columns, names)], "body", F.size(passages).cast("long").alias("n_quotes"),
         F.size(F.filter(passages, lambda p: F.array_contains(F.coalesce("found", F.array().cast("array<string>")), p["hash"]))).cast("long").alias("n_linked"),
         F.coalesce(F.array_max(F.transform(passages, lambda p: p["level"])), F.lit(0)).cast("long").alias("levels"),
         F.col("parent").alias("parent_turn"), F.coalesce("root", "__t").alias("root_turn"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    BYTE_CODE, bounded_batches, covered, discard, materialize, prefix_hash, row_chunks, runs, span_hash, text_buffer, word_hashes, word_spans,
+    BYTE_CODE, bounded_batches, covered, discard, materialize, numbered, prefix_hash, row_chunks, runs, slot, span_hash, text_buffer, word_hashes, word_spans,
 )
 
 PIECE = 1 << 19
@@ -108,17 +108,25 @@ def _pieces(unit, data, offsets, length) -> Iterator[tuple]:
 
 def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callable, text: str = "text", key: str = "doc_id",
                  target: int = 1_000_000, hot: int = 20_000) -> DataFrame:
-    """Per row key (``key``, ``th`` = hash of the text) the ranges of window
+    """Per row key (``k``, ``th`` = hash of the text) the ranges of window
     starts [from, to) whose window also starts elsewhere in the corpus.
 
     ``resolve(contents, length)`` gets the distinct segments of whole seed
     groups, of about ``target`` bytes together, and returns a repeated-start
-    mask for each. Rows without a repeat are absent. A null text is empty.
-    Repeated rows count as copies of each other.
+    mask for each. Rows without a repeat are absent. A null text is empty. A
+    text of any length is dealt in overlapping pieces. Repeated rows (same key
+    and text) are copies of each other: all of their windows repeat, so one of
+    them stands for all.
     """
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    keyed = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("text"), F.xxhash64(F.coalesce(docs[f"`{text}`"], F.lit(""))).alias("th"))
     kind = keyed.schema["k"].dataType.simpleString()
+    copies = materialize(keyed.groupBy("k", "th").count().filter("count > 1").select(F.col("k").alias("k1"), F.col("th").alias("th1")))
+    copied = copies.limit(1).count() > 0
+    if copied:
+        mine = F.col("k").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("th1"))
+        once = keyed.join(copies, mine, "left_semi").groupBy("k", "th").agg(F.first("text").alias("text")).select("k", "text", "th")
+        keyed = keyed.join(copies, mine, "left_anti").unionByName(once)
 
     def deal(batches):
         for batch in batches:
@@ -176,9 +184,12 @@ def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callabl
         ranges = ranges.unionByName(_split_hot(bodies.filter(F.col("distinct") > hot), unit, length, schema))
     hits = dealt.join(ranges, ["gram", "content"]).select(
         "k", "th", F.transform("f", lambda x: x + F.col("first")).alias("f"), F.transform("t", lambda x: x + F.col("first")).alias("t"))
-    found = materialize(hits.groupBy("k", "th").agg(F.flatten(F.collect_list("f")).alias("f"), F.flatten(F.collect_list("t")).alias("t")))
-    for done in (dealt, known):
-        discard(done)
+    found = hits.groupBy("k", "th").agg(F.flatten(F.collect_list("f")).alias("f"), F.flatten(F.collect_list("t")).alias("t"))
+    if copied:
+        whole = dealt.join(copies, mine, "left_semi").groupBy("k", "th").agg(F.max(F.col("first") + F.col("windows")).alias("t")).select("k", "th", F.expr("array(0)").alias("f"), F.array("t").alias("t"))
+        found = found.join(copies, mine, "left_anti").unionByName(whole)
+    found = materialize(found)
+    discard(dealt, known, copies)
     if (size[1] or 0) > hot:
         discard(bodies)
     return found
@@ -203,33 +214,31 @@ def _split_hot(bodies: DataFrame, unit, length: int, schema: str) -> DataFrame:
 def apply_repeats(docs: DataFrame, found: DataFrame, work: Callable, fields: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Join the repeats to all rows and let ``work(text bytes, from, to)``
     give the values of ``fields``; every column of ``docs`` is kept. New
-    fields win over columns of the same name."""
-    from pyspark.sql.types import StructType
+    fields win over columns of the same name, in any case."""
+    from pyspark.sql.types import StructField, StructType
 
     added = StructType.fromDDL(fields)
-    spark_cols = [c for c in docs.columns if c not in added.names or c == text]
-    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    right = found.select(F.col("k").alias("__k"), F.col("th").alias("__t"), F.col("f").alias("__f"), F.col("t").alias("__to"))
-    joined = keyed.join(right, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")), "left").select(
-        *[F.col(f"`{c}`") for c in spark_cols], "__f", "__to")
-    kept = [f for f in joined.schema.fields[:-2] if f.name not in added.names]
-    schema = StructType(kept + added.fields)
+    inner, names = numbered(docs, added.names)
+    body, k, n = slot(names, text), slot(names, key), len(names)
+    right = found.select(F.col("k").alias("k1"), F.col("th").alias("th1"), "f", "t")
+    joined = inner.withColumn("th", F.xxhash64(F.coalesce(F.col(body), F.lit("")))).join(right, F.col(k).eqNullSafe(F.col("k1")) & (F.col("th") == F.col("th1")), "left")
+    joined = joined.select(*inner.columns, "f", "t")
+    kept = [StructField(name, f.dataType, f.nullable, f.metadata) for name, f in zip(names, inner.schema.fields)]
+    schema, at = StructType(kept + added.fields), int(body[1:])
 
     def run(batches):
-        at = spark_cols.index(text)
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = text_buffer(batch.column(at))
             raw = memoryview(data)
             rows = []
-            f, t = batch.column(len(spark_cols)), batch.column(len(spark_cols) + 1)
+            f, t = batch.column(n), batch.column(n + 1)
             for i in range(batch.num_rows):
-                body = bytes(raw[offsets[i] : offsets[i + 1]])
-                rows.append(work(body, f[i].values.to_numpy() if f[i].is_valid else None, t[i].values.to_numpy() if t[i].is_valid else None))
-            cols = [batch.column(j) for j, c in enumerate(spark_cols) if c not in added.names]
+                said = bytes(raw[offsets[i] : offsets[i + 1]])
+                rows.append(work(said, f[i].values.to_numpy() if f[i].is_valid else None, t[i].values.to_numpy() if t[i].is_valid else None))
             new = [pa.array(list(v)) for v in zip(*rows)]
-            yield pa.RecordBatch.from_arrays(cols + new, names=schema.names)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n] + new, names=schema.names)
 
     return joined.mapInArrow(run, schema)
 

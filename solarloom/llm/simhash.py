@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_buffer
+from .common import bounded_batches, discard, materialize, numbered, slot, text_buffer
 from .components import connected_components
 
 RADIUS = 3
@@ -47,18 +47,20 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(k, fp): fp a signed long. Null text has no words."""
+    """(k, th, fp): the key, the hash of the text and the fingerprint, both
+    signed longs. Null text has no words."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    body = docs[f"`{text}`"]
+    source = docs.select(docs[f"`{key}`"].alias("k"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), body.alias("text"))
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             raw = memoryview(data)
             prints = [fingerprint(bytes(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["k", "th", "fp"])
 
-    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"k {source.schema['k'].dataType.simpleString()}, th long, fp long")
 
 
 class BKForest:
@@ -149,27 +151,49 @@ def link(prints: DataFrame) -> DataFrame:
     return shards.groupBy("bucket").applyInPandas(grow, "a long, b long")
 
 
+def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Materialized (k, th, fp) of every row, and (fp, root, component_id) of
+    every fingerprint."""
+    each = materialize(fingerprints(docs, text, key))
+    prints = materialize(each.groupBy("fp").agg(F.min("k").alias("low")))
+    roots = connected_components(link(prints.select("fp")))
+    grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = materialize(grouped.join(least, "root").select("fp", "root", "component_id"))
+    discard(prints, roots)
+    return each, named
+
+
 def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint as 16 hex digits, component_id): rows whose
     fingerprints are joined by a chain of links of at most three differing
-    bits share the smallest key of them.
+    bits share the smallest key of them. No other column is kept, so none can
+    clash.
 
-    Null or empty text: fingerprint zero, linked like any other. Null keys:
-    kept, never the smallest unless all are null. Repeated rows come out as
-    often as they come in. Empty table: empty result.
+    Null or empty text: fingerprint zero, linked like any other. A text may be
+    of any length. Null keys: kept, never the smallest unless all are null.
+    Repeated rows come out as often as they come in; two texts of one key are
+    two rows. Empty table: empty result.
     """
-    each = materialize(fingerprints(docs, text, key))
-    prints = materialize(each.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")))
-    roots = connected_components(link(prints.select("fp")))
-    grouped = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select("fp", "component_id"))
+    each, named = _grouped(docs, text, key)
     return each.join(named, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each near-duplicate group: that of the smallest key. Rows
-    without a key stay; of repeated rows of one key one stays."""
-    keep = simhash_components(docs, text, key).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(keep, key).select(*docs.columns).dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    """One row of each near-duplicate group, all columns kept: that of the
+    smallest key (null keys last), of several texts of that key the one of the
+    smallest hash, of several rows of that text the one whose row hash is
+    smallest (any of them if that ties too). Two rows of one key whose texts
+    are no near-duplicates both stay. Empty table: empty result."""
+    each, named = _grouped(docs, text, key)
+    one = F.struct(F.col("k").isNull().alias("none"), "k", "th")
+    keep = each.groupBy("fp", "k", "th").count().join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(one.alias("one"), "count")).alias("best"))
+    keep = keep.select(F.col("best.one.k").alias("k"), F.col("best.one.th").alias("th"), (F.col("best.count") > 1).alias("again"))
+    inner, names = numbered(docs)
+    body, k = slot(names, text), slot(names, key)
+    rows = inner.withColumn("hash", F.xxhash64(F.coalesce(F.col(body), F.lit(""))))
+    rows = rows.join(keep, F.col(k).eqNullSafe(F.col("k")) & (F.col("hash") == F.col("th")))
+    whole = F.struct(*inner.columns)
+    single = rows.filter("not again").select(whole.alias("row"))
+    several = rows.filter("again").groupBy("k", "th").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return single.unionByName(several.select("row")).select(*[F.col(f"row.{c}").alias(n) for c, n in zip(inner.columns, names)])

@@ -129,8 +129,10 @@ def suffix_array_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id",
     removed runs), kept_sha256 and kept (binary: the remaining bytes).
 
     Null text: empty (0 bytes, sha of nothing). Texts shorter than ``length``
-    stay whole. Repeated rows are copies of each other. An empty table gives
-    an empty result. Columns named like the added ones are replaced.
+    stay whole; a text may be of any length. Repeated rows are copies of each
+    other. Null keys are kept. An empty table gives an empty result. Extra
+    columns of any name are kept, but those named like the added ones are
+    replaced.
     """
     found = find_repeats(docs, Bytes, length, 48, repeated_starts, text, key)
 

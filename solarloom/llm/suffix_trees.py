@@ -104,8 +104,9 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     kept words joined by one space).
 
     Null text: no words, kept is empty. Texts of fewer words stay whole.
-    Repeated rows are copies of each other. An empty table gives an empty
-    result. Columns named like the added ones are replaced.
+    A text may be of any length. Repeated rows are copies of each other. Null
+    keys are kept. An empty table gives an empty result. Extra columns of any
+    name are kept, but those named like the added ones are replaced.
     """
     found = find_repeats(docs, Words, length, 8, repeated_starts, text, key)
 

@@ -6,18 +6,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, row_chunks, text_buffer
 from .contamination import lowered_words
 
 BITS = 22
-#: Labelled rows that a model learns from at most, and rows of a shard.
-SAMPLE, SHARD = 12_000, 12_000
-ALPHA, BETA, L2, EPOCHS = 2.0, 1.0, 0.5, 4
-#: L1 grows with the shard, from 1 to 10: one for each thousand rows.
-L1_ROWS, L1_MOST = 1_000, 10.0
+#: Labelled rows that the model learns from at most, in one task.
+SAMPLE = 12_000
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.5, 4
 #: Rows that a feature has to occur in to be learned.
 LEAST_ROWS = 3
 
@@ -44,7 +42,6 @@ def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     """Dense weights (last: the intercept) after EPOCHS passes: per-coordinate
     rates from the squared gradients, L1 that keeps weak coordinates at 0. The
     rarer class weighs more, by the root of the classes' ratio."""
-    l1 = min(L1_MOST, max(1.0, len(samples) / L1_ROWS))
     often = np.zeros(1 << BITS, np.int32)
     for features, _ in samples:
         often[features] += 1
@@ -52,8 +49,8 @@ def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i):
-        shrunk = np.sign(z[i]) * l1 - z[i]
-        return np.where(np.abs(z[i]) <= l1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+        shrunk = np.sign(z[i]) * L1 - z[i]
+        return np.where(np.abs(z[i]) <= L1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     toxic = sum(label for _, label in samples)
     rare = min(4.0, ((len(samples) - toxic) / max(1, toxic)) ** 0.5)
@@ -71,13 +68,15 @@ def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> np.ndarray:
-    """Weights learned from the SAMPLE labelled rows of smallest key hash that
-    are not held out; shards are learned side by side and averaged. The
-    weights are at most 2**BITS numbers, so they can be broadcast."""
-    chosen = labels.filter(F.col(label).isNotNull() & F.expr(f"crc32(cast({key} as string)) % 5 <> 0")).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    """Weights learned in one task from at most SAMPLE rows: of the labelled
+    keys that are not held out those of smallest hash, and of each key the
+    first text. The weights are at most 2**BITS numbers, most of them zero, so
+    they can be broadcast."""
+    keys = labels[f"`{key}`"]
+    chosen = labels.filter(labels[f"`{label}`"].isNotNull() & (F.crc32(keys.cast("string")) % 5 != 0)).groupBy(keys.alias("k")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
-    count = max(1, -(-chosen.count() // SHARD))
+    rows = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("text")).join(F.broadcast(chosen), "k").distinct()
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("text"))).filter("at = 1").drop("at")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["k", "text"]).sample(frac=1, random_state=1)
@@ -92,8 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -
         i = np.flatnonzero(w)
         return pd.DataFrame({"i": i, "w": w[i]})
 
-    shards = rows.withColumn("g", F.expr(f"pmod(xxhash64(k, 7), {count})")).groupBy("g").applyInPandas(learn, "i long, w double")
-    found = shards.groupBy("i").agg((F.sum("w") / count).alias("w")).toPandas()
+    found = rows.groupBy(F.lit(0).alias("g")).applyInPandas(learn, "i long, w double").toPandas()
     weights = np.zeros((1 << BITS) + 1)
     weights[found["i"].to_numpy(np.int64)] = found["w"].to_numpy(float)
     return weights
@@ -101,15 +99,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """Key, held_out, score in 0..1 and predicted (score >= 0.5) of every whole
-    text. Null or empty text: the score of the intercept alone. A null key is
-    not held out and never learned from. Repeated rows are scored each; with
-    no label at all every score is 0.5. Empty table: empty result."""
+    text, of any length; no other column is kept, so none can clash. Null or
+    empty text: the score of the intercept alone. A null key is not held out
+    and never learned from; of labels that contradict each other the larger
+    holds. Repeated rows are scored each; with no label at all every score is
+    0.5. Empty table: empty result."""
     bounded_batches(docs.sparkSession)
     weights = train(docs, labels, text, key, label)
     spark = docs.sparkSession
     at = np.flatnonzero(weights)
     shared = spark.sparkContext.broadcast((at, weights[at]))
-    source = docs.select(F.col(key).alias("k"), F.coalesce(F.expr(f"crc32(cast({key} as string)) % 5 = 0"), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    keys = docs[f"`{key}`"]
+    source = docs.select(keys.alias("k"), F.coalesce(F.crc32(keys.cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), docs[f"`{text}`"].alias("text"))
 
     def run(batches):
         w = np.zeros((1 << BITS) + 1, np.float32)

@@ -1,7 +1,7 @@
 """URL rules by a bit-parallel wildcard automaton (operator 6).
 
 Rules are globs over the canonical URL (lower-case host, then path): ``*`` is
-any run without a slash, ``**`` any run. All globs are packed into the bits of
+any run without a slash, two or more stars any run. All globs are packed into the bits of
 a few 64-bit words and simulated together over each URL, Shift-And with one
 step per byte, for a whole batch of URLs at once.
 """
@@ -33,9 +33,9 @@ class Automaton:
             i, raw = 0, glob.encode()
             while i < len(raw):
                 if raw[i] == 42:
-                    deep = raw[i : i + 2] == b"**"
-                    tokens.append("**" if deep else "*")
-                    i += 2 if deep else 1
+                    stars = len(raw[i:]) - len(raw[i:].lstrip(b"*"))
+                    tokens.append("**" if stars > 1 else "*")
+                    i += stars
                 else:
                     tokens.append(raw[i])
                     i += 1
@@ -89,9 +89,10 @@ def filter_urls(pages: DataFrame, url: str = "url", host_rules=None, block_globs
     that fits, else null) and verdict (that rule's; without one ``block`` where
     a glob matches, else ``allow``).
 
-    Null or malformed url: host and path are empty, no rule. Repeated rows are
-    judged each. Columns named like the added ones are replaced. Empty table:
-    empty result.
+    Null or malformed url: host and path are empty, no rule. A url may be of
+    any length. Repeated rows are judged each; of rules of one length the first
+    wins. Extra columns of any name are kept, but those named like the added
+    ones are replaced. Empty table: empty result.
     """
     bounded_batches(pages.sparkSession)
     rules = sorted(host_rules or HOST_RULES, key=lambda r: -len(r[0]))
@@ -102,9 +103,10 @@ def filter_urls(pages: DataFrame, url: str = "url", host_rules=None, block_globs
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     lowered = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    source = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in added.names], F.coalesce(lowered, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    source = source.withColumn("__url", F.concat("host", "path"))
-    schema = StructType(source.schema.fields[:-1] + added.fields[2:])
+    taken = {n.lower() for n in added.names}
+    source = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in taken], F.coalesce(lowered, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    schema = StructType(source.schema.fields + added.fields[2:])
+    source = source.select("*", F.concat("host", "path"))
 
     def run(batches):
         for batch in batches:
