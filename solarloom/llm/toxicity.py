@@ -15,7 +15,7 @@ from .contamination import lowered_words
 BITS = 22
 #: Labelled rows that the model learns from at most, in one task.
 SAMPLE = 12_000
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.5, 4
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 10.0, 0.5, 4
 #: Rows that a feature has to occur in to be learned.
 LEAST_ROWS = 3
 
@@ -38,7 +38,7 @@ def presence(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
+def ftrl(samples: list[tuple[np.ndarray, int]], l1: float = L1) -> np.ndarray:
     """Dense weights (last: the intercept) after EPOCHS passes: per-coordinate
     rates from the squared gradients, L1 that keeps weak coordinates at 0. The
     rarer class weighs more, by the root of the classes' ratio."""
@@ -49,8 +49,8 @@ def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i):
-        shrunk = np.sign(z[i]) * L1 - z[i]
-        return np.where(np.abs(z[i]) <= L1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+        shrunk = np.sign(z[i]) * l1 - z[i]
+        return np.where(np.abs(z[i]) <= l1, 0.0, shrunk / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     toxic = sum(label for _, label in samples)
     rare = min(4.0, ((len(samples) - toxic) / max(1, toxic)) ** 0.5)
@@ -67,7 +67,7 @@ def ftrl(samples: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return weights(np.arange(len(z)))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, l1: float = L1) -> np.ndarray:
     """Weights learned in one task from at most SAMPLE rows: of the labelled
     keys that are not held out those of smallest hash, and of each key the
     first text. The weights are at most 2**BITS numbers, most of them zero, so
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -
             row, feature = presence(*grams(hashes, cut))
             at = np.searchsorted(row, np.arange(hi - lo + 1))
             samples += [(feature[at[i] : at[i + 1]], y[lo + i]) for i in range(hi - lo)]
-        w = ftrl(samples)
+        w = ftrl(samples, l1)
         i = np.flatnonzero(w)
         return pd.DataFrame({"i": i, "w": w[i]})
 
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -
     return weights
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", l1: float = L1) -> DataFrame:
     """Key, held_out, score in 0..1 and predicted (score >= 0.5) of every whole
     text, of any length; no other column is kept, so none can clash. Null or
     empty text: the score of the intercept alone. A null key is not held out
@@ -105,7 +105,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     holds. Repeated rows are scored each; with no label at all every score is
     0.5. Empty table: empty result."""
     bounded_batches(docs.sparkSession)
-    weights = train(docs, labels, text, key, label)
+    weights = train(docs, labels, text, key, label, l1)
     spark = docs.sparkSession
     at = np.flatnonzero(weights)
     shared = spark.sparkContext.broadcast((at, weights[at]))
