@@ -20,4 +20,22 @@ LABEL_SHIFT_S = -3600
 #: SAPM (a, b, delta T) by mounting.
 MOUNTS = {"open_rack_glass_glass": (-3.47, -0.0594, 3.0), "close_mount_glass_glass": (-2.98, -0.0471, 1.0),
           "insulated_back_glass_polymer": (-2.81, -0.0455, 0.0), "open_rack_glass_polymer": (-3.56, -0.0750, 3.0)}
-CHARGER_LIMITING = ["absorption", "float", "storage", "equalize", "full", "limited"]
+CHARGER_LIMITING = ["absorption", "float", "equalize", "external control", "ess", "storage"]
+CHARGER_FREE = ["bulk", "off", "fault", "idle"]
+#: Hour of the local day before, at which day-ahead forecasts count; days that
+#: a score needs.
+DAY_AHEAD_HOUR, SCORE_DAYS = 18, 3
+#: Below this clear-sky mean an hour has no shape.
+SHAPE_FLOOR = 1.0
+#: Load that stands for the highest one seen in a stored curve.
+MAX_LOAD_KEY = -1
+#: Factors to m/s, hPa, W/m2, lx, mm and W, by quantity and lower-case symbol.
+UNITS = {
+    "speed": {"m/s": 1.0, "ms": 1.0, "km/h": 1 / 3.6, "kph": 1 / 3.6, "mph": 0.44704, "mi/h": 0.44704, "kn": 0.514444, "kt": 0.514444, "ft/s": 0.3048},
+    "pressure": {"hpa": 1.0, "mbar": 1.0, "bar": 1000.0, "pa": 0.01, "kpa": 10.0, "inhg": 33.8639, "mmhg": 1.33322, "psi": 68.9476},
+    "irradiance": {"w/m²": 1.0, "w/m2": 1.0, "kw/m²": 1000.0, "kw/m2": 1000.0},
+    "illuminance": {"lx": 1.0, "lux": 1.0, "klx": 1000.0},
+    "precipitation": {"mm": 1.0, "mm/h": 1.0, "cm": 10.0, "in": 25.4, "in/h": 25.4},
+    "power": {"w": 1.0, "kw": 1000.0, "mw": 1_000_000.0, "va": 1.0, "kva": 1000.0},
+    "ratio": {"%": 1.0},
+}

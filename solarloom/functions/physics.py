@@ -1,4 +1,4 @@
-"""Irradiance to power as native column expressions (PHY-01..16), from the
+"""Irradiance to power as native column expressions (PHY-01..13 and 15), from the
 published models: Spencer, Kasten-Young, Ineichen-Perez, Erbs, Hay-Davies,
 ASHRAE, SAPM, PVWatts. Each builder returns SQL text of columns, so a plan of
 them stays inside one code-generated stage."""
@@ -87,6 +87,33 @@ CEILING = [
     ("poa_ceiling", f"least(greatest(beam_ceiling, sky_ceiling) + ghi * {C.CEILING_ALBEDO} * (1 - cos(radians(tilt))) / 2, {C.CEILING_CAP})"),
 ]
 CHAIN = SUN + CLEARSKY + COMPONENTS + PLANE + POWER + CEILING
+#: Refraction lifts the sun (PHY-01; Bennett 1982), nothing below -1 degree.
+APPARENT = [("apparent_elevation", "elevation + case when elevation > -1 then 1 / tan(radians(elevation + 7.31 / (elevation + 4.4))) / 60 else 0.0 end")]
+#: Solar noon, sunrise and sunset of the UTC day of ``day`` (its first second)
+#: as epoch seconds (PHY-04); NULL on polar days and nights. The sun rises with
+#: its upper limb, refracted: 0.833 degrees below the horizon.
+DAYLIGHT = [
+    ("noon_guess", "day + 43200 - lon * 240"),
+    ("noon_ts", f"noon_guess - {equation_of_time('noon_guess')} * 60"),
+    ("noon_decl", declination("noon_guess")),
+    ("cos_rise", "(sin(radians(-0.833)) - sin(radians(lat)) * sin(noon_decl)) / (cos(radians(lat)) * cos(noon_decl))"),
+    ("half_day_s", "case when abs(cos_rise) < 1 then degrees(acos(greatest(-1.0, least(1.0, cos_rise)))) * 240 end"),
+    ("sunrise_ts", "noon_ts - half_day_s"),
+    ("sunset_ts", "noon_ts + half_day_s"),
+]
+#: The default model of the data that this replaces needs published tables that
+#: are not at hand; it is a declared alias of Hay-Davies here (PHY-08).
+MODELS = {"haydavies": "haydavies", "perez-driesse": "haydavies", "isotropic": "isotropic"}
+
+
+def plane(model: str = "haydavies", scope: str = "beam") -> list[tuple[str, str]]:
+    """Steps of the tilted plane: the model of sky light, and whether ``shade``
+    takes the direct light alone (beam) or all of it (total); the share of
+    light that it left is ``shading_applied`` (PHY-08, PHY-10)."""
+    sky = {"haydavies": dict(PLANE)["poa_sky"], "isotropic": "dhi_used * (1 + cos(radians(tilt))) / 2"}[MODELS[model]]
+    effective = {"beam": "poa_direct * shade + poa_diffuse", "total": "(poa_direct + poa_diffuse) * shade", "column": "case when beam_scope then poa_direct * shade + poa_diffuse else (poa_direct + poa_diffuse) * shade end"}[scope]
+    steps = [(n, {"poa_sky": sky, "poa_effective": effective}.get(n, t)) for n, t in PLANE]
+    return steps + [("shading_applied", "case when poa > 0 then poa_effective / poa else 1.0 end")]
 
 
 def run(df: DataFrame, steps=None) -> DataFrame:

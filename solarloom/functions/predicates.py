@@ -30,6 +30,109 @@ def numeric(text) -> Column:
     return F.when(F.lower(value).isin("", "unavailable", "unknown", "none"), None).otherwise(value.try_cast("double"))
 
 
+def kind_for(verdict) -> Column:
+    """FLT-10."""
+    return F.when(_c(verdict), "lower_bound").otherwise("measured")
+
+
+def fully_curtailed(verdict) -> Column:
+    """Aggregate: all known verdicts are TRUE; none known: FALSE (FLT-10)."""
+    return F.coalesce(F.bool_and(_c(verdict)), F.lit(False))
+
+
+def curtailed_fraction(verdict) -> Column:
+    """Aggregate: share of the known verdicts; none known: 0 (FLT-10)."""
+    return F.coalesce(F.avg(_c(verdict).cast("int")), F.lit(0.0))
+
+
+def skip_reason(physics_kwh, quality_, energy_kwh, coverage, kind) -> Column:
+    """Why an hour is not learned from before its observation is even built,
+    first match, else NULL (FLT-14). Quality for learning is judged as if the
+    sun were up."""
+    p, q = _c(physics_kwh), _c(quality_)
+    return (F.when(p.isNull(), "no_physics_row").when(p <= 0, F.when(q == "night", "night").otherwise("zero_physics_in_daylight"))
+            .when(q == "night", "night").when(_c(energy_kwh).isNull(), "no_energy")
+            .when(~assess(coverage, F.lit(90.0), kind)["usable"], "low_coverage"))
+
+
+def to_unit(value, unit, quantity: str) -> Column:
+    """Value in the canonical unit of its quantity; an unknown symbol passes
+    the value through (SCL-22)."""
+    v, symbol = _c(value), F.lower(F.trim(_c(unit)))
+    if quantity == "temperature":
+        symbol = F.trim(F.regexp_replace(symbol, "°|deg", ""))
+        return F.when(symbol.isin("f", "fahrenheit"), (v - 32.0) * 5.0 / 9.0).when(symbol.isin("k", "kelvin"), v - 273.15).otherwise(v)
+    factor = F.lit(1.0)
+    for name, f in C.UNITS[quantity].items():
+        factor = F.when(symbol == name, f).otherwise(factor)
+    return v * factor
+
+
+def limit_watts(value, in_percent, max_ac) -> Column:
+    """A live limit in watts, given in percent or as it is (SCL-23)."""
+    return F.when(_c(in_percent), _c(value) / 100 * _c(max_ac)).otherwise(_c(value))
+
+
+def charger_limit(limit, power, state) -> Column:
+    """While the charger holds back, its power is a limit too (SCL-24)."""
+    holds = F.coalesce(charger_limits(state), F.lit(False)) & (_c(power) > 0)
+    return F.when(holds, F.least(_c(limit), _c(power))).otherwise(_c(limit))
+
+
+def clamp_daylight(start, end, sunrise, sunset) -> list[Column]:
+    """A window within daylight, perhaps empty; no sunrise or sunset: as it is
+    (SCL-29)."""
+    known = _c(sunrise).isNotNull() & _c(sunset).isNotNull()
+    return [F.when(known, F.greatest(_c(start), _c(sunrise).cast("long"))).otherwise(_c(start)), F.when(known, F.least(_c(end), _c(sunset).cast("long"))).otherwise(_c(end))]
+
+
+def local_time(ts, tz: str) -> Column:
+    """Wall clock of an instant; independent of the session's zone."""
+    utc = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _c(ts).cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+
+
+def local_instant(day, hour: int, tz: str) -> Column:
+    """Epoch seconds of a local hour of a date."""
+    wall = _c(day).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hour))
+    return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.convert_timezone(F.lit(tz), F.lit("UTC"), wall))
+
+
+def local_hour(ts, tz: str) -> Column:
+    """SCL-09."""
+    return F.hour(local_time(ts, tz))
+
+
+def local_day(ts, tz: str) -> Column:
+    return local_time(ts, tz).cast("date")
+
+
+def day_bounds(ts, tz: str, after: int = 0) -> list[Column]:
+    """Start and end of the local day, ``after`` days on; days of 23 or 25
+    hours come from the calendar (SCL-30)."""
+    day = F.date_add(local_day(ts, tz), after)
+    return [local_instant(day, 0, tz), local_instant(F.date_add(day, 1), 0, tz)]
+
+
+def day_ahead_cutoff(ts, tz: str) -> Column:
+    """18:00 of the local day before (SCL-30)."""
+    return local_instant(F.date_sub(local_day(ts, tz), 1), C.DAY_AHEAD_HOUR, tz)
+
+
+def fingerprint(entity) -> Column:
+    """SCL-31."""
+    return F.crc32(_c(entity))
+
+
+def iso_time(ts, tz: str) -> Column:
+    """SCL-32: local ISO form to the second, with its offset."""
+    wall = local_time(ts, tz)
+    offset = (F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), wall) - _c(ts)).cast("long")
+    sign = F.when(offset < 0, "-").otherwise("+")
+    hours, minutes = F.floor(F.abs(offset) / 3600), F.floor(F.abs(offset) % 3600 / 60)
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), sign, F.lpad(hours.cast("string"), 2, "0"), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"))
+
+
 def quality(coverage, elevation) -> Column:
     """exact, night, partial or missing, in this order (FLT-01)."""
     return (F.when(_c(coverage) >= C.COVERAGE_EXACT, "exact").when(_c(elevation) < C.NIGHT_ELEVATION, "night")
@@ -80,7 +183,7 @@ def combine_verdicts(*flags) -> Column:
 def charger_limits(state) -> Column:
     """FLT-09; states outside of the known ones: NULL."""
     s = F.lower(F.trim(_c(state)))
-    return F.when(s.isin(C.CHARGER_LIMITING), True).when(s.isin("bulk", "mppt", "on", "charging"), False)
+    return F.when(s.isin(C.CHARGER_LIMITING), True).when(s.isin(C.CHARGER_FREE), False)
 
 
 def exceeds_ceiling(actual, ceiling, floor) -> Column:
@@ -123,7 +226,8 @@ def horizon_bucket(hours) -> Column:
 def shrunk(value, n) -> Column:
     """SCL-06."""
     raw = _c(value) * _c(n) / (_c(n) + C.SHRINK_K)
-    return F.when(_c(n) <= 0, 0.0).otherwise(F.greatest(F.lit(-C.EFFECT_CLAMP), F.least(F.lit(C.EFFECT_CLAMP), raw)))
+    held = F.greatest(F.lit(-C.EFFECT_CLAMP), F.least(F.lit(C.EFFECT_CLAMP), raw))
+    return F.when(_c(n) <= 0, 0.0).when(raw.isNotNull(), held)
 
 
 def correction(plant, string, daypart_) -> Column:
@@ -220,3 +324,11 @@ def amortisation_months(investment, saved, annual_value) -> Column:
     """Months to pay back the rest; over 1200: NULL (SCL-28)."""
     months = F.greatest(F.lit(0.0), _c(investment) - _c(saved)) / _c(annual_value) * 12
     return F.when((_c(annual_value) > 0) & (months <= C.AMORTISATION_MONTHS), months)
+
+
+def amortisation(investment, saved, annual_value, today) -> Column:
+    """Progress in percent, months to go and the day it is paid back
+    (SCL-28)."""
+    months = amortisation_months(investment, saved, annual_value)
+    progress = F.when(_c(investment) > 0, F.least(F.lit(100.0), _c(saved) / _c(investment) * 100))
+    return F.struct(progress.alias("progress_pct"), months.alias("months"), F.date_add(_c(today), F.floor(months * 30.44).cast("int")).alias("target"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,17 @@ from ..functions.predicates import floor_to
 def integrate(samples: DataFrame, watchdog_s: float = C.WATCHDOG_S, entity: str = "entity_id", step: int = C.INTERVAL_S) -> DataFrame:
     """Trapezoids between neighbouring non-null samples, cut at the interval
     edges (AGG-01). Spans over max(60, 2.5 * watchdog) seconds are gaps, and
-    a null sample breaks its span. One shuffle on the entity for the pairing,
-    one on (entity, interval) with partial sums. Per (entity, ts_utc):
-    energy_wh, power_mean_w, coverage, sample_count, peak_w."""
-    by = Window.partitionBy(entity).orderBy("ts_utc")
+    a null sample breaks its span. One shuffle on (entity, day) for the
+    pairing, one on (entity, interval) with partial sums, so a long history is
+    never sorted in one task; a sample that the next day may still be paired
+    with is dealt to both days. Per (entity, ts_utc): energy_wh, power_mean_w,
+    coverage, sample_count, peak_w."""
     gap = max(60.0, 2.5 * watchdog_s)
-    pairs = samples.select(entity, F.col("ts_utc").alias("t1"), F.col("value").alias("v1"), F.lag("ts_utc").over(by).alias("t0"), F.lag("value").over(by).alias("v0"))
+    day_s = 86400 * math.ceil(gap / 86400)
+    own, last = (F.floor(t / day_s) for t in (F.col("ts_utc"), F.col("ts_utc") + gap))
+    dealt = samples.select(entity, "ts_utc", "value", own.alias("own"), F.explode(F.when(last > own, F.array(own, last)).otherwise(F.array(own))).alias("day"))
+    by = Window.partitionBy(entity, "day").orderBy("ts_utc")
+    pairs = dealt.select(entity, F.col("ts_utc").alias("t1"), F.col("value").alias("v1"), F.lag("ts_utc").over(by).alias("t0"), F.lag("value").over(by).alias("v0"), "own", "day").filter("own = day")
     spans = pairs.filter("v0 is not null and v1 is not null and t1 > t0").filter(F.col("t1") - F.col("t0") <= gap)
     first, last = floor_to("t0", step), floor_to("t1", step)
     pieces = spans.select("*", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("w"))
@@ -51,12 +58,16 @@ def fold_hourly(fivemin: DataFrame) -> DataFrame:
 
 
 def fold_plant(state: DataFrame) -> DataFrame:
-    """Grid import and export apart, house load, mean charge (AGG-06)."""
-    kwh = C.INTERVAL_S / 3600.0 / 1000.0
+    """Grid import and export apart, house load, mean charge (AGG-06). Sums are
+    exact decimals, divided once, so that no order of summing shows."""
     grid = F.col("grid_power_w")
+
+    def kwh(watts):
+        return F.sum(watts.cast("decimal(20,6)")).cast("double") * (C.INTERVAL_S / 3600.0 / 1000.0)
+
     return state.groupBy(floor_to("ts_utc", C.HOUR_S).alias("hour")).agg(
-        (F.sum(F.when(grid > 0, grid).otherwise(0.0)) * kwh).alias("imported_kwh"), (F.sum(F.when(grid < 0, -grid).otherwise(0.0)) * kwh).alias("exported_kwh"),
-        (F.sum(F.coalesce("house_load_w", F.lit(0.0))) * kwh).alias("house_kwh"), F.avg("battery_soc_pct").alias("battery_soc_pct")).withColumnRenamed("hour", "ts_utc")
+        kwh(F.when(grid > 0, grid).otherwise(0.0)).alias("imported_kwh"), kwh(F.when(grid < 0, -grid).otherwise(0.0)).alias("exported_kwh"),
+        kwh(F.coalesce("house_load_w", F.lit(0.0))).alias("house_kwh"), F.avg("battery_soc_pct").alias("battery_soc_pct")).withColumnRenamed("hour", "ts_utc")
 
 
 def energy_between(hourly: DataFrame, fivemin: DataFrame, start: int, end: int) -> DataFrame:
@@ -99,3 +110,29 @@ def score(pairs: DataFrame, plant_kwp: float, by: str = "day") -> DataFrame:
     daily = pairs.groupBy(by).agg(F.sum("predicted").alias("p"), F.sum("actual").alias("a"), F.sum(F.abs(F.col("predicted") - F.col("actual"))).alias("e"), F.sum(F.col("predicted") - F.col("actual")).alias("s"), F.count("*").alias("n"))
     total = daily.agg(F.sum(F.abs(F.col("p") - F.col("a"))).alias("de"), F.sum("a").alias("da"), F.sum("e").alias("e"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("days"), F.avg(F.col("p") - F.col("a")).alias("daily_bias"))
     return total.select(F.when(F.col("da") > 0, F.col("de") / F.col("da")).alias("wmape"), (F.col("e") / F.col("n") / plant_kwp).alias("nmae"), (F.col("e") / F.col("n")).alias("mae"), (F.col("s") / F.col("n")).alias("bias"), "daily_bias", "n", "days")
+
+
+def score_populations(pairs: DataFrame, plant_kwp: float) -> DataFrame:
+    """Forecast metrics (AGG-19, CMP-12) of rows (day, predicted, actual,
+    censored), over the uncensored ones and over all, in one pass. Under three
+    days there are none, only the counts."""
+    each = pairs.select("*", F.explode(F.when(F.col("censored"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("uncensored")))).alias("population"))
+    miss = F.col("predicted") - F.col("actual")
+    daily = each.groupBy("population", "day").agg(F.sum("predicted").alias("p"), F.sum("actual").alias("a"), F.sum(F.abs(miss)).alias("e"), F.sum(miss).alias("s"), F.count("*").alias("n"))
+    total = daily.groupBy("population").agg(F.sum(F.abs(F.col("p") - F.col("a"))).alias("de"), F.sum("a").alias("da"), F.sum("e").alias("e"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("days"), F.avg(F.col("p") - F.col("a")).alias("daily_bias"))
+    enough = F.col("days") >= C.SCORE_DAYS
+    shown = {"wmape": F.when(F.col("da") > 0, F.col("de") / F.col("da")), "nmae": F.col("e") / F.col("n") / plant_kwp, "mae": F.col("e") / F.col("n"), "bias": F.col("s") / F.col("n"), "daily_bias": F.col("daily_bias")}
+    return total.select("population", *[F.when(enough, c).alias(k) for k, c in shown.items()], "n", "days")
+
+
+def last_before(samples: DataFrame, end: int, entity: str = "entity_id") -> DataFrame:
+    """Last valid value before ``end``, however old (AGG-03)."""
+    return samples.filter(F.col("value").isNotNull() & (F.col("ts_utc") < end)).groupBy(entity).agg(F.max_by("value", "ts_utc").alias("last_value"))
+
+
+def counts_by(rows: DataFrame, key: str, expected: DataFrame, usable=None) -> DataFrame:
+    """Rows and usable rows of each expected key, zero where there are none
+    (AGG-11). ``expected`` is the small configured dimension."""
+    flag = F.lit(True) if usable is None else usable
+    got = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(flag).alias("usable"), F.min("ts_utc").alias("first_ts_utc"))
+    return expected.select(key).join(got, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("usable", F.lit(0)).alias("usable"), "first_ts_utc")

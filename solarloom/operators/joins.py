@@ -61,15 +61,20 @@ def peers(rows: DataFrame) -> DataFrame:
     return seen.filter("n_peers = 1 or spread <= 0.35").select("ts_utc", "string_id", (F.col("physics_w") * F.col("ratio")).alias("reconstructed_w"), "n_peers")
 
 
-def sky_lookup(queries: DataFrame, cells: DataFrame) -> DataFrame:
-    """Factor at (string_id, az_bin, el_bin): the cell, else the mean of its
-    eight neighbours weighted by their counts, else 1 (JON-14, JON-15).
-    Azimuth wraps at 36 bins; the neighbours are an equi-join."""
+def sky_lookup(queries: DataFrame, cells: DataFrame, seasonal: DataFrame | None = None) -> DataFrame:
+    """Factor at (string_id, az_bin, el_bin): the cell of the half year
+    (``half`` of the query) where ``seasonal`` (string_id, az_bin, el_bin, half,
+    value) has one, else the cell, else the mean of its eight neighbours
+    weighted by their counts, else 1 (JON-14, JON-15). Azimuth wraps at 36 bins;
+    every step is an equi-join."""
+    keys = ["string_id", "az_bin", "el_bin"]
     near = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(e).alias("de")) for a in (-1, 0, 1) for e in (-1, 0, 1) if (a, e) != (0, 0)])
-    want = queries.select("string_id", "az_bin", "el_bin").distinct()
-    around = want.select("*", F.explode(near).alias("d")).select("string_id", "az_bin", "el_bin", F.pmod(F.col("az_bin") + F.col("d.da"), F.lit(36)).alias("a"), (F.col("el_bin") + F.col("d.de")).alias("e"))
+    want = queries.select(*keys).distinct()
+    around = want.select("*", F.explode(near).alias("d")).select(*keys, F.pmod(F.col("az_bin") + F.col("d.da"), F.lit(36)).alias("a"), (F.col("el_bin") + F.col("d.de")).alias("e"))
     c = cells.select(F.col("string_id").alias("s"), F.col("az_bin").alias("ca"), F.col("el_bin").alias("ce"), "value", "n")
-    mean = around.join(c, (F.col("string_id") == F.col("s")) & (F.col("a") == F.col("ca")) & (F.col("e") == F.col("ce"))).groupBy("string_id", "az_bin", "el_bin").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("near"))
-    out = queries.join(cells.select("string_id", "az_bin", "el_bin", F.col("value").alias("own")), ["string_id", "az_bin", "el_bin"], "left").join(mean, ["string_id", "az_bin", "el_bin"], "left")
-    shade = F.exp(F.coalesce("own", "near", F.lit(0.0)))
-    return out.withColumn("factor", F.greatest(F.lit(0.05), F.least(F.lit(1.0), shade))).drop("own", "near")
+    mean = around.join(c, (F.col("string_id") == F.col("s")) & (F.col("a") == F.col("ca")) & (F.col("e") == F.col("ce"))).groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("near"))
+    out = queries.join(cells.select(*keys, F.col("value").alias("own")), keys, "left").join(mean, keys, "left")
+    if seasonal is not None:
+        out = out.join(seasonal.select(*keys, "half", F.col("value").alias("season")), [*keys, "half"], "left")
+    found = F.coalesce(*(["season"] if seasonal is not None else []), "own", "near", F.lit(0.0))
+    return out.withColumn("factor", F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.exp(found)))).drop("own", "near", "season")

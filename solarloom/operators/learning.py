@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.predicates import nearest_load, recency
+from ..functions.predicates import curve_at, nearest_load, recency
+from ..plans.lineage import cut
 
 ALPHA = 1 - 0.5 ** (1 / C.EMA_HALF_LIFE)
 
@@ -16,37 +18,72 @@ def _shrunk(value: float, n: float) -> float:
     return 0.0 if n <= 0 else max(-C.EFFECT_CLAMP, min(C.EFFECT_CLAMP, value * n / (n + C.SHRINK_K)))
 
 
-def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, order: list[str]) -> DataFrame:
+def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, order: list[str], block_rows: int = 50_000) -> DataFrame:
     """``rows`` with the decayed mean (value, n_eff) of their bucket after each
-    row, in ``order`` (WIN-05). A bucket's history is one ordered fold, so it
-    runs in a grouped map; buckets are many and small."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, ema double, n_eff double, ema_shrunk double"
+    row, in ``order`` (WIN-05). A step is affine in (value, n_eff): the range of
+    the first order column is cut into about one block for each ``block_rows``
+    rows, each block of a bucket folds to one map on its own, the few maps of a
+    bucket are chained, and each block is replayed from the state it begins
+    with. So a task holds about a block's rows, whatever bucket has most of
+    them. ``rows`` is read three times: give it cut."""
+    n, low, high = rows.agg(F.count("*"), F.min(order[0]), F.max(order[0])).first()
+    width = max((float(high) - float(low)) / max(1, -(-n // block_rows)), 1e-9) if n else 1.0
+    rows = rows.withColumn("__block", F.least(F.floor((F.col(order[0]) - F.lit(low)) / width), F.lit(max(0, -(-n // block_rows) - 1)).cast("long")))
+    keys = [*by, "__block"]
+    kinds = dict(rows.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        """The block's map: value -> scale * value + shift, n -> keep * n + add."""
         frame = frame.sort_values(order)
+        a = np.minimum(1.0, ALPHA * frame[weight].to_numpy(float))
+        after = np.append(np.cumprod((1 - a)[::-1])[::-1][1:], 1.0)
+        n = len(frame)
+        kept = (1 - ALPHA) ** np.arange(n - 1, -1, -1)
+        out = frame[keys].iloc[:1].copy()
+        out["scale"], out["shift"] = float(np.prod(1 - a)), float((a * frame[value].to_numpy(float) * after).sum())
+        out["keep"], out["add"] = (1 - ALPHA) ** n, float((frame[weight].to_numpy(float) * kept).sum())
+        return out
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("__block")
         v = n = 0.0
+        begin = []
+        for scale, shift, keep, add in frame[["scale", "shift", "keep", "add"]].itertuples(index=False):
+            begin.append((v, n))
+            v, n = scale * v + shift, keep * n + add
+        return frame[keys].assign(__v=[x for x, _ in begin], __n=[x for _, x in begin])
+
+    def replay(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        v, n = float(frame["__v"].iloc[0]), float(frame["__n"].iloc[0])
         out = []
         for x, w in zip(frame[value], frame[weight]):
             n = (1 - ALPHA) * n + w
             a = min(1.0, ALPHA * w)
             v = (1 - a) * v + a * x
             out.append((v, n, _shrunk(v, n)))
+        frame = frame.drop(columns=["__v", "__n", "__block"])
         return frame.assign(**{c: [o[i] for o in out] for i, c in enumerate(("ema", "n_eff", "ema_shrunk"))})
 
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    maps = rows.groupBy(*keys).applyInPandas(fold, f"{head}, scale double, shift double, keep double, add double")
+    begin = maps.groupBy(*by).applyInPandas(chain, f"{head}, __v double, __n double")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema if f.name != '__block')}, ema double, n_eff double, ema_shrunk double"
+    return rows.join(begin, keys).groupBy(*keys).applyInPandas(replay, schema)
 
 
 def learn_effects(obs: DataFrame) -> DataFrame:
     """Three keyed scans in place of one global loop (ITR-01): the plant layer
     sees the residual, the string layer what that leaves, the third layer what
-    both leave. ``obs`` has hour, string_id, weather, part, residual, weight.
+    both leave. Each scan reads the one before it twice, so each is cut.
+    ``obs`` has hour, string_id, weather, part, residual, weight.
     Gives (scope, key, value, n_eff) after the last row of each bucket."""
     order = ["hour", "string_id"]
-    one = running_effect(obs, ["weather", "part"], "residual", "weight", order)
+    one = cut(running_effect(cut(obs), ["weather", "part"], "residual", "weight", order))
     rest = one.withColumn("rest", F.col("residual") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v1", "n_eff": "n1"}).drop("ema_shrunk")
-    two = running_effect(rest, ["string_id"], "rest", "weight", order)
+    two = cut(running_effect(rest, ["string_id"], "rest", "weight", order))
     last = two.withColumn("rest2", F.col("rest") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v2", "n_eff": "n2"}).drop("ema_shrunk")
-    three = running_effect(last, ["string_id", "part"], "rest2", "weight", order)
+    three = cut(running_effect(last, ["string_id", "part"], "rest2", "weight", order))
     at = F.struct("hour", "string_id")
 
     def final(scope, key, v, n):
@@ -57,21 +94,30 @@ def learn_effects(obs: DataFrame) -> DataFrame:
 
 
 def fit_curves(pairs: DataFrame, reference: DataFrame, now: int) -> DataFrame:
-    """Efficiency per scope and load bucket (CMP-14, AGG-21): weighted mean of
-    the clean pairs (FLT-18), shrunk to the prior at 50 observations and held
-    within five points of it. ``reference`` has scope_id, reference_w, prior
-    (array of load_pct, eta)."""
+    """Efficiency per scope and load bucket (CMP-14, AGG-21): weighted mean and
+    population variance (two passes) of the clean pairs (FLT-18), shrunk to the
+    prior at 50 observations and held within five points of it; and the
+    highest load seen before the pairs are cleaned. ``reference`` has scope_id,
+    reference_w, prior (array of load, eta)."""
     p = pairs.filter("in_w > 0 and out_w >= 0 and coverage > 0 and coalesce(censored, 1) = 0").join(reference, "scope_id")
-    p = p.withColumn("load", F.col("in_w") / F.col("reference_w") * 100).withColumn("eta", F.col("out_w") / F.col("in_w"))
-    clean = p.filter("load >= 1 and out_w < 0.98 * reference_w and eta > 0.3 and eta <= 1.05")
-    clean = clean.withColumn("bucket", nearest_load("load")).withColumn("w", F.col("coverage") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.CURVE_RECENCY_DAYS))
-    from ..functions.predicates import curve_at
-
-    bins = clean.groupBy("scope_id", "bucket").agg(F.sum("w").alias("n_eff"), (F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("measured"), (F.sum(F.col("w") * F.col("eta") * F.col("eta")) / F.sum("w")).alias("sq"), F.count("*").alias("n"))
-    bins = bins.join(reference, "scope_id").withColumn("base", curve_at("prior", "bucket"))
-    mixed = (F.col("measured") * F.col("n_eff") + F.col("base") * C.CURVE_MIN_SAMPLES) / (F.col("n_eff") + C.CURVE_MIN_SAMPLES)
-    eta = F.greatest(F.col("base") - C.CURVE_CAP, F.least(F.col("base") + C.CURVE_CAP, mixed))
-    return bins.select("scope_id", "bucket", "n", "n_eff", "measured", F.greatest(F.col("sq") - F.col("measured") * F.col("measured"), F.lit(0.0)).alias("variance"), eta.alias("eta"))
+    p = p.withColumn("load", F.col("in_w") / F.col("reference_w") * 100).withColumn("eta", F.col("out_w") / F.col("in_w")).filter("load >= 1")
+    top = p.groupBy("scope_id").agg(F.max("load").alias("max_load"))
+    clean = p.filter("out_w < 0.98 * reference_w and eta > 0.3 and eta <= 1.05")
+    clean = clean.select("scope_id", "eta", nearest_load("load").alias("bucket"), (F.col("coverage") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.CURVE_RECENCY_DAYS)).alias("w"))
+    keys = ["scope_id", "bucket"]
+    bins = clean.groupBy(*keys).agg(F.sum("w").alias("n_eff"), (F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("measured"), F.count("*").alias("n"))
+    away = F.col("eta") - F.col("measured")
+    spread = clean.join(bins, keys).groupBy(*keys).agg((F.sum(F.col("w") * away * away) / F.sum("w")).alias("variance"))
+    bins = bins.join(spread, keys).join(reference, "scope_id").join(top, "scope_id").withColumn("base", curve_at("prior", "bucket"))
+    return bins.select(*keys, "n", "n_eff", "measured", "variance", held_to_prior("measured", "n_eff", "base").alias("eta"), "max_load")
+
+
+def held_to_prior(measured, n_eff, base):
+    """A bucket's efficiency: between the prior and what was measured, by the
+    evidence, within the cap, at most 1."""
+    m, n, b = F.col(measured), F.col(n_eff), F.col(base)
+    mixed = b + (m - b) * n / (n + C.CURVE_MIN_SAMPLES)
+    return F.when(mixed.isNotNull(), F.greatest(b - C.CURVE_CAP, F.least(F.least(b + C.CURVE_CAP, F.lit(1.0)), mixed)))
 
 
 def looks_derived(bins: DataFrame) -> DataFrame:

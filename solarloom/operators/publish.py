@@ -41,9 +41,12 @@ def classify_hours(conditions: DataFrame) -> DataFrame:
     return hours.select("hour", R.weather_class("rain", kc, "clouds").alias("weather"), R.daypart((F.col("hour") + 1800 - F.col("noon")) / 3600).alias("part"))
 
 
-def sky_state(rows: DataFrame, by: list[str]) -> DataFrame:
+def sky_state(rows: DataFrame, by: list[str], source=None, learning=None, window_s: int = 900) -> DataFrame:
     """Clearness, restlessness and the reason there is none, of each window of
-    ``measured``, ``forecast`` and ``clearsky`` (AGG-22, CMP-02, FLT-19)."""
+    ``measured``, ``forecast`` and ``clearsky`` (AGG-22, CMP-02, FLT-19). Without
+    a ``source`` or with ``learning`` off (boolean columns, constant in a window)
+    there is none; a window that ends (``end``, with ``ts_utc`` of the rows)
+    more than ``window_s`` after its last measurement is stale."""
     m, f, c = F.col("measured"), F.col("forecast"), F.col("clearsky")
     usable = (c > 50) & (m >= 0)
     compared = usable & (f > 5)
@@ -51,8 +54,10 @@ def sky_state(rows: DataFrame, by: list[str]) -> DataFrame:
     got = rows.groupBy(*by).agg(
         F.count("measured").alias("seen"), F.count_if(c > 50).alias("lit"), F.count_if(usable).alias("intervals"), F.median(F.when(usable, m / c)).alias("kt"),
         F.count_if(compared).alias("compared"), F.count_if(inside).alias("inside"), F.stddev_pop(F.when(inside, F.log(m / f))).alias("spread"),
-        F.min("measured").alias("low"), F.max("measured").alias("high"))
-    reason = (F.when(F.col("seen") == 0, "no_measurement").when((F.col("seen") >= 3) & (F.col("high") > 50) & (F.col("low") == F.col("high")), "frozen")
+        F.min("measured").alias("low"), F.max("measured").alias("high"),
+        F.bool_and(F.lit(True) if source is None else source).alias("source"), F.bool_and(F.lit(True) if learning is None else learning).alias("learning"),
+        (F.max(F.when(m.isNotNull(), F.col("ts_utc"))) < F.max("end") - window_s if "end" in rows.columns else F.lit(False)).alias("stale"))
+    reason = (F.when(~F.col("source"), "no_source").when(~F.col("learning"), "learning_off").when(F.col("seen") == 0, "no_measurement").when(F.col("stale"), "stale").when((F.col("seen") >= 3) & (F.col("high") > 50) & (F.col("low") == F.col("high")), "frozen")
               .when(F.col("lit") < 3, "too_dark").when(F.col("intervals") < 3, "thin").when(F.col("kt") <= 0, "too_dark").otherwise(""))
     spread = F.when((F.col("compared") >= 3) & (F.col("inside") >= 3), F.col("spread"))
     got = got.withColumn("reason", reason).withColumn("spread", F.when(F.col("reason") == "", spread))
@@ -131,11 +136,24 @@ def backfill_rows(history: DataFrame) -> DataFrame:
 
 def health_runs(updates: DataFrame, by: list[str], limit: int = 5) -> DataFrame:
     """Consecutive bad updates and the report on the one that reaches
-    ``limit``, armed again by a good one (CMP-21, WIN-09, STR-09)."""
-    order = Window.partitionBy(*by).orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)
-    island = updates.withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order))
-    run = F.sum(F.when(F.col("bad"), 1).otherwise(0)).over(Window.partitionBy(*by, "island").orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0))
-    return island.withColumn("run", run).withColumn("report", F.col("bad") & (F.col("run") == limit)).drop("island")
+    ``limit``, armed again by a good one (CMP-21, WIN-09, STR-09). Runs are
+    counted within days, and what each day leaves open is carried on over the
+    few rows of day totals, so no task sorts a whole history."""
+    day = F.floor(F.col("ts_utc") / 86400)
+    rows = updates.withColumn("__day", day)
+    bad, good = F.when(F.col("bad"), 1).otherwise(0), F.when(F.col("bad"), 0).otherwise(1)
+    order = Window.partitionBy(*by, "__day").orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__island", F.sum(good).over(order))
+    rows = rows.withColumn("__run", F.sum(bad).over(Window.partitionBy(*by, "__day", "__island").orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy(*by, "__day").agg(F.max("__island").alias("goods"), F.max_by("__run", "ts_utc").alias("open"))
+    over = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("__piece", F.sum(F.when(F.col("goods") > 0, 1).otherwise(0)).over(over))
+    piece = Window.partitionBy(*by, "__piece").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("__held", F.sum("open").over(piece))
+    days = days.select(*by, "__day", F.lag("__held", 1, 0).over(Window.partitionBy(*by).orderBy("__day")).alias("__carried"))
+    run = F.when(F.col("bad") & (F.col("__island") == 0), F.col("__run") + F.col("__carried")).otherwise(F.col("__run"))
+    out = rows.join(days, [*by, "__day"]).withColumn("run", run)
+    return out.withColumn("report", F.col("bad") & (F.col("run") == limit)).select(*updates.columns, "run", "report")
 
 
 def day_sums(newest: DataFrame, now: int, by: list[str]) -> DataFrame:

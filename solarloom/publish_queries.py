@@ -12,6 +12,7 @@ from .operators import learning as L
 from .operators import mutations as M
 from .operators import publish as P
 from .queries import END, INTEGRATED, LOG, PLANT, SKY_NOW, START, _latest, query, rounded, sql_rounded
+from .plans.lineage import cut
 from .sources import adapters as D
 
 AT = 1706265000
@@ -95,21 +96,6 @@ def _(spark, d):
     return rounded(P.group_binding(D.fivemin(spark, d).withColumn("physics_w", F.col("power_mean_w") * 1.2), members))
 
 
-ISSUES = f"{LOG}, iss AS (SELECT ts_utc, issued_at_utc, horizon_h, potential_kwh * 10 AS g FROM latest WHERE string_id = 's1'), ms AS (SELECT ts_utc // 3600 * 3600 AS ts_utc, avg(value) * 5 AS m FROM (SELECT epoch_us(ts) // 1000000 AS ts_utc, value FROM events WHERE event_type = 'click' AND user_id % 2 = 0) GROUP BY ALL), tr AS (SELECT ts_utc, coalesce(any_value(m), arg_max(g, issued_at_utc) FILTER (horizon_h <= 2)) AS truth FROM iss LEFT JOIN ms USING (ts_utc) GROUP BY ALL)"
-
-
-def _issues(spark, d):
-    issues = _latest(spark, d).filter("string_id = 's1'").select("ts_utc", "issued_at_utc", "horizon_h", (F.col("potential_kwh") * 10).alias("ghi_wm2"))
-    e = D.table(spark, d, "events").filter("event_type = 'click' and user_id % 2 = 0")
-    measured = e.select(R.floor_to(D.micros(e, "ts") / 1000000, 3600).alias("ts_utc"), "value").groupBy("ts_utc").agg((F.avg("value") * 5).alias("ghi"))
-    return P.bias_observations(issues, measured)
-
-
-@query("cmp08_bias_observations", f"WITH {ISSUES} SELECT ts_utc, issued_at_utc, horizon_h, CASE WHEN horizon_h < 6 THEN '0-6h' WHEN horizon_h < 24 THEN '6-24h' WHEN horizon_h < 48 THEN '24-48h' ELSE '48h+' END AS bucket, round(truth, 6) + 0.0 AS truth, round(g, 6) + 0.0 AS ghi_wm2, round(ln(truth / g), 6) + 0.0 AS residual, round(least(truth, 600.0) / 600.0, 6) + 0.0 AS weight FROM iss JOIN tr USING (ts_utc) WHERE truth > 5 AND g > 5 AND horizon_h >= 0 AND NOT (horizon_h <= 2 AND truth = g) AND truth / g BETWEEN 0.05 AND 5")
-def _(spark, d):
-    return rounded(_issues(spark, d))
-
-
 WHOLE_ISSUES = f"{LOG}, iss AS (SELECT ts_utc, string_id, issued_at_utc, horizon_h, potential_kwh * 10 AS g FROM latest), ms AS (SELECT ts_utc // 3600 * 3600 AS ts_utc, avg(value) * 5 AS m FROM (SELECT epoch_us(ts) // 1000000 AS ts_utc, value FROM events WHERE event_type = 'click') GROUP BY ALL), tr AS (SELECT ts_utc, string_id, coalesce(any_value(m), arg_max(g, issued_at_utc) FILTER (horizon_h <= 2)) AS truth FROM iss LEFT JOIN ms USING (ts_utc) GROUP BY ALL)"
 
 
@@ -121,16 +107,17 @@ def _whole_issues(spark, d):
     return P.bias_observations(issues, measured, ("string_id",))
 
 
-@query("cmp08_bias_observations_whole", f"WITH {WHOLE_ISSUES} SELECT ts_utc, string_id, issued_at_utc, horizon_h, CASE WHEN horizon_h < 6 THEN '0-6h' WHEN horizon_h < 24 THEN '6-24h' WHEN horizon_h < 48 THEN '24-48h' ELSE '48h+' END AS bucket, round(truth, 6) + 0.0 AS truth, round(g, 6) + 0.0 AS ghi_wm2, round(ln(truth / g), 6) + 0.0 AS residual, round(least(truth, 600.0) / 600.0, 6) + 0.0 AS weight FROM iss JOIN tr USING (ts_utc, string_id) WHERE truth > 5 AND g > 5 AND horizon_h >= 0 AND NOT (horizon_h <= 2 AND truth = g) AND truth / g BETWEEN 0.05 AND 5")
-def _(spark, d):
-    return rounded(_whole_issues(spark, d))
+BIAS_SQL = f"WITH {WHOLE_ISSUES} SELECT ts_utc, string_id, issued_at_utc, horizon_h, CASE WHEN horizon_h < 6 THEN '0-6h' WHEN horizon_h < 24 THEN '6-24h' WHEN horizon_h < 48 THEN '24-48h' ELSE '48h+' END AS bucket, round(truth, 6) + 0.0 AS truth, round(g, 6) + 0.0 AS ghi_wm2, round(ln(truth / g), 6) + 0.0 AS residual, round(least(truth, 600.0) / 600.0, 6) + 0.0 AS weight FROM iss JOIN tr USING (ts_utc, string_id) WHERE truth > 5 AND g > 5 AND horizon_h >= 0 AND NOT (horizon_h <= 2 AND truth = g) AND truth / g BETWEEN 0.05 AND 5"
+# Both names run over all strings and clicks.
+for _name in ("cmp08_bias_observations", "cmp08_bias_observations_whole"):
+    query(_name, BIAS_SQL)(lambda spark, d: rounded(_whole_issues(spark, d)))
 
 
 @query("cmp08_learn_bias")
 def _(spark, d):
     rows = _whole_issues(spark, d).withColumn("hour_local", (F.floor(F.col("ts_utc") / 3600) % 24).cast("int"))
     keys = ["string_id", "hour_local", "bucket"]
-    return rounded(L.running_effect(rows, keys, "residual", "weight", ["ts_utc", "horizon_h"]).groupBy(*keys).agg(F.max_by("ema", F.struct("ts_utc", "horizon_h")).alias("value"), F.max_by("n_eff", F.struct("ts_utc", "horizon_h")).alias("n_eff")))
+    return rounded(L.running_effect(cut(rows), keys, "residual", "weight", ["ts_utc", "horizon_h"]).groupBy(*keys).agg(F.max_by("ema", F.struct("ts_utc", "horizon_h")).alias("value"), F.max_by("n_eff", F.struct("ts_utc", "horizon_h")).alias("n_eff")))
 
 
 @query("cmp07_implausible_hours", f"WITH {INTEGRATED}, g AS (SELECT ts_utc // 3600 * 3600 AS hour, count(DISTINCT ts_utc) AS n, avg(5.0 + ts_utc // 300 % 60) AS ceiling, sum(energy_wh) AS actual FROM fm GROUP BY ALL) SELECT hour, round(ceiling, 6) + 0.0 AS ceiling, round(actual, 6) + 0.0 AS actual FROM g WHERE n >= 4 AND actual > 30 AND actual > 1.15 * ceiling")
@@ -150,14 +137,10 @@ def _(spark, d):
     return P.health_runs(D.fivemin(spark, d).select("string_id", "ts_utc", (F.col("coverage") < 0.4).alias("bad")), ["string_id"])
 
 
-@query("cmp25_plant_power", f"WITH {INTEGRATED} SELECT ts_utc, round(CASE WHEN count(power_mean_w) = 2 THEN sum(power_mean_w) END, 6) + 0.0 AS power_w FROM fm WHERE string_id <> 's3' GROUP BY ALL")
-def _(spark, d):
-    return rounded(P.plant_power(D.fivemin(spark, d).filter("string_id <> 's3'"), 2))
-
-
-@query("cmp25_plant_power_whole", f"WITH {INTEGRATED} SELECT ts_utc, round(CASE WHEN count(power_mean_w) = 3 THEN sum(power_mean_w) END, 6) + 0.0 AS power_w FROM fm GROUP BY ALL")
-def _(spark, d):
-    return rounded(P.plant_power(D.fivemin(spark, d), 3))
+PLANT_POWER = f"WITH {INTEGRATED} SELECT ts_utc, round(CASE WHEN count(power_mean_w) = 3 THEN sum(power_mean_w) END, 6) + 0.0 AS power_w FROM fm GROUP BY ALL"
+# Both names run over all strings.
+for _name in ("cmp25_plant_power", "cmp25_plant_power_whole"):
+    query(_name, PLANT_POWER)(lambda spark, d: rounded(P.plant_power(D.fivemin(spark, d), 3)))
 
 
 _DAY, _HOUR = AT // 86400 * 86400, AT // 3600 * 3600

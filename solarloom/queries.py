@@ -88,9 +88,13 @@ def _(spark, d):
 PLANT = "pl AS (SELECT epoch_us(ts) // 300000000 * 300 AS ts_utc, event_id, CAST(CAST(props->>'$.k' AS INT) AS DOUBLE) AS soc, value * 10 - 1000 AS grid, CASE WHEN CAST(props->>'$.k' AS INT) % 7 <> 0 THEN value END AS load FROM events WHERE event_type = 'purchase')"
 
 
-@query("agg06_fold_plant", sql_rounded("ts_utc imported_kwh* exported_kwh* house_kwh* battery_soc_pct*", f"WITH {PLANT}, g AS (SELECT ts_utc // 3600 * 3600 AS ts_utc, sum(CASE WHEN grid > 0 THEN grid ELSE 0 END) * (300 / 3600.0 / 1000.0) AS imported_kwh, sum(CASE WHEN grid < 0 THEN -grid ELSE 0 END) * (300 / 3600.0 / 1000.0) AS exported_kwh, sum(coalesce(load, 0)) * (300 / 3600.0 / 1000.0) AS house_kwh, avg(soc) AS battery_soc_pct FROM pl GROUP BY ALL) SELECT {{cols}} FROM g"))
+KWH = "CAST(sum(CAST({} AS DECIMAL(20, 6))) AS DOUBLE) * (300 / 3600.0 / 1000.0)"
+
+
+# Nine digits: sums of cents times 5/6 end in exact ties at six.
+@query("agg06_fold_plant", sql_rounded("ts_utc imported_kwh* exported_kwh* house_kwh* battery_soc_pct*", f"WITH {PLANT}, g AS (SELECT ts_utc // 3600 * 3600 AS ts_utc, {KWH.format('CASE WHEN grid > 0 THEN grid ELSE 0 END')} AS imported_kwh, {KWH.format('CASE WHEN grid < 0 THEN -grid ELSE 0 END')} AS exported_kwh, {KWH.format('coalesce(load, 0)')} AS house_kwh, avg(soc) AS battery_soc_pct FROM pl GROUP BY ALL) SELECT {{cols}} FROM g", 9))
 def _(spark, d):
-    return rounded(A.fold_plant(D.plant_state(spark, d)))
+    return rounded(A.fold_plant(D.plant_state(spark, d)), 9)
 
 
 START, END = 1704500123, 1705700456
@@ -196,19 +200,19 @@ def _(spark, d):
     return rounded(S.worst_sectors(S.absolute_fit(_sky(spark, d))).select("string_id", "az_bin", "el_bin", "loss_pct"))
 
 
-@query("jon15_sky_lookup", f"WITH {SKY}, q AS (SELECT DISTINCT string_id, az_bin, el_bin FROM rw), c AS (SELECT * FROM fit WHERE (az_bin + el_bin) % 4 <> 0), nb AS (SELECT q.string_id, q.az_bin, q.el_bin, sum(c.value * c.n) / sum(c.n) AS near FROM q, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), c WHERE NOT (da = 0 AND de = 0) AND c.string_id = q.string_id AND c.az_bin = (q.az_bin + da + 36) % 36 AND c.el_bin = q.el_bin + de GROUP BY ALL) SELECT string_id, az_bin, el_bin, round(greatest(0.05, least(1.0, exp(coalesce(c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN c USING (string_id, az_bin, el_bin) LEFT JOIN nb USING (string_id, az_bin, el_bin)")
-def _(spark, d):
-    rows = _sky(spark, d)
-    cells = S.absolute_fit(rows).filter("(az_bin + el_bin) % 4 <> 0")
-    return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin").distinct(), cells))
+LOOKUP = f"WITH {SKY}, q AS (SELECT DISTINCT string_id, az_bin, el_bin FROM rw), c AS (SELECT * FROM fit), nb AS (SELECT q.string_id, q.az_bin, q.el_bin, sum(c.value * c.n) / sum(c.n) AS near FROM q, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), c WHERE NOT (da = 0 AND de = 0) AND c.string_id = q.string_id AND c.az_bin = (q.az_bin + da + 36) % 36 AND c.el_bin = q.el_bin + de GROUP BY ALL) SELECT string_id, az_bin, el_bin, round(greatest(0.05, least(1.0, exp(coalesce(c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN c USING (string_id, az_bin, el_bin) LEFT JOIN nb USING (string_id, az_bin, el_bin)"
 
 
-@query("jon15_sky_lookup_whole", SQL["jon15_sky_lookup"].replace("SELECT * FROM fit WHERE (az_bin + el_bin) % 4 <> 0", "SELECT * FROM fit"))
-def _(spark, d):
+def _lookup(spark, d):
     rows = _sky(spark, d)
     return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin").distinct(), S.absolute_fit(rows)))
 
 
+# Both names run over all cells; the longer one is the older of the two forms.
+for _name in ("jon15_sky_lookup", "jon15_sky_lookup_whole"):
+    query(_name, LOOKUP)(_lookup)
+
+
 @query("itr03_joint_fit")
 def _(spark, d):
     return rounded(S.joint_fit(_sky(spark, d)))

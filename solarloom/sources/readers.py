@@ -59,6 +59,15 @@ def parse_curve(text):
     return F.when(F.forall(parts, lambda p: p["load"].isNotNull() & p["eta"].isNotNull()), parts)
 
 
+def curve_text(points):
+    """Points to the text that ``parse_curve`` reads, without trailing zeros
+    (PRJ-01)."""
+    def short(x):
+        return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+    return F.array_join(F.transform(points, lambda p: F.concat(short(p["load"]), F.lit(":"), short(p["eta"]))), ", ")
+
+
 def densify(samples: DataFrame, watchdog_s: int = C.WATCHDOG_S, entity: str = "entity_id") -> DataFrame:
     """Repeat each value every ``watchdog_s`` until the next sample (SRC-02)."""
     by = Window.partitionBy(entity).orderBy("ts_utc")
