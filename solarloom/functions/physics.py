@@ -28,23 +28,25 @@ def equation_of_time(ts: str) -> str:
     return f"(229.18 * (0.000075 + 0.001868 * cos({b}) - 0.032077 * sin({b}) - 0.014615 * cos(2 * {b}) - 0.040849 * sin(2 * {b})))"
 
 
-def extraterrestrial(ts: str) -> str:
-    b = day_angle(ts)
-    return f"(1366.1 * (1.00011 + 0.034221 * cos({b}) + 0.00128 * sin({b}) + 0.000719 * cos(2 * {b}) + 0.000077 * sin(2 * {b})))"
-
-
 #: Steps in order; each may use the columns before it. Inputs: ts (interval
 #: midpoint, epoch seconds), lat, lon, altitude, turbidity, ghi, dni, dhi,
 #: temp_c, wind_ms, tilt, azimuth, kwp, temp_coeff, system_eff, shade (factor
 #: of direct light), and mount_a, mount_b, mount_dt.
 SUN = [
-    ("decl", declination("ts")),
-    ("hour_angle", f"radians(((ts % 86400) / 240.0 + lon + {equation_of_time('ts')} / 4.0) - 180.0)"),
+    # The angle's multiples from one sine and one cosine.
+    ("day_angle", day_angle("ts")),
+    ("sin_b", "sin(day_angle)"),
+    ("cos_b", "cos(day_angle)"),
+    ("sin_2b", "2 * sin_b * cos_b"),
+    ("cos_2b", "cos_b * cos_b - sin_b * sin_b"),
+    ("decl", "0.006918 - 0.399912 * cos_b + 0.070257 * sin_b - 0.006758 * cos_2b + 0.000907 * sin_2b - 0.002697 * (cos_2b * cos_b - sin_2b * sin_b) + 0.00148 * (sin_2b * cos_b + cos_2b * sin_b)"),
+    ("eot_min", "229.18 * (0.000075 + 0.001868 * cos_b - 0.032077 * sin_b - 0.014615 * cos_2b - 0.040849 * sin_2b)"),
+    ("hour_angle", "radians(((ts % 86400) / 240.0 + lon + eot_min / 4.0) - 180.0)"),
     ("cos_z", "sin(radians(lat)) * sin(decl) + cos(radians(lat)) * cos(decl) * cos(hour_angle)"),
     ("elevation", "degrees(asin(greatest(-1.0, least(1.0, cos_z))))"),
     ("sun_azimuth", "degrees(atan2(-sin(hour_angle), tan(decl) * cos(radians(lat)) - sin(radians(lat)) * cos(hour_angle)))"),
     ("sun_az", "case when sun_azimuth < 0 then sun_azimuth + 360 else sun_azimuth end"),
-    ("e0", extraterrestrial("ts")),
+    ("e0", "1366.1 * (1.00011 + 0.034221 * cos_b + 0.00128 * sin_b + 0.000719 * cos_2b + 0.000077 * sin_2b)"),
 ]
 CLEARSKY = [
     ("cz", "greatest(cos_z, 0.0)"),
@@ -117,10 +119,12 @@ def plane(model: str = "haydavies", scope: str = "beam") -> list[tuple[str, str]
 
 
 def run(df: DataFrame, steps=None) -> DataFrame:
-    """``df`` with the columns of all steps (PHY-13)."""
-    for name, sql in steps or CHAIN:
-        df = df.withColumn(name, F.expr(sql))
-    return df
+    """``df`` with the columns of all steps (PHY-13), in one projection whose
+    later columns refer to the ones before; columns of those names are
+    replaced."""
+    steps = steps or CHAIN
+    base = df.drop(*[name for name, _ in steps])
+    return base.select("*", *[F.expr(sql).alias(name) for name, sql in steps])
 
 
 def turbidity(lat: str, day: str) -> str:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import solarloom.publish_queries  # noqa: F401  (registers its queries)
+import solarloom.view_queries  # noqa: F401  (registers its queries and the forecast's)
 from solarloom.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
