@@ -116,8 +116,9 @@ def link_quotations(conversations: DataFrame, conv: str = "conv_id", turn: str =
     discard(quoted, linked, chain)
     out = rows.join(info, ["__c", "__t"], "left")
     passages = F.filter("passages", lambda p: p["level"] > 0)
+    # Users' names come last: in one projection they would hide ours.
     return out.select(
-        *[F.col(f"row.{c}").alias(n) for c, n in zip(base.columns, names)], "body", F.size(passages).cast("long").alias("n_quotes"),
-        F.size(F.filter(passages, lambda p: F.array_contains(F.coalesce("found", F.array().cast("array<string>")), p["hash"]))).cast("long").alias("n_linked"),
-        F.coalesce(F.array_max(F.transform(passages, lambda p: p["level"])), F.lit(0)).cast("long").alias("levels"),
-        F.col("parent").alias("parent_turn"), F.coalesce("root", "__t").alias("root_turn"))
+        *[F.col(f"row.{c}").alias(f"__{c}") for c in base.columns], F.col("body").alias("__body"), F.size(passages).cast("long"),
+        F.size(F.filter(passages, lambda p: F.array_contains(F.coalesce("found", F.array().cast("array<string>")), p["hash"]))).cast("long"),
+        F.coalesce(F.array_max(F.transform(passages, lambda p: p["level"])), F.lit(0)).cast("long"),
+        F.col("parent").alias("__parent"), F.coalesce("root", "__t")).toDF(*names, *added)
