@@ -40,12 +40,15 @@ def paired_spans(samples: DataFrame) -> DataFrame:
     return samples.groupBy("entity_id").applyInPandasWithState(carry, "entity_id string, t0 double, v0 double, t1 double, v1 double", "t double, v double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Idempotent sink (STR-06): each micro-batch writes a folder of its own,
-    so a replay overwrites itself; readers take the newest batch per key."""
+def upsert_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
+    """Idempotent sink (STR-06): each micro-batch writes a folder of its own
+    with the row of highest ``order`` for each key, so a replay overwrites
+    itself; readers take the newest batch per key."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        rest = [c for c in batch.columns if c not in keys]
+        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")
+        last.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
