@@ -303,10 +303,10 @@ def _(spark, d):
     return rounded(V.shading_now(J.sky_lookup(at, cells(spark, d))).select("ts_utc", "string_id", "loss_pct"), 4)
 
 
-@query("met14_irradiance_now", sql_rounded("hour forecast_wm2* measured_wm2* clearsky_wm2* clearsky_index* error_wm2* truth", f"WITH {CONDITIONS}, {MEASURED}, ih AS (SELECT cn.hour, avg(cn.ghi) AS forecast_wm2, avg(mg.ghi) AS measured_wm2, avg(cs_ghi) AS clearsky_wm2 FROM cn LEFT JOIN mg USING (ts_utc) GROUP BY ALL) SELECT {{cols}} FROM (SELECT *, CASE WHEN clearsky_wm2 > 5 THEN coalesce(measured_wm2, forecast_wm2) / clearsky_wm2 END AS clearsky_index, forecast_wm2 - measured_wm2 AS error_wm2, CASE WHEN measured_wm2 IS NOT NULL THEN 'measured' ELSE 'forecast' END AS truth FROM ih)", 4))
+@query("met14_irradiance_now", sql_rounded("hour forecast_wm2* measured_wm2* clearsky_wm2* clearsky_index* error_wm2* truth", f"WITH {CONDITIONS}, {MEASURED}, ih AS (SELECT cn.hour, avg(cn.ghi) AS forecast_wm2, avg(mg.ghi) AS measured_wm2, avg(cs_ghi) AS clearsky_wm2 FROM cn LEFT JOIN mg USING (ts_utc) GROUP BY ALL) SELECT {{cols}} FROM (SELECT *, CASE WHEN clearsky_wm2 > 5 THEN coalesce(measured_wm2, forecast_wm2) / clearsky_wm2 END AS clearsky_index, forecast_wm2 - measured_wm2 AS error_wm2, CASE WHEN measured_wm2 IS NOT NULL THEN 'measured' ELSE 'forecast' END AS truth FROM ih)", 7))
 def _(spark, d):
     from .operators import views as V
 
     seen = measured_ghi(spark, d).select("ts_utc", F.col("ghi").alias("m"))
     hours = conditions(spark, d).join(seen, "ts_utc", "left").groupBy("hour").agg(F.avg("ghi").alias("forecast_wm2"), F.avg("m").alias("measured_wm2"), F.avg("cs_ghi").alias("clearsky_wm2"))
-    return rounded(V.irradiance_now(hours), 4)
+    return rounded(V.irradiance_now(hours), 7)

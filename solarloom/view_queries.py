@@ -114,10 +114,10 @@ def _(spark, d):
     return rounded(V.savings_windows(A.fold_hourly(D.fivemin(spark, d)), A.fold_plant(D.plant_state(spark, d)), windows, modes), 5)
 
 
-@query("met11_amortisation", "SELECT o_orderkey, round(least(100.0, o_totalprice / 90000 * 100), 6) + 0.0 AS progress_pct, round(CASE WHEN y > 0 AND m <= 1200 THEN m END, 6) + 0.0 AS months, CASE WHEN y > 0 AND m <= 1200 THEN CAST(CAST(o_orderdate AS DATE) + CAST(floor(m * 30.44) AS INT) AS DATE) END AS target FROM (SELECT *, greatest(0.0, 90000.0 - o_totalprice) / y * 12 AS m FROM (SELECT *, CAST(o_custkey % 50 * 40 AS DOUBLE) AS y FROM orders))")
+@query("met11_amortisation", "SELECT o_orderkey, round(least(100.0, o_totalprice / 90000 * 100), 9) + 0.0 AS progress_pct, round(CASE WHEN y > 0 AND m <= 1200 THEN m END, 9) + 0.0 AS months, CASE WHEN y > 0 AND m <= 1200 THEN CAST(CAST(o_orderdate AS DATE) + CAST(floor(m * 30.44) AS INT) AS DATE) END AS target FROM (SELECT *, greatest(0.0, 90000.0 - o_totalprice) / y * 12 AS m FROM (SELECT *, CAST(o_custkey % 50 * 40 AS DOUBLE) AS y FROM orders))")
 def _(spark, d):
     o = D.table(spark, d, "orders")
-    return rounded(o.select("o_orderkey", R.amortisation(F.lit(90000.0), "o_totalprice", (F.col("o_custkey") % 50 * 40).cast("double"), F.col("o_orderdate").cast("date")).alias("a")).select("o_orderkey", "a.*"))
+    return rounded(o.select("o_orderkey", R.amortisation(F.lit(90000.0), "o_totalprice", (F.col("o_custkey") % 50 * 40).cast("double"), F.col("o_orderdate").cast("date")).alias("a")).select("o_orderkey", "a.*"), 9)
 
 
 @query("met12_outlook", sql_rounded("rain_probability_pct* clouds_pct* rain_mm*", f"WITH {WEATHER} SELECT {{cols}} FROM (SELECT round(max(rain_probability_pct), 1) AS rain_probability_pct, round(avg(clouds_pct), 1) AS clouds_pct, round(sum(rain_mm), 2) AS rain_mm FROM nwx WHERE ts_utc >= {D1} AND ts_utc < {D2})", 2))
@@ -174,7 +174,7 @@ def _(spark, d):
     return rounded(S.seasonal_cells(_sky(spark, d)))
 
 
-@query("met17_sky_grid", sql_rounded("string_id azimuth* elevation* loss_pct* raw_ratio* n* season place", f"WITH {SEASONS}, g AS (SELECT string_id, (az_bin + 0.5) * 10 AS azimuth, (el_bin + 0.5) * 5 AS elevation, (1 - exp(value)) * 100 AS loss_pct, exp(raw) AS raw_ratio, n, 'all' AS season, 0 AS place FROM fit UNION ALL SELECT string_id, (az_bin + 0.5) * 10, (el_bin + 0.5) * 5, (1 - exp(v)) * 100, exp(v), 0.0, s, 1 FROM (SELECT *, unnest([rising, falling]) AS v, unnest(['ascending', 'descending']) AS s FROM se)) SELECT {{cols}} FROM g"))
+@query("met17_sky_grid", sql_rounded("string_id azimuth* elevation* loss_pct* raw_ratio* n* season place", f"WITH {SEASONS}, g AS (SELECT string_id, CAST((az_bin + 0.5) * 10 AS DOUBLE) AS azimuth, CAST((el_bin + 0.5) * 5 AS DOUBLE) AS elevation, (1 - exp(value)) * 100 AS loss_pct, exp(raw) AS raw_ratio, n, 'all' AS season, 0 AS place FROM fit UNION ALL SELECT string_id, (az_bin + 0.5) * 10, (el_bin + 0.5) * 5, (1 - exp(v)) * 100, exp(v), 0.0, s, 1 FROM (SELECT *, unnest([rising, falling]) AS v, unnest(['ascending', 'descending']) AS s FROM se)) SELECT {{cols}} FROM g"))
 def _(spark, d):
     rows = _sky(spark, d)
     return rounded(V.sky_grid(S.absolute_fit(rows), S.seasonal_cells(rows)))
@@ -360,7 +360,7 @@ def _payload():
     return F.concat(F.lit('{"hourly": {"time": ['), label, F.lit(", "), (F.col("issued") + F.col("k") * 3600 + 3600).cast("string"), F.lit('], "shortwave_radiation": ['), F.col("value").cast("string"), F.lit('], "cloud_cover": [null, 40]}}'))
 
 
-@query("src04_forecast_payload", sql_rounded("issued_at_utc ts_utc horizon_h ghi_wm2* clouds_pct*", "WITH p AS (SELECT event_id * 3600 AS i, CAST(props->>'$.k' AS INT) AS k, value FROM events WHERE event_type = 'view'), r AS (SELECT i AS issued_at_utc, i + (k + s - 1) * 3600 AS ts_utc, CAST(k + s - 1 AS INT) AS horizon_h, CASE s WHEN 0 THEN value END AS ghi_wm2, CASE s WHEN 1 THEN 40.0 END AS clouds_pct FROM p, (VALUES (0), (1)) t(s)) SELECT {cols} FROM r"))
+@query("src04_forecast_payload", sql_rounded("issued_at_utc ts_utc horizon_h ghi_wm2* clouds_pct*", "WITH p AS (SELECT event_id * 3600 AS i, CAST(props->>'$.k' AS INT) AS k, value FROM events WHERE event_type = 'view'), r AS (SELECT i AS issued_at_utc, i + (k + s - 1) * 3600 AS ts_utc, CAST(k + s - 1 AS INT) AS horizon_h, CASE s WHEN 0 THEN value END AS ghi_wm2, CASE s WHEN 1 THEN CAST(40 AS DOUBLE) END AS clouds_pct FROM p, (VALUES (0), (1)) t(s)) SELECT {cols} FROM r"))
 def _(spark, d):
     e = D.table(spark, d, "events").filter("event_type = 'view'").select((F.col("event_id") * 3600).alias("issued"), F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
     rows = RD.parse_forecast(e.select(_payload().alias("payload"), F.col("issued").alias("issued_at_utc"), F.lit("w").alias("source")))
