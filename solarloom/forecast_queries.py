@@ -13,7 +13,7 @@ from .operators import joins as J
 from .operators import learning as L
 from .operators import publish as PB
 from .operators import shading as S
-from .queries import INTEGRATED, SKY, _sky, query, rounded, sql_rounded
+from .queries import INTEGRATED, SKY, _sky, effects_sql, query, rounded, sql_rounded
 from .sources import adapters as D
 
 TZ = "Europe/Berlin"
@@ -242,9 +242,8 @@ def _(spark, d):
     return W.exclusions(_learning(spark, d)).drop("detail")
 
 
-@query("cmp09_learn_effects")
+@query("cmp09_learn_effects", effects_sql(f"{LEARNED}, lo AS (SELECT ts_utc AS hour, string_id, weather, part, ln(energy_kwh / physics_kwh) AS residual, CAST(qw * kw * kw AS DOUBLE) AS weight FROM lr WHERE reason IS NULL)", "lo"))
 def _(spark, d):
-    """Held against the loop in the tests, as itr01 is."""
     rows = _learning(spark, d).filter("reason is null").withColumnRenamed("ts_utc", "hour")
     return rounded(L.learn_effects(rows.select("hour", "string_id", "weather", "part", "residual", "weight")), 5)
 

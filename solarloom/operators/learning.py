@@ -78,13 +78,13 @@ def learn_effects(obs: DataFrame) -> DataFrame:
     both leave. Each scan reads the one before it twice, so each is cut.
     ``obs`` has hour, string_id, weather, part, residual, weight.
     Gives (scope, key, value, n_eff) after the last row of each bucket."""
-    order = ["hour", "string_id"]
+    order = ["hour", "string_id", "residual", "weight"]  # the last two settle ties alone
     one = cut(running_effect(cut(obs), ["weather", "part"], "residual", "weight", order))
     rest = one.withColumn("rest", F.col("residual") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v1", "n_eff": "n1"}).drop("ema_shrunk")
     two = cut(running_effect(rest, ["string_id"], "rest", "weight", order))
     last = two.withColumn("rest2", F.col("rest") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v2", "n_eff": "n2"}).drop("ema_shrunk")
     three = cut(running_effect(last, ["string_id", "part"], "rest2", "weight", order))
-    at = F.struct("hour", "string_id")
+    at = F.struct(*order)
 
     def final(scope, key, v, n):
         return three.groupBy(key.alias("key")).agg(F.max_by(v, at).alias("value"), F.max_by(n, at).alias("n_eff")).select(F.lit(scope).alias("scope"), "key", "value", "n_eff")

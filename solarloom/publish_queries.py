@@ -11,7 +11,7 @@ from .operators import joins as J
 from .operators import learning as L
 from .operators import mutations as M
 from .operators import publish as P
-from .queries import END, INTEGRATED, LOG, PLANT, SKY_NOW, START, _latest, query, rounded, sql_rounded
+from .queries import END, INTEGRATED, LOG, PLANT, SKY_NOW, START, _latest, query, rounded, running_sql, sql_rounded
 from .plans.lineage import cut
 from .sources import adapters as D
 
@@ -113,7 +113,10 @@ for _name in ("cmp08_bias_observations", "cmp08_bias_observations_whole"):
     query(_name, BIAS_SQL)(lambda spark, d: rounded(_whole_issues(spark, d)))
 
 
-@query("cmp08_learn_bias")
+BIAS_SEEN = f"bs AS (SELECT ts_utc, string_id, ts_utc // 3600 % 24 AS hour_local, horizon_h, CASE WHEN horizon_h < 6 THEN '0-6h' WHEN horizon_h < 24 THEN '6-24h' WHEN horizon_h < 48 THEN '24-48h' ELSE '48h+' END AS bucket, ln(truth / g) AS residual, least(truth, 600.0) / 600.0 AS weight FROM iss JOIN tr USING (ts_utc, string_id) {BIAS_SQL[BIAS_SQL.index('WHERE truth > 5'):]})"
+
+
+@query("cmp08_learn_bias", f"WITH RECURSIVE {WHOLE_ISSUES}, {BIAS_SEEN}, {running_sql('lb', 'bs', 'string_id, hour_local, bucket', 'residual', 'ts_utc, horizon_h')} SELECT string_id, CAST(hour_local AS INT) AS hour_local, bucket, round(arg_max(v, rn), 6) + 0.0 AS value, round(arg_max(n, rn), 6) + 0.0 AS n_eff FROM lb GROUP BY ALL")
 def _(spark, d):
     rows = _whole_issues(spark, d).withColumn("hour_local", (F.floor(F.col("ts_utc") / 3600) % 24).cast("int"))
     keys = ["string_id", "hour_local", "bucket"]

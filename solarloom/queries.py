@@ -61,6 +61,38 @@ def query(name, sql=None):
     return add
 
 
+#: Share that an observation of weight 1 has in the decayed mean.
+STEP = 1 - 0.5 ** (1 / C.EMA_HALF_LIFE)
+
+
+def running_sql(out: str, src: str, by: str, x: str, order: str) -> str:
+    """CTEs that end in ``out``: the rows of ``src`` with the decayed mean v of
+    ``x`` by ``weight``, n and the shrunk s, after each row of ``by``. Blocks of
+    300 rows by a closed form, so that no power overflows; a recursion over the
+    blocks. Needs WITH RECURSIVE."""
+    inside = f"(PARTITION BY {by}, blk ORDER BY rn ROWS UNBOUNDED PRECEDING)"
+    return f"""{out}1 AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS rn FROM {src}),
+{out}2 AS (SELECT *, rn // 300 AS blk, rn % 300 + 1 AS k, {STEP!r} * weight AS a FROM {out}1),
+{out}3 AS (SELECT *, sum(ln(1 - a)) OVER {inside} AS lg, pow({1 - STEP}, k) AS nk FROM {out}2),
+{out}4 AS (SELECT *, exp(lg) * sum(a * {x} * exp(-lg)) OVER {inside} AS vi, nk * sum(weight / nk) OVER {inside} AS ni FROM {out}3),
+{out}5 AS (SELECT {by}, blk, arg_max(exp(lg), rn) AS scale, arg_max(vi, rn) AS shift, arg_max(nk, rn) AS keep, arg_max(ni, rn) AS more FROM {out}4 GROUP BY ALL),
+{out}6 AS (SELECT {by}, CAST(0 AS BIGINT) AS blk, CAST(0 AS DOUBLE) AS v0, CAST(0 AS DOUBLE) AS n0 FROM {out}5 WHERE blk = 0 UNION ALL SELECT {", ".join(f"e.{b.strip()}" for b in by.split(","))}, e.blk + 1, scale * v0 + shift, keep * n0 + more FROM {out}6 p JOIN {out}5 e USING ({by}, blk)),
+{out}7 AS (SELECT t.*, exp(lg) * v0 + vi AS v, nk * n0 + ni AS n FROM {out}4 t JOIN {out}6 USING ({by}, blk)),
+{out} AS (SELECT *, CASE WHEN n <= 0 THEN 0.0 ELSE greatest(-{C.EFFECT_CLAMP}, least({C.EFFECT_CLAMP}, v * n / (n + {C.SHRINK_K}))) END AS s FROM {out}7)"""
+
+
+def effects_sql(with_: str, obs: str) -> str:
+    """SQL of the learned effects of ``obs`` (hour, string_id, weather, part,
+    residual, weight), a CTE of ``with_``."""
+    order, keep = "hour, string_id, residual, weight", "hour, string_id, weather, part, residual, weight"
+    layers = [running_sql("one", obs, "weather, part", "residual", order),
+              f"r1 AS (SELECT {keep}, residual - s AS rest FROM one)", running_sql("two", "r1", "string_id", "rest", order),
+              f"r2 AS (SELECT {keep}, rest - s AS rest FROM two)", running_sql("three", "r2", "string_id, part", "rest", order)]
+    ends = [f"SELECT '{scope}' AS scope, {key} AS key, round(arg_max(v, rn), 5) + 0.0 AS value, round(arg_max(n, rn), 5) + 0.0 AS n_eff FROM {t} GROUP BY ALL"
+            for scope, key, t in (("plant", "weather || '|' || part", "one"), ("string", "string_id", "two"), ("string_daypart", "string_id || '|' || part", "three"))]
+    return f"WITH RECURSIVE {with_}, {', '.join(layers)} {' UNION ALL '.join(ends)}"
+
+
 def rounded(df, digits=6):
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -230,7 +262,10 @@ def _(spark, d):
     return rounded(L.fit_curves(D.conversion(spark, d), reference, SKY_NOW))
 
 
-@query("itr01_learn_effects")
+LEARN_OBS = "lo AS (SELECT ts_utc * 8 + az AS hour, string_id, CASE WHEN el > 40 THEN 'clear' ELSE 'overcast' END AS weather, CASE WHEN (az - 180) / 15 < -2 THEN 'morning' WHEN (az - 180) / 15 <= 2 THEN 'midday' ELSE 'afternoon' END AS part, ln(ratio) AS residual, CAST(weight AS DOUBLE) AS weight FROM ob)"
+
+
+@query("itr01_learn_effects", effects_sql(f"{SKY.split('rw AS')[0].strip()} {LEARN_OBS}", "lo"))
 def _(spark, d):
     o = D.shading_obs(spark, d)
     obs = o.select((F.col("ts_utc") * 8 + F.col("azimuth_deg")).alias("hour"), "string_id", F.when(F.col("elevation_deg") > 40, "clear").otherwise("overcast").alias("weather"), R.daypart((F.col("azimuth_deg") - 180) / 15).alias("part"), F.log("ratio").alias("residual"), "weight").filter("residual is not null")

@@ -21,7 +21,7 @@ from .operators import shading as S
 from .operators import state as T
 from .operators import views as V
 from .publish_queries import AT
-from .queries import ASOF, INTEGRATED, KWH, LOG, PLANT, SKY, SKY_NOW, _latest, _sky, query, rounded, sql_rounded
+from .queries import ASOF, INTEGRATED, KWH, LOG, PLANT, SKY, SKY_NOW, SQL, _latest, _sky, query, rounded, sql_rounded
 from .sources import adapters as D
 from .sources import readers as RD
 from .sources import scans as SC
@@ -174,6 +174,9 @@ def _(spark, d):
     return rounded(S.seasonal_cells(_sky(spark, d)))
 
 
+SQL["cmp19_seasonal_cells"] = SQL["cmp19_seasonal_split"]
+
+
 @query("met17_sky_grid", sql_rounded("string_id azimuth* elevation* loss_pct* raw_ratio* n* season place", f"WITH {SEASONS}, g AS (SELECT string_id, CAST((az_bin + 0.5) * 10 AS DOUBLE) AS azimuth, CAST((el_bin + 0.5) * 5 AS DOUBLE) AS elevation, (1 - exp(value)) * 100 AS loss_pct, exp(raw) AS raw_ratio, n, 'all' AS season, 0 AS place FROM fit UNION ALL SELECT string_id, (az_bin + 0.5) * 10, (el_bin + 0.5) * 5, (1 - exp(v)) * 100, exp(v), 0.0, s, 1 FROM (SELECT *, unnest([rising, falling]) AS v, unnest(['ascending', 'descending']) AS s FROM se)) SELECT {{cols}} FROM g"))
 def _(spark, d):
     rows = _sky(spark, d)
@@ -503,6 +506,9 @@ def _(spark, d):
     return rounded(_curves(spark, d)[0])
 
 
+SQL["cmp14_curves"] = SQL["agg21_fit_curves"]
+
+
 @query("flt20_looks_derived", f"WITH {CURVES}, g AS (SELECT scope_id, min(bucket) AS lo, max(bucket) AS hi, arg_min(measured, bucket) AS a, arg_max(measured, bucket) AS b FROM cv WHERE n_eff >= 5 GROUP BY ALL) SELECT scope_id, hi >= 4 * lo AND abs(a - b) < 0.015 AS derived FROM g")
 def _(spark, d):
     return L.looks_derived(_curves(spark, d)[0])
