@@ -209,7 +209,7 @@ def learning_hours(actual: DataFrame, physics: DataFrame, classes: DataFrame) ->
     FLT-14); residual and weight where there is none. The weight of the kind
     counts twice, once in the quality and once in the observation, as observed
     in what this replaces."""
-    rows = actual.join(physics.select("ts_utc", "string_id", "physics_kwh"), ["ts_utc", "string_id"], "left").join(classes, "ts_utc", "left")
+    rows = actual.join(physics.select("ts_utc", "string_id", "physics_kwh"), ["ts_utc", "string_id"], "left").join(classes, [k for k in ("plant_id", "ts_utc") if k in classes.columns], "left")
     rows = rows.withColumn("weather", F.coalesce("weather", F.lit("partly_cloudy"))).withColumn("part", F.coalesce("part", F.lit("midday")))
     weight = R.assess("coverage", F.lit(90.0), "value_kind")["weight"]
     first = R.skip_reason("physics_kwh", "quality", "energy_kwh", "coverage", "value_kind")

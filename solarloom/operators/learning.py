@@ -18,14 +18,15 @@ def _shrunk(value: float, n: float) -> float:
     return 0.0 if n <= 0 else max(-C.EFFECT_CLAMP, min(C.EFFECT_CLAMP, value * n / (n + C.SHRINK_K)))
 
 
-def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, order: list[str], block_rows: int = 50_000) -> DataFrame:
+def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, order: list[str], block_rows: int = 50_000, start: DataFrame | None = None) -> DataFrame:
     """``rows`` with the decayed mean (value, n_eff) of their bucket after each
     row, in ``order`` (WIN-05). A step is affine in (value, n_eff): the range of
     the first order column is cut into about one block for each ``block_rows``
     rows, each block of a bucket folds to one map on its own, the few maps of a
     bucket are chained, and each block is replayed from the state it begins
     with. So a task holds about a block's rows, whatever bucket has most of
-    them. ``rows`` is read three times: give it cut."""
+    them. ``rows`` is read three times: give it cut. ``start`` (``by``, value,
+    n_eff) is what buckets had learned before; others begin at zero."""
     n, low, high = rows.agg(F.count("*"), F.min(order[0]), F.max(order[0])).first()
     width = max((float(high) - float(low)) / max(1, -(-n // block_rows)), 1e-9) if n else 1.0
     rows = rows.withColumn("__block", F.least(F.floor((F.col(order[0]) - F.lit(low)) / width), F.lit(max(0, -(-n // block_rows) - 1)).cast("long")))
@@ -47,7 +48,7 @@ def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, orde
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("__block")
-        v = n = 0.0
+        v, n = float(frame["__v0"].iloc[0]), float(frame["__n0"].iloc[0])
         begin = []
         for scale, shift, keep, add in frame[["scale", "shift", "keep", "add"]].itertuples(index=False):
             begin.append((v, n))
@@ -67,23 +68,39 @@ def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, orde
         return frame.assign(**{c: [o[i] for o in out] for i, c in enumerate(("ema", "n_eff", "ema_shrunk"))})
 
     maps = rows.groupBy(*keys).applyInPandas(fold, f"{head}, scale double, shift double, keep double, add double")
+    if start is None:
+        maps = maps.withColumn("__v0", F.lit(0.0)).withColumn("__n0", F.lit(0.0))
+    else:
+        had = start.select(*by, F.col("value").alias("__v0"), F.col("n_eff").alias("__n0"))
+        maps = maps.join(had, by, "left").fillna(0.0, ["__v0", "__n0"])
     begin = maps.groupBy(*by).applyInPandas(chain, f"{head}, __v double, __n double")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema if f.name != '__block')}, ema double, n_eff double, ema_shrunk double"
     return rows.join(begin, keys).groupBy(*keys).applyInPandas(replay, schema)
 
 
-def learn_effects(obs: DataFrame) -> DataFrame:
+def learn_effects(obs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Three keyed scans in place of one global loop (ITR-01): the plant layer
     sees the residual, the string layer what that leaves, the third layer what
     both leave. Each scan reads the one before it twice, so each is cut.
     ``obs`` has hour, string_id, weather, part, residual, weight.
-    Gives (scope, key, value, n_eff) after the last row of each bucket."""
+    Gives (scope, key, value, n_eff) after the last row of each bucket;
+    ``stored``, of the same form, is what earlier hours taught."""
     order = ["hour", "string_id", "residual", "weight"]  # the last two settle ties alone
-    one = cut(running_effect(cut(obs), ["weather", "part"], "residual", "weight", order))
+
+    def start(scope, by):
+        if stored is None:
+            return None
+        parts = [F.col("key")] if len(by) == 1 else [F.regexp_extract("key", r"^(.*)\|([^|]*)$", i) for i in (1, 2)]
+        return stored.filter(F.col("scope") == scope).select(*[c.alias(k) for c, k in zip(parts, by)], "value", "n_eff")
+
+    def scan(rows, scope, by, value):
+        return cut(running_effect(rows, by, value, "weight", order, start=start(scope, by)))
+
+    one = scan(cut(obs), "plant", ["weather", "part"], "residual")
     rest = one.withColumn("rest", F.col("residual") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v1", "n_eff": "n1"}).drop("ema_shrunk")
-    two = cut(running_effect(rest, ["string_id"], "rest", "weight", order))
+    two = scan(rest, "string", ["string_id"], "rest")
     last = two.withColumn("rest2", F.col("rest") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v2", "n_eff": "n2"}).drop("ema_shrunk")
-    three = cut(running_effect(last, ["string_id", "part"], "rest2", "weight", order))
+    three = scan(last, "string_daypart", ["string_id", "part"], "rest2")
     at = F.struct(*order)
 
     def final(scope, key, v, n):
