@@ -64,3 +64,15 @@ def learn_window(cursor: int | None, now: int, max_hours: int = 48) -> tuple[int
     closed = now // C.HOUR_S * C.HOUR_S
     start = cursor if cursor is not None else closed - max_hours * C.HOUR_S
     return start, min(closed, start + max_hours * C.HOUR_S)
+
+
+def due_intervals(done: int | None, now: float, kept_s: int = 600) -> list[int]:
+    """Starts of the closed intervals to write at ``now``, after the one that is
+    ``done``, as far back as samples are kept (STR-02). A mark that is not
+    behind the interval just closed comes from a clock that was set back: then
+    that interval alone is due (STR-05)."""
+    step = C.INTERVAL_S
+    closed = int(now - 1) // step * step - step
+    if done is None or done >= closed:
+        return [closed]
+    return list(range(max(done, closed - kept_s) + step, closed + step, step))

@@ -9,7 +9,7 @@ from solarloom.operators.aggregate import fold_hourly, integrate, merge_series
 from solarloom.operators.learning import ALPHA, learn_effects
 from solarloom.operators.mutations import flag_curtailment, upsert_keeping
 from solarloom.sources.readers import parse_curve, parse_forecast
-from solarloom.streaming.collect import learn_window
+from solarloom.streaming.collect import due_intervals, learn_window
 
 B = 1_700_000_100
 
@@ -99,3 +99,11 @@ def test_physics_invariants(spark):
     assert abs(r.elevation - 40) < 1 and abs(r.sun_az - 180) < 3
     assert abs(r.dhi_used + r.dni_used * r.cz - r.ghi) < 1e-6
     assert 0 < r.power_w < 1800 and r.cs_ghi > 500
+
+
+def test_due_intervals():
+    now = 3000.5
+    assert due_intervals(None, 3001.5) == [2700] and due_intervals(None, now) == [2400]
+    assert due_intervals(2400, 3001.5) == [2700]
+    assert due_intervals(1800, 3001.5) == [2400, 2700] and due_intervals(0, 3001.5) == [2400, 2700]
+    assert due_intervals(9000, 3001.5) == [2700] and due_intervals(2700, 3001.5) == [2700]
