@@ -41,6 +41,14 @@ def test_learn_cycle(spark):
     effects = spark.createDataFrame([("string", "s", 0.3, 2.0), ("string", "other", 0.1, 4.0)], "scope string, key string, value double, n_eff double")
     shading = spark.createDataFrame([], "ts_utc long, string_id string, azimuth_deg double, elevation_deg double, ratio double, weight double, physics_w double, beam double")
     tables = {"plants": plants, "strings": strings, "geometry": geometry, "weather": weather, "fivemin": fivemin, "effects": effects, "shading": shading}
+    noon = START + 12 * 3600 - 3600
+    tables["state"] = spark.createDataFrame([(noon, 1200.0, 600.0, 50.0), (START - 300, 9.0, 9.0, 9.0)], "ts_utc long, grid_power_w double, house_load_w double, battery_soc_pct double")
+    tables["issues"] = spark.createDataFrame([(noon, noon - 3 * 3600, 3, 400.0)], "ts_utc long, issued_at_utc long, horizon_h int, ghi_wm2 double")
+    tables["measured"] = spark.createDataFrame([(noon, 800.0)], "ts_utc long, ghi double")
+    tables["bias"] = spark.createDataFrame([(11, "0-6h", 0.5, 1.0), (3, "48h+", 0.2, 2.0)], "hour_local int, bucket string, value double, n_eff double")
+    tables["pairs"] = spark.createDataFrame([("g", "inverter", t, False, ["s"], 1000.0, 900.0, 1.0, None) for t in (noon, held, START - 300)],
+                                            "scope_id string, stage string, ts_utc long, curtailable boolean, members array<string>, in_w double, out_w double, coverage double, censored int")
+    tables["reference"] = spark.createDataFrame([("g", 2000.0, [(2.0, 0.9), (100.0, 0.9)])], "scope_id string, reference_w double, prior array<struct<load: double, eta: double>>")
     now = START + 3600 * HOURS + 10
     out, cursor = learn_cycle(tables, now, START)
     assert cursor == START + 3600 * HOURS and learn_cycle(tables, now, cursor) == ({}, cursor)
@@ -73,3 +81,9 @@ def test_learn_cycle(spark):
     ratios = out["shading"].agg(F.min("ratio"), F.max("ratio"), F.count("*")).first()
     assert ratios[0] == pytest.approx(0.8) and ratios[1] == pytest.approx(0.8) and ratios[2] > 100
     assert out["cells"].count() > 0
+    assert [(r.ts_utc, round(r.imported_kwh, 9)) for r in out["plant_hourly"].collect()] == [(noon, 0.1)]
+    bias = {(r.hour_local, r.bucket): (r.value, r.n_eff) for r in out["bias"].collect()}
+    assert bias[3, "48h+"] == (0.2, 2.0) and bias[11, "0-6h"] == pytest.approx(((1 - ALPHA) * 0.5 + ALPHA * math.log(2), (1 - ALPHA) + 1.0))
+    assert {r.ts_utc: r.censored for r in out["pairs"].collect()} == {noon: 0, held: 1, START - 300: None}
+    # a pair without a verdict is not clean, nor is a censored one
+    assert [(r.scope_id, r.bucket, r.n) for r in out["curves"].collect()] == [("g", 50, 1)]
