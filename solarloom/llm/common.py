@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -172,6 +173,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     return starts + base, ends + base, rows
 
 
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for every word, equal exactly where the words are, dense from
+    zero, and the words by number."""
+    sizes = ends - starts
+    stops = np.cumsum(sizes)
+    base = int(starts[0]) if len(starts) else 0
+    inside = np.zeros(int(ends[-1]) - base + 1 if len(ends) else 0, np.int8)
+    np.add.at(inside, starts - base, 1)
+    np.add.at(inside, ends - base, -1)
+    flat = data[base : base + len(inside) - 1][np.cumsum(inside[:-1], dtype=np.int8) > 0] if len(starts) else data[:0]
+    offsets = np.concatenate((np.zeros(1, np.int64), stops))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def content_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """XXH3 of each word: no algebra of the letters makes two words collide."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every word."""
     if not len(starts):

@@ -76,6 +76,25 @@ def op10_simhash(spark, sf_dir):
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    from .filter_audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    from .periodic_runs import detect_runs
+
+    return detect_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), planted=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_minhash(spark, sf_dir):
+    from .minhash import minhash_components
+
+    return minhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -112,9 +131,23 @@ each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, CAST(len(ws) + 1 AS
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS said FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
+OP11_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body),
+  regexp_matches(body, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY body), false)] AS fails FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (SELECT c AS o, [i] AS idx FROM letters UNION ALL SELECT o || c, list_append(idx, i) FROM orders, letters WHERE len(idx) < 5 AND NOT list_contains(idx, i)),
+steps AS (SELECT o AS filter_order, step, o[step] AS filter, idx[step] AS own, idx[1 : step - 1] AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE len(idx) = 5),
+x AS (SELECT part, filter_order, step, filter, n, good, toxic, fails[own] AS hit, list_bool_or(list_prepend(false, list_transform(earlier, lambda e: fails[e]))) AS gone, len(list_filter(fails, lambda b: b)) = 1 AS lone FROM m, steps),
+r AS (SELECT part, filter_order, step, filter, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN hit AND lone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN hit AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
 
 def oracle_sql():
     """SQL can't express the learned scores (1, 2, 4), the tokenizer (7) or
-    XXH64 (10); byte windows (8) and the chains of quotations (3) are tested
-    against brute force and literal cases."""
-    return {"op5_decontamination": OP5_SQL, "op6_url_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+    XXH64 (10); byte windows (8), the chains of quotations (3), runs (12) and
+    all pairs of sets (13) are tested against brute force and literal cases."""
+    return {"op11_filter_audit": OP11_SQL, "op5_decontamination": OP5_SQL, "op6_url_rules": OP6_SQL, "op9_substring_dedup": OP9_SQL}
