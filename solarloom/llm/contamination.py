@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, numbered, runs, slot, text_buffer, word_hashes, word_spans
+from .common import bounded_batches, discard, materialize, numbered, runs, slot, text_buffer, word_hashes, word_numbers, word_spans
 
 #: A benchmark block's text in bytes. A word takes two bytes with its gap, so
 #: a block has less than 2**BITS different ones.
@@ -51,6 +51,14 @@ def lowered_words(data: np.ndarray, offsets: np.ndarray):
     return word_hashes(part, starts, ends), rows
 
 
+def numbered_words(data: np.ndarray, offsets: np.ndarray):
+    """Numbers of the lower-cased words of consecutive rows, the words by
+    number, and each row's first word index."""
+    part = LOWER[data[offsets[0] : offsets[-1]]]
+    starts, ends, rows = word_spans(part, offsets - offsets[0], GAP)
+    return *word_numbers(part, starts, ends), rows
+
+
 def pack(symbols: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
     """The ``depth`` symbols from each place as sort keys of three each."""
     keys = []
@@ -104,10 +112,10 @@ class Tests:
     def __init__(self, items: list[tuple[str, str]], window: int):
         texts = pa.array([t for _, t in items], pa.string())
         data, offsets = text_buffer(texts)
-        hashes, rows = lowered_words(data, offsets)
+        words, said, rows = numbered_words(data, offsets)
         self.names = [i for i, _ in items]
-        self.vocabulary = np.unique(hashes)
-        words = np.searchsorted(self.vocabulary, hashes) + 1
+        self.vocabulary = {w: i for i, w in enumerate(said.to_pylist(), 1)}
+        words = words + 1
         # A gap of zeros after each item keeps suffixes inside it.
         sizes = np.diff(rows)
         start = np.cumsum(sizes + window) - sizes - window
@@ -152,19 +160,19 @@ class Tests:
             hi = np.where(open_ & ~less, mid, hi)
         return lo
 
-    def scan(self, hashes: np.ndarray, rows: np.ndarray):
-        """For consecutive training rows: mask of hit words, the (row, item)
+    def scan(self, numbers: np.ndarray, said: pa.Array, rows: np.ndarray):
+        """For consecutive training rows, by numbers and words: mask of hit words, the (row, item)
         pairs, and each row's longest match in words."""
-        n, window = len(hashes), self.window
+        n, window = len(numbers), self.window
         hit, longest = np.zeros(n, bool), np.zeros(len(rows) - 1, np.int64)
         none = np.zeros(0, np.int64)
         if not n or not len(self.at):
             return hit, (none, none), longest
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        own = np.fromiter((self.vocabulary.get(w, 0) for w in said.to_pylist()), np.int64, len(said))
         symbols = np.zeros(n + len(rows) * window + window, np.int64)
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         spread = np.arange(n) + row * window
-        symbols[spread] = np.where(self.vocabulary[place] == hashes, place + 1, 0)
+        symbols[spread] = own[numbers]
         opening = pack(symbols, spread, self.lead)[0]
         spot = np.minimum(np.searchsorted(self.openings, opening), len(self.openings) - 1)
         suffixes = np.flatnonzero(self.openings[spot] == opening)
@@ -270,8 +278,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
                 lo, n = 0, batch.num_rows
                 while lo < n:
                     hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SHARD, "right")) - 1)
-                    hashes, rows = lowered_words(data, offsets[lo : hi + 1])
-                    hit, (r, who), longest = tests.value.scan(hashes, rows)
+                    numbers, said, rows = numbered_words(data, offsets[lo : hi + 1])
+                    hit, (r, who), longest = tests.value.scan(numbers, said, rows)
                     cut = np.searchsorted(r, np.arange(hi - lo + 1))
                     part = batch.slice(lo, hi - lo)
                     old = part.columns[width:]

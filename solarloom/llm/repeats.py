@@ -4,8 +4,8 @@ and suffix-tree (words) deduplicators.
 A window of ``length`` units is dealt by its seed: the k-gram of smallest hash
 in it (leftmost on ties). Equal windows have equal seeds at equal offsets, so
 they meet in one group, and consecutive windows of one seed travel as one
-segment. Identical segments are counted with map-side combining before
-anything is gathered; only seeds that occur twice or more go on, with one
+segment. Identical segments, known by the XXH3 of their bytes within a seed,
+are counted with map-side combining before anything is gathered; only seeds that occur twice or more go on, with one
 representative of each distinct segment. A seed whose distinct segments exceed
 ``hot`` is split by the longest prefix there is, the whole window, whose
 hashes are only counted: an exact way for groups of any size.
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,36 @@ PIECE = 1 << 19
 INDEX_BITS = 21
 
 
+@dataclass
+class Units:
+    """Codes of consecutive units and the bytes in which each lies from its
+    start to its end (no starts: a byte each)."""
+
+    codes: np.ndarray
+    flat: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    #: Units of ``flat`` before the first code.
+    before: int = 0
+
+    def piece(self, a: int, b: int) -> Units:
+        return Units(self.codes[a:b], self.flat, self.starts, self.ends, a)
+
+    def contents(self, first: np.ndarray, stop: np.ndarray) -> Iterator[memoryview]:
+        """The bytes of each span of units."""
+        raw, a, b = memoryview(np.ascontiguousarray(self.flat)), first + self.before, stop + self.before
+        if self.starts is not None:
+            a, b = self.starts[a], self.ends[b - 1]
+        return (raw[x:y] for x, y in zip(a.tolist(), b.tolist()))
+
+
 class Bytes:
     """Units are the UTF-8 bytes of a text."""
 
     @staticmethod
     def codes(data, offsets):
         part = data[offsets[0] : offsets[-1]]
-        return BYTE_CODE[part], offsets - offsets[0]
+        return Units(BYTE_CODE[part], part), offsets - offsets[0]
 
     @staticmethod
     def contents(text: bytes, spans):
@@ -49,7 +74,14 @@ class Words:
     @staticmethod
     def codes(data, offsets):
         starts, ends, rows = word_spans(data, offsets)
-        return word_hashes(data, starts, ends), rows
+        codes = word_hashes(data, starts, ends)
+        # The same words whatever white space stands between them: one space.
+        sizes = ends - starts
+        first = np.cumsum(sizes + 1) - sizes - 1
+        flat = np.full(int((sizes + 1).sum()), 32, np.uint8)
+        at = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat[at] = data[at + np.repeat(starts - first, sizes)]
+        return Units(codes, flat, first, first + sizes), rows
 
     @staticmethod
     def contents(text: bytes, spans):
@@ -67,9 +99,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def segments(codes: np.ndarray, rows: np.ndarray, length: int, seed: int):
-    """Row, first window, window count, seed hash and content hash of the
-    segments of consecutive rows of units."""
+def segments(units: Units, rows: np.ndarray, length: int, seed: int):
+    """Row, first window, window count and seed hash of the segments of
+    consecutive rows of units, and their first unit. The seed hash only brings
+    segments together; equality is never judged by it."""
+    codes = units.codes
     if len(codes) < length:
         return None
     sums = prefix_hash(codes)
@@ -90,20 +124,20 @@ def segments(codes: np.ndarray, rows: np.ndarray, length: int, seed: int):
     kept = np.cumsum(whole)
     stop = np.append(kept[first[1:]] - 1, kept[-1])
     count = stop - (kept[first] - 1)
-    return row[first], first - rows[row[first]], count, grams[place[first]], span_hash(sums, first, first + count + length - 1)
+    return row[first], first - rows[row[first]], count, grams[place[first]], first
 
 
 def _pieces(unit, data, offsets, length) -> Iterator[tuple]:
     """(first row, units, row offsets, unit shift); a text of more than PIECE
     units comes in pieces that overlap by length - 1."""
     for lo, hi in row_chunks(offsets, PIECE):
-        codes, rows = unit.codes(data, offsets[lo : hi + 1])
-        if len(codes) <= 2 * PIECE:
-            yield lo, codes, rows, 0
+        units, rows = unit.codes(data, offsets[lo : hi + 1])
+        if len(units.codes) <= 2 * PIECE:
+            yield lo, units, rows, 0
         else:
-            for a in range(0, len(codes), PIECE):
-                part = codes[a : a + PIECE + length - 1]
-                yield lo, part, np.array([0, len(part)]), a
+            for a in range(0, len(units.codes), PIECE):
+                part = units.piece(a, a + PIECE + length - 1)
+                yield lo, part, np.array([0, len(part.codes)]), a
 
 
 def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callable, text: str = "text", key: str = "doc_id",
@@ -129,12 +163,14 @@ def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callabl
         keyed = keyed.join(copies, mine, "left_anti").unionByName(once)
 
     def deal(batches):
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for lo, codes, rows, shift in _pieces(unit, data, offsets, length):
-                found = segments(codes, rows, length, seed)
+            for lo, units, rows, shift in _pieces(unit, data, offsets, length):
+                found = segments(units, rows, length, seed)
                 if found is not None:
-                    row, first, count, gram, content = found
+                    row, first, count, gram, start = found
+                    content = np.fromiter(map(digest, units.contents(start, start + count + length - 1)), np.uint64, len(start))
                     at = pa.array(row + lo)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(at), batch.column(2).take(at), pa.array((first + shift).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))],
@@ -196,16 +232,17 @@ def find_repeats(docs: DataFrame, unit, length: int, seed: int, resolve: Callabl
 
 
 def _split_hot(bodies: DataFrame, unit, length: int, schema: str) -> DataFrame:
-    """Windows of hot seeds, counted by their own hash."""
+    """Windows of hot seeds, counted by the 128-bit XXH3 of their bytes."""
 
     def windows(frames):
+        digest = xxhash.xxh3_128_digest
         for frame in frames:
             for gram, content, n, body in zip(frame["gram"], frame["content"], frame["n"], frame["body"]):
-                codes, _ = unit.codes(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-                sums, at = prefix_hash(codes), np.arange(len(codes) - length + 1)
-                yield pd.DataFrame({"gram": gram, "content": content, "n": n, "at": at.astype(np.int32), "window": span_hash(sums, at, at + length).view(np.int64)})
+                units, _ = unit.codes(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+                at = np.arange(len(units.codes) - length + 1)
+                yield pd.DataFrame({"gram": gram, "content": content, "n": n, "at": at.astype(np.int32), "window": list(map(digest, units.contents(at, at + length)))})
 
-    each = bodies.mapInPandas(windows, "gram long, content long, n long, at int, window long")
+    each = bodies.mapInPandas(windows, "gram long, content long, n long, at int, window binary")
     twice = each.groupBy("gram", "window").agg(F.count("*").alias("starts")).filter("starts > 1").drop("starts")
     return each.filter("n = 1").join(twice, ["gram", "window"]).groupBy("gram", "content").agg(
         F.sort_array(F.collect_list("at")).alias("f")).withColumn("t", F.transform("f", lambda x: x + 1)).select("gram", "content", "f", "t")
