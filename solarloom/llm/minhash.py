@@ -9,10 +9,11 @@ in ten million.
 A bucket proposes a star, never its pairs: the hub is the set that shares most
 buckets with others, so the original of a group of copies is the hub of nearly
 all its buckets and the stars fall together. Every proposed pair is confirmed
-on the full shingle sets. Where a bucket still holds sets of different
-components after that, it goes on with further hubs, until every pair of a
-bucket is confirmed, refused or inside one component, so that no link is lost
-to the star's shape.
+on the full shingle sets. What the stars join is settled; where a bucket still
+holds sets of different components, a link between two of them may be missing
+from the star, so pairs across components, of fitting sizes and each in one
+bucket alone, are confirmed as well. So no link is lost to the star's shape,
+and copies, which fall into one component at once, are never paired.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, content_hashes, discard, materialize, mix, row_chunks, text_buffer, word_numbers, word_spans
@@ -32,8 +33,8 @@ BANDS, ROWS = 48, 8
 BINS = BANDS * ROWS
 #: Shingles and members of a task's share of a hub's star, about.
 SHARE, MEMBERS = 250_000, 500
-#: Rows of a bucket that one step of choosing its hubs sorts, about.
-SORTED = 10_000
+#: Rows of a bucket whose pairs across components one task looks for.
+ACROSS = 500
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -145,7 +146,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(hub, id) of the ``pairs`` (hub, id, n) whose full sets are similar
+    """(a, b) = (hub, id) of the ``pairs`` (hub, id, n) whose full sets are similar
     enough. A hub's star is dealt into shares of bounded size, each with a copy
     of the hub's set, so a hub of any size takes as many tasks as it needs."""
     shares = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / SHARE, F.count("*") / MEMBERS)).cast("int").alias("shares"))
@@ -163,64 +164,63 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             both = int((hub[at] == own).sum())
             if 100 * both >= PERCENT * (len(hub) + len(own) - both):
                 near.append(id_)
-        return pd.DataFrame({"hub": np.full(len(near), key[0]), "id": np.array(near, np.int64)})
-
-    return filled.groupBy("hub", "share").applyInPandas(judge, "hub long, id long")
-
-
-def _hubs(rows: DataFrame, most: int) -> DataFrame:
-    """(bucket, hub, rank): the ``most`` sets of greatest weight of each
-    bucket; a large bucket is first reduced in parts."""
-    first = [F.col("weight").desc(), F.col("id")]
-    if most == 1:
-        best = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("one"))
-        return best.select("bucket", (-F.col("one.id")).alias("hub"), F.lit(1).alias("rank"))
-    size = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-    part = rows.join(size, "bucket").withColumn("part", F.expr(f"pmod(xxhash64(id, 3), cast(ceil(size / {SORTED}) as int))"))
-    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "part").orderBy(*first))).filter(F.col("rank") <= most)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*first))).filter(F.col("rank") <= most).select("bucket", F.col("id").alias("hub"), "rank")
+        return pd.DataFrame({"a": np.full(len(near), key[0]), "b": np.array(near, np.int64)})
+
+    return filled.groupBy("hub", "share").applyInPandas(judge, "a long, b long")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(hub, id, n): each bucket's members with the set of greatest weight."""
+    best = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("one"))
+    member = rows.join(best.select("bucket", (-F.col("one.id")).alias("hub")), "bucket").filter("id <> hub")
+    return member.groupBy("hub", "id").agg(F.first("n").alias("n"))
+
+
+def across(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(hub, id, n): pairs of one bucket that are in different components and
+    near enough in size. A pair of several buckets is proposed in the first of
+    them. One of a pair is outside of its bucket's largest component, so only
+    those sets meet the whole bucket, in parts of bounded size."""
+    if roots is None:
+        rows = rows.withColumn("root", F.col("id"))
+    else:
+        rows = rows.join(roots, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
+    each = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    live = each.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.max("size").alias("most"), F.sum("size").alias("all")).filter(F.col("all") > F.col("most"))
+    rows = rows.join(live.select("bucket", "major", F.ceil((F.col("all") - F.col("most")) / ACROSS).cast("int").alias("parts")), "bucket")
+    own = rows.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
+    rows = rows.join(own, "id")
+    left = rows.filter("root <> major").select("bucket", F.expr("pmod(xxhash64(id, 3), parts)").alias("part"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("buckets").alias("hub_buckets"))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
+    right = rows.select(F.col("bucket").alias("bucket1"), F.explode(parts).alias("part1"), "id", "n", "root", "major", "buckets")
+    same = (F.col("bucket") == F.col("bucket1")) & (F.col("part") == F.col("part1"))
+    once = (F.col("root") != F.col("hub_root")) & ((F.col("root") == F.col("major")) | (F.col("hub") < F.col("id")))
+    fits = (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("bucket"))
+    return left.join(right, same & once & fits).select("hub", "id", "n")
 
 
 def link(sketched: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame | None:
-    """(node, root) of all sets that are linked to another, or None."""
-    one = sketched.filter("bands is not null").groupBy("id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th", "n")).alias("one"), F.first("bands").alias("bands"))
-    keys = one.select("id", F.col("one.n").alias("n"), F.explode("bands").alias("bucket"))
+    """(node, root) of all sets that are linked to another, None if there are
+    none."""
+    bound = sketched.filter("bands is not null")
+    keys = bound.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "n", F.explode("bands").alias("bucket"))
     often = keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(keys.join(often, "bucket"))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     rows = materialize(shared.drop("size").join(weight, "id"))
-    discard(shared)
-    wanted = sketched.filter("bands is not null").groupBy("id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("one")).join(rows.select("id").distinct(), "id")
+    wanted = bound.groupBy("id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("one")).join(rows.select("id").distinct(), "id")
     sets = materialize(full_sets(docs, wanted.select("id", "one.k", "one.th"), text, key))
-    links, roots, most = None, None, 1
-    while True:
-        hubs = _hubs(rows, most)
-        member = rows.join(hubs, "bucket")
-        # Of two hubs of a bucket the lower rank proposes the pair.
-        ranks = hubs.select("bucket", F.col("hub").alias("id"), F.col("rank").alias("own"))
-        member = member.join(ranks, ["bucket", "id"], "left").filter("own is null or own > rank")
-        if roots is not None:
-            hub_roots = rows.select("bucket", F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-            member = member.join(hub_roots, ["bucket", "hub"]).filter("root <> hub_root")
-        sizes = rows.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")).distinct()
-        pairs = member.groupBy(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).agg(F.first("hub").alias("hub"), F.first("id").alias("id"), F.first("n").alias("n"))
-        pairs = pairs.join(sizes, "hub").filter(100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")).select("hub", "id", "n")
-        found = materialize(confirm(pairs, sets))
-        new = found.select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        last, roots = roots, connected_components(links)
-        if last is not None:
-            discard(last)
-        # What is left: buckets without these hubs that hold two components.
-        left = rows.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").drop("root")
-        left = left.join(roots, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-        old, rows = rows, materialize(left.join(open_, "bucket"))
-        discard(old)
-        most *= 2
-        if not rows.limit(1).count():
-            discard(rows, sets)
-            return roots
+    first = materialize(confirm(stars(rows), sets))
+    one = connected_components(first) if first.limit(1).count() else None
+    second = materialize(confirm(across(rows, one), sets))
+    if second.limit(1).count():
+        roots = connected_components(second if one is None else first.unionByName(second))
+        if one is not None:
+            discard(one)
+    else:
+        roots = one
+    discard(shared, rows, sets, first, second)
+    return roots
 
 
 def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -238,9 +238,12 @@ def minhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     each = materialize(sketches(docs, text, key))
     roots = link(each, docs, text, key)
     sets = each.filter("n > 0").groupBy("id").agg(F.min("k").alias("low"))
-    grouped = sets.join(roots, sets.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select("id", "component_id"))
-    discard(roots)
+    if roots is None:
+        named = sets.select("id", F.col("low").alias("component_id"))
+    else:
+        grouped = sets.join(roots, sets.id == roots.node, "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+        least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+        named = materialize(grouped.join(least, "root").select("id", "component_id"))
+        discard(roots)
     out = each.filter("n > 0").select("k", "n", "id").join(named, "id").select("k", "n", "component_id").unionByName(each.filter("n = 0").select("k", "n", F.col("k").alias("component_id")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
