@@ -86,7 +86,7 @@ def _power_sql(relation: str, name: str) -> str:
 BARE = _power_sql("(SELECT *, CAST(1 AS DOUBLE) AS shade, true AS beam_scope FROM p0)", "pw")
 SHADED = f"""{SKY.strip()},
 sq AS (SELECT DISTINCT string_id, az_bin, el_bin FROM p0),
-nb AS (SELECT sq.string_id, sq.az_bin, sq.el_bin, sum(c.value * c.n) / sum(c.n) AS near FROM sq, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), fit c WHERE NOT (da = 0 AND de = 0) AND c.string_id = sq.string_id AND c.az_bin = (sq.az_bin + da + 36) % 36 AND c.el_bin = sq.el_bin + de GROUP BY ALL),
+nb AS (SELECT sq.string_id, sq.az_bin, sq.el_bin, greatest(ln(0.05), least(0.0, sum(c.raw * c.n) / sum(c.n) * avg(c.n) / (avg(c.n) + 6.0) - max(c.level))) AS near FROM sq, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), fit c WHERE NOT (da = 0 AND de = 0) AND c.string_id = sq.string_id AND c.az_bin = (sq.az_bin + da + 36) % 36 AND c.el_bin = sq.el_bin + de GROUP BY ALL),
 p1 AS (SELECT p0.*, greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), exp(coalesce(c.value, nb.near, 0.0)))) AS shade, p0.string_id = 's1' AS beam_scope FROM p0 LEFT JOIN fit c USING (string_id, az_bin, el_bin) LEFT JOIN nb USING (string_id, az_bin, el_bin)),
 {_power_sql('p1', 'ps')}"""
 EVALUATED = f"""

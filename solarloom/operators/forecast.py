@@ -135,7 +135,7 @@ def string_power(conditions: DataFrame, strings: DataFrame, geometry: DataFrame,
         rows = rows.withColumn("shade", F.lit(1.0)).withColumn("beam_scope", F.lit(True))
     else:
         az, el = R.sky_bins("sun_az", "elevation")
-        rows = sky_lookup(rows.withColumn("az_bin", az).withColumn("el_bin", el), cells).withColumnRenamed("factor", "shade")
+        rows = sky_lookup(rows.withColumn("az_bin", az).withColumn("el_bin", el).withColumn("half", R.half_year("ts_utc")), cells).drop("half").withColumnRenamed("factor", "shade")
         method = cells.groupBy("string_id").agg((F.max("method") == "differential").alias("beam_scope"))
         rows = rows.join(F.broadcast(method), "string_id", "left").withColumn("beam_scope", F.coalesce("beam_scope", F.lit(False)))
     rows = P.run(rows, P.COMPONENTS + P.plane(model, "column") + P.POWER)

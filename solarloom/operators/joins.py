@@ -64,15 +64,25 @@ def peers(rows: DataFrame) -> DataFrame:
 def sky_lookup(queries: DataFrame, cells: DataFrame, seasonal: DataFrame | None = None) -> DataFrame:
     """Factor at (string_id, az_bin, el_bin): the cell of the half year
     (``half`` of the query) where ``seasonal`` (string_id, az_bin, el_bin, half,
-    value) has one, else the cell, else the mean of its eight neighbours
-    weighted by their counts, else 1 (JON-14, JON-15). Azimuth wraps at 36 bins;
-    every step is an equi-join."""
-    keys = ["string_id", "az_bin", "el_bin"]
+    value) has one, else the cell, else its eight neighbours, else 1 (JON-14,
+    JON-15). Neighbours give their mean by weight, as a cell of their mean
+    weight. Azimuth wraps at 36 bins; every step is an equi-join. ``plant_id``
+    is part of the key where the cells have it. ``cells`` may hold the halves
+    too, as the joint map does."""
+    from .shading import log_factor
+
+    if "half" in cells.columns:
+        if "half" in queries.columns and seasonal is None:
+            seasonal = cells.filter("half is not null")
+        cells = cells.filter("half is null")
+    who = [c for c in ("plant_id", "string_id") if c in cells.columns]
+    keys = [*who, "az_bin", "el_bin"]
     near = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(e).alias("de")) for a in (-1, 0, 1) for e in (-1, 0, 1) if (a, e) != (0, 0)])
     want = queries.select(*keys).distinct()
-    around = want.select("*", F.explode(near).alias("d")).select(*keys, F.pmod(F.col("az_bin") + F.col("d.da"), F.lit(36)).alias("a"), (F.col("el_bin") + F.col("d.de")).alias("e"))
-    c = cells.select(F.col("string_id").alias("s"), F.col("az_bin").alias("ca"), F.col("el_bin").alias("ce"), "value", "n")
-    mean = around.join(c, (F.col("string_id") == F.col("s")) & (F.col("a") == F.col("ca")) & (F.col("e") == F.col("ce"))).groupBy(*keys).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("near"))
+    around = want.select("*", F.explode(near).alias("d")).select(*keys, F.pmod(F.col("az_bin") + F.col("d.da"), F.lit(36)).alias("__a"), (F.col("el_bin") + F.col("d.de")).alias("__e"))
+    c = cells.select(*who, F.col("az_bin").alias("__a"), F.col("el_bin").alias("__e"), "cell", "n", "reference")
+    mean = around.join(c, [*who, "__a", "__e"]).groupBy(*keys).agg(
+        log_factor(F.sum(F.col("cell") * F.col("n")) / F.sum("n"), F.avg("n"), F.max("reference")).alias("near"))
     out = queries.join(cells.select(*keys, F.col("value").alias("own")), keys, "left").join(mean, keys, "left")
     if seasonal is not None:
         out = out.join(seasonal.select(*keys, "half", F.col("value").alias("season")), [*keys, "half"], "left")

@@ -9,102 +9,120 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.predicates import curve_at, nearest_load, recency
-from ..plans.lineage import cut
+from ..plans.lineage import Cuts, discard, materialize
 
 ALPHA = 1 - 0.5 ** (1 / C.EMA_HALF_LIFE)
 
 
-def _shrunk(value: float, n: float) -> float:
-    return 0.0 if n <= 0 else max(-C.EFFECT_CLAMP, min(C.EFFECT_CLAMP, value * n / (n + C.SHRINK_K)))
+def composed(segment: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's map x -> scale * x + shift after all earlier ones of its
+    segment (equal neighbours), by doubling: a logarithmic number of array
+    steps, and products that only shrink, so that none overflows."""
+    scale, shift = scale.astype(float), shift.astype(float)
+    far = int(np.diff(np.flatnonzero(np.diff(segment, prepend=segment[:1] - 1, append=segment[-1:] + 1))).max(initial=0)) if len(segment) else 0
+    step = 1
+    while step < far:
+        joined = np.flatnonzero(segment[step:] == segment[:-step])
+        late, soon = joined + step, joined
+        moved, drawn = scale[late] * shift[soon] + shift[late], scale[late] * scale[soon]
+        shift[late], scale[late] = moved, drawn
+        step *= 2
+    return scale, shift
 
 
 def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, order: list[str], block_rows: int = 50_000, start: DataFrame | None = None) -> DataFrame:
     """``rows`` with the decayed mean (value, n_eff) of their bucket after each
-    row, in ``order`` (WIN-05). A step is affine in (value, n_eff): the range of
-    the first order column is cut into about one block for each ``block_rows``
-    rows, each block of a bucket folds to one map on its own, the few maps of a
-    bucket are chained, and each block is replayed from the state it begins
-    with. So a task holds about a block's rows, whatever bucket has most of
-    them. ``rows`` is read three times: give it cut. ``start`` (``by``, value,
-    n_eff) is what buckets had learned before; others begin at zero."""
-    n, low, high = rows.agg(F.count("*"), F.min(order[0]), F.max(order[0])).first()
-    width = max((float(high) - float(low)) / max(1, -(-n // block_rows)), 1e-9) if n else 1.0
-    rows = rows.withColumn("__block", F.least(F.floor((F.col(order[0]) - F.lit(low)) / width), F.lit(max(0, -(-n // block_rows) - 1)).cast("long")))
-    keys = [*by, "__block"]
+    row, in ``order`` (WIN-05). A step is affine in (value, n_eff): rows are
+    dealt by ranges of the whole order, with bounds that Spark samples so that
+    each block has about ``block_rows`` rows however unevenly they lie in time;
+    each block folds to one map for each of its buckets, the few maps of a
+    bucket are chained, and each block is replayed from the states it begins
+    with. So a task holds about a block's rows, whatever bucket or moment has
+    most of them. ``rows`` is read several times: give it cut. ``start``
+    (``by``, value, n_eff) is what buckets had learned before; others begin at
+    zero."""
     kinds = dict(rows.dtypes)
-    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    cut = Cuts()
+    blocks = max(1, -(-rows.count() // block_rows))
+    dealt = cut(rows.repartitionByRange(blocks, *order).withColumn("__block", F.spark_partition_id().cast("long")))
+    head = "__block long, " + ", ".join(f"`{k}` {kinds[k]}" for k in by)
+    maps = f"{head}, scale double, shift double, keep double, add double"
+
+    def scanned(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[np.ndarray]]:
+        """The rows by bucket and order, their bucket's number, and the maps of
+        value and n_eff up to each."""
+        frame = frame.assign(__at=frame.groupby(by, dropna=False, sort=False).ngroup()).sort_values(["__at", *order], kind="stable")
+        segment, w = frame.pop("__at").to_numpy(), frame[weight].to_numpy(float)
+        a = np.minimum(1.0, ALPHA * w)
+        return frame, segment, [*composed(segment, 1 - a, a * frame[value].to_numpy(float)), *composed(segment, np.full(len(w), 1 - ALPHA), w)]
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        """The block's map: value -> scale * value + shift, n -> keep * n + add."""
-        frame = frame.sort_values(order)
-        a = np.minimum(1.0, ALPHA * frame[weight].to_numpy(float))
-        after = np.append(np.cumprod((1 - a)[::-1])[::-1][1:], 1.0)
-        n = len(frame)
-        kept = (1 - ALPHA) ** np.arange(n - 1, -1, -1)
-        out = frame[keys].iloc[:1].copy()
-        out["scale"], out["shift"] = float(np.prod(1 - a)), float((a * frame[value].to_numpy(float) * after).sum())
-        out["keep"], out["add"] = (1 - ALPHA) ** n, float((frame[weight].to_numpy(float) * kept).sum())
-        return out
+        frame, segment, found = scanned(frame)
+        last = np.append(segment[1:] != segment[:-1], True)
+        return frame.loc[last, ["__block", *by]].assign(**{c: x[last] for c, x in zip(("scale", "shift", "keep", "add"), found)})
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        """The states that a bucket's blocks begin with."""
         frame = frame.sort_values("__block")
-        v, n = float(frame["__v0"].iloc[0]), float(frame["__n0"].iloc[0])
-        begin = []
-        for scale, shift, keep, add in frame[["scale", "shift", "keep", "add"]].itertuples(index=False):
-            begin.append((v, n))
-            v, n = scale * v + shift, keep * n + add
-        return frame[keys].assign(__v=[x for x, _ in begin], __n=[x for _, x in begin])
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        v, n = float(frame["__v"].iloc[0]), float(frame["__n"].iloc[0])
-        out = []
-        for x, w in zip(frame[value], frame[weight]):
-            n = (1 - ALPHA) * n + w
-            a = min(1.0, ALPHA * w)
-            v = (1 - a) * v + a * x
-            out.append((v, n, _shrunk(v, n)))
-        frame = frame.drop(columns=["__v", "__n", "__block"])
-        return frame.assign(**{c: [o[i] for o in out] for i, c in enumerate(("ema", "n_eff", "ema_shrunk"))})
-
-    maps = rows.groupBy(*keys).applyInPandas(fold, f"{head}, scale double, shift double, keep double, add double")
+        one = np.zeros(len(frame), np.int64)
+        out = frame[["__block", *by]].copy()
+        for begin, scale, shift in (("__v", "scale", "shift"), ("__n", "keep", "add")):
+            first = float(frame[f"{begin}0"].iloc[0])
+            a, b = composed(one, frame[scale].to_numpy(), frame[shift].to_numpy())
+            out[begin] = np.append(first, (a * first + b)[:-1])
+        return out
+
+    def replay(frame: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        frame, segment, (scale, shift, keep, add) = scanned(frame)
+        first = np.flatnonzero(np.diff(segment, prepend=-1))
+        states = frame.iloc[first][by].merge(begin, on=by, how="left")[["__v", "__n"]].to_numpy()[np.cumsum(np.diff(segment, prepend=-1) != 0) - 1]
+        v, n = scale * states[:, 0] + shift, keep * states[:, 1] + add
+        shrunk = np.where(n > 0, np.clip(v * n / np.where(n > 0, n + C.SHRINK_K, 1.0), -C.EFFECT_CLAMP, C.EFFECT_CLAMP), 0.0)
+        return frame.drop(columns="__block").assign(ema=v, n_eff=n, ema_shrunk=shrunk)
+
+    folded = dealt.groupBy("__block").applyInPandas(fold, maps)
     if start is None:
-        maps = maps.withColumn("__v0", F.lit(0.0)).withColumn("__n0", F.lit(0.0))
+        folded = folded.withColumn("__v0", F.lit(0.0)).withColumn("__n0", F.lit(0.0))
     else:
         had = start.select(*by, F.col("value").alias("__v0"), F.col("n_eff").alias("__n0"))
-        maps = maps.join(had, by, "left").fillna(0.0, ["__v0", "__n0"])
-    begin = maps.groupBy(*by).applyInPandas(chain, f"{head}, __v double, __n double")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema if f.name != '__block')}, ema double, n_eff double, ema_shrunk double"
-    return rows.join(begin, keys).groupBy(*keys).applyInPandas(replay, schema)
+        folded = folded.join(had, by, "left").fillna(0.0, ["__v0", "__n0"])
+    begin = folded.groupBy(*by).applyInPandas(chain, f"{head}, __v double, __n double")
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in rows.dtypes)}, ema double, n_eff double, ema_shrunk double"
+    return cut.keep(dealt.groupBy("__block").cogroup(begin.groupBy("__block")).applyInPandas(replay, schema))
 
 
 def learn_effects(obs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Three keyed scans in place of one global loop (ITR-01): the plant layer
     sees the residual, the string layer what that leaves, the third layer what
-    both leave. Each scan reads the one before it twice, so each is cut.
-    ``obs`` has hour, string_id, weather, part, residual, weight.
-    Gives (scope, key, value, n_eff) after the last row of each bucket;
-    ``stored``, of the same form, is what earlier hours taught."""
+    both leave. ``obs`` has hour, string_id, weather, part, residual, weight,
+    and plant_id where it is of several plants, which then learn apart.
+    Gives (plant_id, scope, key, value, n_eff) after the last row of each
+    bucket; ``stored``, of the same form, is what earlier hours taught."""
     order = ["hour", "string_id", "residual", "weight"]  # the last two settle ties alone
+    who = ["plant_id"] if "plant_id" in obs.columns else []
 
     def start(scope, by):
         if stored is None:
             return None
-        parts = [F.col("key")] if len(by) == 1 else [F.regexp_extract("key", r"^(.*)\|([^|]*)$", i) for i in (1, 2)]
-        return stored.filter(F.col("scope") == scope).select(*[c.alias(k) for c, k in zip(parts, by)], "value", "n_eff")
+        names = by[len(who):]
+        parts = [F.col("key")] if len(names) == 1 else [F.regexp_extract("key", r"^(.*)\|([^|]*)$", i) for i in (1, 2)]
+        return stored.filter(F.col("scope") == scope).select(*who, *[c.alias(k) for c, k in zip(parts, names)], "value", "n_eff")
 
     def scan(rows, scope, by, value):
-        return cut(running_effect(rows, by, value, "weight", order, start=start(scope, by)))
+        by = [*who, *by]
+        return running_effect(rows, by, value, "weight", [*order[:1], *who, *order[1:]], start=start(scope, by))
 
-    one = scan(cut(obs), "plant", ["weather", "part"], "residual")
+    first = materialize(obs)
+    one = scan(first, "plant", ["weather", "part"], "residual")
     rest = one.withColumn("rest", F.col("residual") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v1", "n_eff": "n1"}).drop("ema_shrunk")
     two = scan(rest, "string", ["string_id"], "rest")
     last = two.withColumn("rest2", F.col("rest") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v2", "n_eff": "n2"}).drop("ema_shrunk")
     three = scan(last, "string_daypart", ["string_id", "part"], "rest2")
+    discard(first, one, two)
     at = F.struct(*order)
 
     def final(scope, key, v, n):
-        return three.groupBy(key.alias("key")).agg(F.max_by(v, at).alias("value"), F.max_by(n, at).alias("n_eff")).select(F.lit(scope).alias("scope"), "key", "value", "n_eff")
+        return three.groupBy(*who, key.alias("key")).agg(F.max_by(v, at).alias("value"), F.max_by(n, at).alias("n_eff")).select(*who, F.lit(scope).alias("scope"), "key", "value", "n_eff")
 
     return final("plant", F.concat_ws("|", "weather", "part"), "v1", "n1").unionByName(final("string", F.col("string_id"), "v2", "n2")).unionByName(
         final("string_daypart", F.concat_ws("|", "string_id", "part"), "ema", "n_eff"))

@@ -97,14 +97,14 @@ def collector_health(fivemin: DataFrame) -> DataFrame:
 
 def sky_grid(cells: DataFrame, seasonal: DataFrame | None = None) -> DataFrame:
     """Exported grid (MET-17, SRT-03): the middle of each cell, loss in percent,
-    raw ratio, evidence and season; pooled cells first."""
-    def shown(rows, season, value, raw, n, order):
-        return rows.select("string_id", ((F.col("az_bin") + 0.5) * C.AZ_BIN).alias("azimuth"), ((F.col("el_bin") + 0.5) * C.EL_BIN).alias("elevation"), ((1 - F.exp(value)) * 100).alias("loss_pct"), F.exp(raw).alias("raw_ratio"), F.col(n).cast("double").alias("n"), season.alias("season"), F.lit(order).alias("place"))
+    raw ratio, evidence and season; pooled cells first. ``seasonal`` has a row
+    (half, cell, value, n) for each half of a split cell."""
+    def shown(rows, season, raw, order):
+        return rows.select("string_id", ((F.col("az_bin") + 0.5) * C.AZ_BIN).alias("azimuth"), ((F.col("el_bin") + 0.5) * C.EL_BIN).alias("elevation"), ((1 - F.exp("value")) * 100).alias("loss_pct"), F.exp(raw).alias("raw_ratio"), F.col("n").cast("double").alias("n"), season.alias("season"), F.lit(order).alias("place"))
 
-    out = shown(cells, F.lit("all"), F.col("value"), F.col("raw"), "n", 0)
+    out = shown(cells, F.lit("all"), F.col("raw"), 0)
     if seasonal is not None:
-        halves = seasonal.select("string_id", "az_bin", "el_bin", F.explode(F.array(*[F.struct(F.lit(s).alias("season"), F.col(c).alias("value"), F.lit(i).alias("i")) for i, (s, c) in enumerate((("ascending", "rising"), ("descending", "falling")))])).alias("h"))
-        out = out.unionByName(shown(halves.select("*", F.lit(0.0).alias("n")), F.col("h.season"), F.col("h.value"), F.col("h.value"), "n", 1))
+        out = out.unionByName(shown(seasonal, F.when(F.col("half") == 0, "ascending").otherwise("descending"), F.col("cell"), 1))
     return out.orderBy("place", "string_id", "azimuth", "elevation", "season")
 
 

@@ -81,6 +81,5 @@ def learn_cycle(tables: dict[str, DataFrame], now: int, cursor: int | None = Non
     shading = out["shading"] = cut(M.insert_missing(tables["shading"], W.collect_shading(rows, bare).select(*tables["shading"].columns), ["ts_utc", "string_id"]))
     counts, before = (df.groupBy("string_id").agg(F.count("*").alias("n")) for df in (shading, tables["shading"]))
     if S.refit_due(counts, before).filter("due").limit(1).count():
-        fit = S.joint_fit(S.observations(shading, now))
-        out["cells"] = fit.withColumn("value", F.col("shade") * F.col("n") / (F.col("n") + C.CELL_K))
+        out["cells"] = S.joint_fit(S.observations(shading, now))
     return out, end

@@ -12,7 +12,7 @@ from .operators import learning as L
 from .operators import mutations as M
 from .operators import publish as P
 from .queries import END, INTEGRATED, LOG, PLANT, SKY_NOW, START, _latest, query, rounded, running_sql, sql_rounded
-from .plans.lineage import cut
+from .plans.lineage import materialize
 from .sources import adapters as D
 
 AT = 1706265000
@@ -120,7 +120,7 @@ BIAS_SEEN = f"bs AS (SELECT ts_utc, string_id, ts_utc // 3600 % 24 AS hour_local
 def _(spark, d):
     rows = _whole_issues(spark, d).withColumn("hour_local", (F.floor(F.col("ts_utc") / 3600) % 24).cast("int"))
     keys = ["string_id", "hour_local", "bucket"]
-    return rounded(L.running_effect(cut(rows), keys, "residual", "weight", ["ts_utc", "horizon_h"]).groupBy(*keys).agg(F.max_by("ema", F.struct("ts_utc", "horizon_h")).alias("value"), F.max_by("n_eff", F.struct("ts_utc", "horizon_h")).alias("n_eff")))
+    return rounded(L.running_effect(materialize(rows), keys, "residual", "weight", ["ts_utc", "horizon_h"]).groupBy(*keys).agg(F.max_by("ema", F.struct("ts_utc", "horizon_h")).alias("value"), F.max_by("n_eff", F.struct("ts_utc", "horizon_h")).alias("n_eff")))
 
 
 @query("cmp07_implausible_hours", f"WITH {INTEGRATED}, g AS (SELECT ts_utc // 3600 * 3600 AS hour, count(DISTINCT ts_utc) AS n, avg(5.0 + ts_utc // 300 % 60) AS ceiling, sum(energy_wh) AS actual FROM fm GROUP BY ALL) SELECT hour, round(ceiling, 6) + 0.0 AS ceiling, round(actual, 6) + 0.0 AS actual FROM g WHERE n >= 4 AND actual > 30 AND actual > 1.15 * ceiling")

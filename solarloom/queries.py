@@ -46,9 +46,9 @@ SKY = f"""
 ob AS (SELECT 's' || CAST(l_suppkey % 3 + 1 AS VARCHAR) AS string_id, CAST(epoch_us(l_shipdate) // 1000000 AS BIGINT) + l_linenumber * 300 AS ts_utc, CAST(l_partkey % 360 AS DOUBLE) AS az, CAST(l_orderkey % 65 AS DOUBLE) AS el, l_quantity / 25 AS ratio, 1 - l_discount AS weight FROM lineitem),
 rw AS (SELECT string_id, ts_utc, CAST(floor(az / 10) AS INT) AS az_bin, CAST(floor(el / 5) AS INT) AS el_bin, CASE WHEN dayofyear(make_timestamp(ts_utc * 1000000)) >= 355 OR dayofyear(make_timestamp(ts_utc * 1000000)) < 172 THEN 0 ELSE 1 END AS half, ln(ratio) AS logr, weight * pow(0.5, greatest(0.0, ({SKY_NOW} - ts_utc) / 86400.0) / 730.0) AS w FROM ob WHERE el >= 8 AND ratio > 0 AND ratio <= 5),
 cq AS (SELECT *, sum(w) OVER (PARTITION BY string_id, az_bin, el_bin ORDER BY logr, w ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY string_id, az_bin, el_bin) AS tot FROM rw),
-cell AS (SELECT string_id, az_bin, el_bin, coalesce(min(logr) FILTER (cum >= 0.8 * tot), max(logr)) AS q, max(tot) AS tot, CAST(count(*) AS DOUBLE) AS n FROM cq GROUP BY ALL HAVING max(tot) >= {{least}}),
+cell AS (SELECT string_id, az_bin, el_bin, coalesce(min(logr) FILTER (cum >= 0.8 * tot), max(logr)) AS q, max(tot) AS n FROM cq GROUP BY ALL HAVING max(tot) >= {{least}}),
 lv AS (SELECT string_id, least(coalesce(min(q) FILTER (cum >= 0.9 * tot), max(q)), 0.0) AS level FROM (SELECT string_id, q, sum(n) OVER (PARTITION BY string_id ORDER BY q, n ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY string_id) AS tot FROM cell) GROUP BY ALL),
-fit AS (SELECT c.string_id, az_bin, el_bin, least(q - level, 0.0) * n / (n + 6.0) AS value, n, least(q - level, 0.0) AS raw, level FROM cell c JOIN lv USING (string_id))""".replace("{least}", "4.0")
+fit AS (SELECT c.string_id, az_bin, el_bin, greatest(ln(0.05), least(0.0, q * n / (n + 6.0) - level)) AS value, n, q AS raw, level FROM cell c JOIN lv USING (string_id))""".replace("{least}", "4.0")
 
 
 def query(name, sql=None):
@@ -222,9 +222,9 @@ def _sky(spark, d):
     return S.observations(D.shading_obs(spark, d), SKY_NOW)
 
 
-@query("cmp17_sky_map", sql_rounded("string_id az_bin el_bin value* n raw* level*", f"WITH {SKY} SELECT {{cols}} FROM fit"))
+@query("cmp17_sky_map", sql_rounded("string_id az_bin el_bin value* n* raw* level*", f"WITH {SKY} SELECT {{cols}} FROM fit"))
 def _(spark, d):
-    return rounded(S.absolute_fit(_sky(spark, d)))
+    return rounded(S.absolute_fit(_sky(spark, d)).drop("cell", "reference"))
 
 
 @query("srt02_worst_sectors", f"WITH {SKY} SELECT string_id, az_bin, el_bin, round((1 - exp(value)) * 100, 6) + 0.0 AS loss_pct FROM fit QUALIFY row_number() OVER (PARTITION BY string_id ORDER BY value, az_bin, el_bin) <= 12")
@@ -232,7 +232,7 @@ def _(spark, d):
     return rounded(S.worst_sectors(S.absolute_fit(_sky(spark, d))).select("string_id", "az_bin", "el_bin", "loss_pct"))
 
 
-LOOKUP = f"WITH {SKY}, q AS (SELECT DISTINCT string_id, az_bin, el_bin FROM rw), c AS (SELECT * FROM fit), nb AS (SELECT q.string_id, q.az_bin, q.el_bin, sum(c.value * c.n) / sum(c.n) AS near FROM q, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), c WHERE NOT (da = 0 AND de = 0) AND c.string_id = q.string_id AND c.az_bin = (q.az_bin + da + 36) % 36 AND c.el_bin = q.el_bin + de GROUP BY ALL) SELECT string_id, az_bin, el_bin, round(greatest(0.05, least(1.0, exp(coalesce(c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN c USING (string_id, az_bin, el_bin) LEFT JOIN nb USING (string_id, az_bin, el_bin)"
+LOOKUP = f"WITH {SKY}, q AS (SELECT DISTINCT string_id, az_bin, el_bin FROM rw), c AS (SELECT * FROM fit), nb AS (SELECT q.string_id, q.az_bin, q.el_bin, greatest(ln(0.05), least(0.0, sum(c.raw * c.n) / sum(c.n) * avg(c.n) / (avg(c.n) + 6.0) - max(c.level))) AS near FROM q, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), c WHERE NOT (da = 0 AND de = 0) AND c.string_id = q.string_id AND c.az_bin = (q.az_bin + da + 36) % 36 AND c.el_bin = q.el_bin + de GROUP BY ALL) SELECT string_id, az_bin, el_bin, round(greatest(0.05, least(1.0, exp(coalesce(c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN c USING (string_id, az_bin, el_bin) LEFT JOIN nb USING (string_id, az_bin, el_bin)"
 
 
 def _lookup(spark, d):

@@ -165,11 +165,11 @@ def _(spark, d):
 
 SEASONS = f"""{SKY},
 sc AS (SELECT *, sum(w) OVER (PARTITION BY string_id, az_bin, el_bin, half ORDER BY logr, w ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY string_id, az_bin, el_bin, half) AS tot FROM rw),
-sh AS (SELECT string_id, az_bin, el_bin, half, coalesce(min(logr) FILTER (cum >= 0.8 * tot), max(logr)) AS q FROM sc GROUP BY ALL HAVING max(tot) >= 4 AND count(DISTINCT ts_utc // 86400) >= 10),
-se AS (SELECT string_id, az_bin, el_bin, max(q) FILTER (half = 0) AS rising, max(q) FILTER (half = 1) AS falling FROM sh GROUP BY ALL HAVING abs(max(q) FILTER (half = 0) - max(q) FILTER (half = 1)) >= 0.18)"""
+sh AS (SELECT string_id, az_bin, el_bin, half, coalesce(min(logr) FILTER (cum >= 0.8 * tot), max(logr)) AS q, max(tot) AS hn FROM sc GROUP BY ALL HAVING max(tot) >= 4 AND count(DISTINCT ts_utc // 86400) >= 10),
+se AS (SELECT string_id, az_bin, el_bin, max(q) FILTER (half = 0) AS rising, max(q) FILTER (half = 1) AS falling, max(hn) FILTER (half = 0) AS rising_n, max(hn) FILTER (half = 1) AS falling_n FROM sh GROUP BY ALL HAVING abs(max(q) FILTER (half = 0) - max(q) FILTER (half = 1)) >= 0.18)"""
 
 
-@query("cmp19_seasonal_split", sql_rounded("string_id az_bin el_bin rising* falling*", f"WITH {SEASONS} SELECT {{cols}} FROM se"))
+@query("cmp19_seasonal_split", sql_rounded("string_id az_bin el_bin rising* falling* rising_n* falling_n*", f"WITH {SEASONS} SELECT {{cols}} FROM se"))
 def _(spark, d):
     return rounded(S.seasonal_cells(_sky(spark, d)))
 
@@ -177,18 +177,18 @@ def _(spark, d):
 SQL["cmp19_seasonal_cells"] = SQL["cmp19_seasonal_split"]
 
 
-@query("met17_sky_grid", sql_rounded("string_id azimuth* elevation* loss_pct* raw_ratio* n* season place", f"WITH {SEASONS}, g AS (SELECT string_id, CAST((az_bin + 0.5) * 10 AS DOUBLE) AS azimuth, CAST((el_bin + 0.5) * 5 AS DOUBLE) AS elevation, (1 - exp(value)) * 100 AS loss_pct, exp(raw) AS raw_ratio, n, 'all' AS season, 0 AS place FROM fit UNION ALL SELECT string_id, (az_bin + 0.5) * 10, (el_bin + 0.5) * 5, (1 - exp(v)) * 100, exp(v), 0.0, s, 1 FROM (SELECT *, unnest([rising, falling]) AS v, unnest(['ascending', 'descending']) AS s FROM se)) SELECT {{cols}} FROM g"))
+@query("met17_sky_grid", sql_rounded("string_id azimuth* elevation* loss_pct* raw_ratio* n* season place", f"WITH {SEASONS}, g AS (SELECT string_id, CAST((az_bin + 0.5) * 10 AS DOUBLE) AS azimuth, CAST((el_bin + 0.5) * 5 AS DOUBLE) AS elevation, (1 - exp(value)) * 100 AS loss_pct, exp(raw) AS raw_ratio, n, 'all' AS season, 0 AS place FROM fit UNION ALL SELECT string_id, (az_bin + 0.5) * 10, (el_bin + 0.5) * 5, (1 - exp(greatest(ln(0.05), least(0.0, v * m / (m + 6.0) - level)))) * 100, exp(v), m, s, 1 FROM (SELECT *, unnest([rising, falling]) AS v, unnest([rising_n, falling_n]) AS m, unnest(['ascending', 'descending']) AS s FROM se) JOIN lv USING (string_id)) SELECT {{cols}} FROM g"))
 def _(spark, d):
     rows = _sky(spark, d)
-    return rounded(V.sky_grid(S.absolute_fit(rows), S.seasonal_cells(rows)))
+    cells = S.absolute_fit(rows)
+    return rounded(V.sky_grid(cells, S.by_half(S.seasonal_cells(rows), cells)))
 
 
-@query("jon15_seasonal_lookup", f"WITH {SEASONS}, q AS (SELECT DISTINCT string_id, az_bin, el_bin, half FROM rw) SELECT string_id, az_bin, el_bin, half, round(greatest(0.05, least(1.0, exp(coalesce(CASE half WHEN 0 THEN rising ELSE falling END, c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN se USING (string_id, az_bin, el_bin) LEFT JOIN fit c USING (string_id, az_bin, el_bin) LEFT JOIN (SELECT x.string_id, x.az_bin, x.el_bin, sum(c.value * c.n) / sum(c.n) AS near FROM (SELECT DISTINCT string_id, az_bin, el_bin FROM q) x, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), fit c WHERE NOT (da = 0 AND de = 0) AND c.string_id = x.string_id AND c.az_bin = (x.az_bin + da + 36) % 36 AND c.el_bin = x.el_bin + de GROUP BY ALL) nb USING (string_id, az_bin, el_bin)")
+@query("jon15_seasonal_lookup", f"WITH {SEASONS}, q AS (SELECT DISTINCT string_id, az_bin, el_bin, half FROM rw) SELECT string_id, az_bin, el_bin, half, round(greatest(0.05, least(1.0, exp(coalesce(CASE WHEN rising IS NOT NULL THEN greatest(ln(0.05), least(0.0, CASE half WHEN 0 THEN rising ELSE falling END * CASE half WHEN 0 THEN rising_n ELSE falling_n END / (CASE half WHEN 0 THEN rising_n ELSE falling_n END + 6.0) - lv.level)) END, c.value, nb.near, 0.0)))), 6) + 0.0 AS factor FROM q LEFT JOIN lv USING (string_id) LEFT JOIN se USING (string_id, az_bin, el_bin) LEFT JOIN fit c USING (string_id, az_bin, el_bin) LEFT JOIN (SELECT x.string_id, x.az_bin, x.el_bin, greatest(ln(0.05), least(0.0, sum(c.raw * c.n) / sum(c.n) * avg(c.n) / (avg(c.n) + 6.0) - max(c.level))) AS near FROM (SELECT DISTINCT string_id, az_bin, el_bin FROM q) x, generate_series(-1, 1) a(da), generate_series(-1, 1) e(de), fit c WHERE NOT (da = 0 AND de = 0) AND c.string_id = x.string_id AND c.az_bin = (x.az_bin + da + 36) % 36 AND c.el_bin = x.el_bin + de GROUP BY ALL) nb USING (string_id, az_bin, el_bin)")
 def _(spark, d):
     rows = _sky(spark, d)
-    pair = S.seasonal_cells(rows)
-    seasonal = pair.select("string_id", "az_bin", "el_bin", F.lit(0).alias("half"), F.col("rising").alias("value")).unionByName(pair.select("string_id", "az_bin", "el_bin", F.lit(1).alias("half"), F.col("falling").alias("value")))
-    return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin", "half").distinct(), S.absolute_fit(rows), seasonal))
+    cells = S.absolute_fit(rows)
+    return rounded(J.sky_lookup(rows.select("string_id", "az_bin", "el_bin", "half").distinct(), cells, S.by_half(S.seasonal_cells(rows), cells)))
 
 
 MEMBERS = [("g1", "s1"), ("g1", "s2"), ("g2", "s3")]
