@@ -58,14 +58,15 @@ def fold_hourly(fivemin: DataFrame) -> DataFrame:
 
 
 def fold_plant(state: DataFrame) -> DataFrame:
-    """Grid import and export apart, house load, mean charge (AGG-06). Sums are
-    exact decimals, divided once, so that no order of summing shows."""
+    """Grid import and export apart, house load, mean charge (AGG-06), of each
+    plant where there is a plant_id. Sums are exact decimals, divided once, so
+    that no order of summing shows."""
     grid = F.col("grid_power_w")
 
     def kwh(watts):
         return F.sum(watts.cast("decimal(20,6)")).cast("double") * (C.INTERVAL_S / 3600.0 / 1000.0)
 
-    return state.groupBy(floor_to("ts_utc", C.HOUR_S).alias("hour")).agg(
+    return state.groupBy(*[c for c in ("plant_id",) if c in state.columns], floor_to("ts_utc", C.HOUR_S).alias("hour")).agg(
         kwh(F.when(grid > 0, grid).otherwise(0.0)).alias("imported_kwh"), kwh(F.when(grid < 0, -grid).otherwise(0.0)).alias("exported_kwh"),
         kwh(F.coalesce("house_load_w", F.lit(0.0))).alias("house_kwh"), F.avg("battery_soc_pct").alias("battery_soc_pct")).withColumnRenamed("hour", "ts_utc")
 

@@ -98,7 +98,7 @@ def actual_conditions(conditions: DataFrame, measured: DataFrame) -> DataFrame:
     seen = measured.select("plant_id", "ts_utc", F.col("ghi").alias("__m"))
     rows = conditions.join(seen, ["plant_id", "ts_utc"], "left")
     touched = rows.filter("__m is not null").select("plant_id").distinct().withColumn("__any", F.lit(True))
-    rows = rows.join(F.broadcast(touched), "plant_id", "left").withColumn("ghi", F.coalesce("__m", "ghi"))
+    rows = rows.join(touched, "plant_id", "left").withColumn("ghi", F.coalesce("__m", "ghi"))
     return rows.withColumn("dni", F.when(F.col("__any").isNull(), F.col("dni"))).withColumn("dhi", F.when(F.col("__any").isNull(), F.col("dhi"))).drop("__m", "__any")
 
 
@@ -136,8 +136,9 @@ def string_power(conditions: DataFrame, strings: DataFrame, geometry: DataFrame,
     else:
         az, el = R.sky_bins("sun_az", "elevation")
         rows = sky_lookup(rows.withColumn("az_bin", az).withColumn("el_bin", el).withColumn("half", R.half_year("ts_utc")), cells).drop("half").withColumnRenamed("factor", "shade")
-        method = cells.groupBy("string_id").agg((F.max("method") == "differential").alias("beam_scope"))
-        rows = rows.join(F.broadcast(method), "string_id", "left").withColumn("beam_scope", F.coalesce("beam_scope", F.lit(False)))
+        who = [c for c in ("plant_id", "string_id") if c in cells.columns]
+        method = cells.groupBy(*who).agg((F.max("method") == "differential").alias("beam_scope"))
+        rows = rows.join(method, who, "left").withColumn("beam_scope", F.coalesce("beam_scope", F.lit(False)))
     rows = P.run(rows, P.COMPONENTS + P.plane(model, "column") + P.POWER)
     bare = F.least(F.when(F.col("shading_applied") > 0, F.col("power_w") / F.col("shading_applied")).otherwise(F.col("power_w")), F.col("kwp") * 1000)
     rows = rows.withColumn("unshaded_w", F.least(bare, F.coalesce("max_power_w", bare)))
@@ -151,9 +152,9 @@ def fold_energy(rows: DataFrame, keys: list[str], watts: dict[str, str]) -> Data
 
 def corrected(hours: DataFrame, effects: DataFrame) -> DataFrame:
     """Adds ``correction`` from the three layers of ``effects`` (scope, key,
-    value, n_eff), which is small (SCL-07)."""
+    value, n_eff) (SCL-07)."""
     def layer(scope, name):
-        return F.broadcast(effects.filter(F.col("scope") == scope).select(F.col("key").alias(f"__{name}"), F.struct("value", "n_eff").alias(name)))
+        return effects.filter(F.col("scope") == scope).select(F.col("key").alias(f"__{name}"), F.struct("value", "n_eff").alias(name))
 
     rows = hours.withColumn("__p", F.concat_ws("|", "weather", "part")).withColumn("__s", F.col("string_id")).withColumn("__d", F.concat_ws("|", "string_id", "part"))
     for scope, key in (("plant", "p"), ("string", "s"), ("string_daypart", "d")):
@@ -190,8 +191,8 @@ def materialise_hours(fivemin: DataFrame, plants: DataFrame) -> DataFrame:
     from .aggregate import fold_hourly
 
     owner = fivemin.groupBy("string_id").agg(F.first("plant_id").alias("plant_id"))
-    hours = fold_hourly(fivemin).join(F.broadcast(owner), "string_id")
-    sun = P.run(hours.select("plant_id", "ts_utc").distinct().join(F.broadcast(plants), "plant_id").withColumn("ts", (F.col("ts_utc") + 1800).cast("double")), P.SUN + P.APPARENT)
+    hours = fold_hourly(fivemin).join(owner, "string_id")
+    sun = P.run(hours.select("plant_id", "ts_utc").distinct().join(plants, "plant_id").withColumn("ts", (F.col("ts_utc") + 1800).cast("double")), P.SUN + P.APPARENT)
     judged = hours.join(sun.select("plant_id", "ts_utc", "apparent_elevation"), ["plant_id", "ts_utc"])
     return judged.withColumn("quality", R.quality("coverage", "apparent_elevation")).drop("apparent_elevation")
 
@@ -247,7 +248,7 @@ def monthly_share(plants: DataFrame, strings: DataFrame, year_start: int = 17356
     azimuth, tilt, kwp."""
     hours = hour_grid(plants, year_start, year_start + 8760 * C.HOUR_S).withColumn("ts", (F.col("hour") + 1800).cast("double"))
     sun = P.run(hours, P.SUN + P.CLEARSKY).withColumn("ghi", F.col("cs_ghi")).withColumn("dni", F.col("cs_dni")).withColumn("dhi", F.col("cs_dhi")).withColumn("shade", F.lit(1.0))
-    rows = P.run(sun.join(F.broadcast(strings), "plant_id"), P.COMPONENTS + P.plane("haydavies"))
+    rows = P.run(sun.join(strings, "plant_id"), P.COMPONENTS + P.plane("haydavies"))
     month = F.month(R.local_time("hour", "UTC"))
     each = rows.groupBy("plant_id", "string_id", "kwp", month.alias("month")).agg(F.sum("poa").alias("poa"))
     share = F.col("poa") / F.sum("poa").over(Window.partitionBy("plant_id", "string_id"))

@@ -113,7 +113,8 @@ def bias_observations(issues: DataFrame, measured: DataFrame, by: tuple[str, ...
     is its own truth don't count. ``by``: further keys of the issues, each
     with a newest issue of its own."""
     near = issues.groupBy("ts_utc", *by).agg(F.max_by("ghi_wm2", F.when((F.col("horizon_h") <= 2) & F.col("ghi_wm2").isNotNull(), F.col("issued_at_utc"))).alias("near"))
-    truth = near.join(measured.select("ts_utc", F.col("ghi").alias("measured")), "ts_utc", "left").select("ts_utc", *by, F.coalesce("measured", "near").alias("truth")).filter("truth > 5")
+    there = ["ts_utc", *[c for c in by if c in measured.columns]]
+    truth = near.join(measured.select(*there, F.col("ghi").alias("measured")), there, "left").select("ts_utc", *by, F.coalesce("measured", "near").alias("truth")).filter("truth > 5")
     rows = issues.filter("ghi_wm2 is not null and horizon_h >= 0").join(truth, ["ts_utc", *by]).filter("not (horizon_h <= 2 and truth = ghi_wm2) and ghi_wm2 > 5")
     rows = rows.filter((F.col("truth") / F.col("ghi_wm2")).between(C.RATIO_LOW, C.RATIO_HIGH)).withColumn("residual", F.log(F.col("truth") / F.col("ghi_wm2")))
     return rows.select("ts_utc", *by, "issued_at_utc", "horizon_h", R.horizon_bucket("horizon_h").alias("bucket"), "truth", "ghi_wm2", "residual", R.bias_weight("truth").alias("weight"))

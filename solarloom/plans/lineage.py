@@ -63,6 +63,9 @@ class Cuts:
 
     def keep(self, df: DataFrame) -> DataFrame:
         out = materialize(df)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
         discard(*self.made)
         self.made = []
-        return out
