@@ -1,9 +1,8 @@
-"""Shared helpers of the text operators: whole-batch array views of texts,
-rolling hashes, and lineage cuts in the shared checkpoint folder."""
+"""Shared helpers of the text operators: whole-batch array views of texts and
+rolling hashes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import Cuts, discard, materialize, shared_dir  # noqa: F401  (what the operators cut with)
+
 #: ASCII white space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,48 +22,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session,
-    or the checkpoint folder of its context. Where neither is set, a local
-    session (tests) gets a temporary one; on a cluster that is an error, since
-    executors would not see each other's files."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return top.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, jvm.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read
-    it back. A lost executor costs a re-read, never a recomputation. What no
-    ``discard`` deletes goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/solarloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, store = _folder(spark, path)
-    store.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._solarloom_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote once nothing reads it any more."""
-    for df in frames:
-        where, store = _folder(df.sparkSession, df._solarloom_path)
-        store.delete(where, True)
-
-
 #: Bytes of an Arrow batch on its way into a Python worker.
 BATCH_BYTES = 32 << 20
 

@@ -14,6 +14,13 @@ holds sets of different components, a link between two of them may be missing
 from the star, so pairs across components, of fitting sizes and each in one
 bucket alone, are confirmed as well. So no link is lost to the star's shape,
 and copies, which fall into one component at once, are never paired.
+
+Those pairs are few, because the star bounds what two of its members share.
+Take any set P of shingles, here the hub's and those that many members have
+besides. Of P they share at most the lesser of their shares of it. So they are
+linked only if that is enough, which copies of one length that are too far from
+their original fail, or if they have one of their other, rarer shingles in
+common, and then enough of them.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, content_hashes, discard, materialize, mix, row_chunks, text_buffer, word_numbers, word_spans
+from .common import Cuts, bounded_batches, content_hashes, discard, materialize, mix, row_chunks, text_buffer, word_numbers, word_spans
 from .components import connected_components
 
 WORDS, PERCENT = 5, 85
@@ -35,6 +42,9 @@ BINS = BANDS * ROWS
 SHARE, MEMBERS = 250_000, 500
 #: Rows of a bucket whose pairs across components one task looks for.
 ACROSS = 500
+#: Members of a star that have a shingle its hub lacks, beyond which it counts
+#: like the hub's own.
+OFTEN = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -146,9 +156,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFr
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) = (hub, id) of the ``pairs`` (hub, id, n) whose full sets are similar
-    enough. A hub's star is dealt into shares of bounded size, each with a copy
-    of the hub's set, so a hub of any size takes as many tasks as it needs."""
+    """(hub, id, n, both, linked, own) of the ``pairs`` (hub, id, n): how much
+    the full sets share, whether they are linked, and the member's shingles
+    that the hub lacks. A hub's star is dealt into shares of bounded size, each
+    with a copy of the hub's set, so a hub of any size takes as many tasks as
+    it needs."""
     shares = pairs.groupBy("hub").agg(F.ceil(F.greatest(F.sum("n") / SHARE, F.count("*") / MEMBERS)).cast("int").alias("shares"))
     member = pairs.join(shares, "hub").select("hub", F.expr("cast(pmod(xxhash64(id, 7), shares) as int)").alias("share"), "id", F.lit(False).alias("is_hub"))
     hubs = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("hub").alias("id"), F.lit(True).alias("is_hub"))
@@ -157,46 +169,80 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def judge(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["id", "is_hub"])
         hub = np.frombuffer(frame.loc[frame["is_hub"], "shingles"].iloc[0], np.uint64)
-        near = []
+        out = []
         for id_, body in frame.loc[~frame["is_hub"], ["id", "shingles"]].itertuples(index=False):
-            own = np.frombuffer(body, np.uint64)
-            at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
-            both = int((hub[at] == own).sum())
-            if 100 * both >= PERCENT * (len(hub) + len(own) - both):
-                near.append(id_)
-        return pd.DataFrame({"a": np.full(len(near), key[0]), "b": np.array(near, np.int64)})
+            mine = np.frombuffer(body, np.uint64)
+            inside = hub[np.minimum(np.searchsorted(hub, mine), len(hub) - 1)] == mine
+            both = int(inside.sum())
+            out.append((key[0], id_, len(mine), both, 100 * both >= PERCENT * (len(hub) + len(mine) - both), mine[~inside].view(np.int64)))
+        return pd.DataFrame(out, columns=["hub", "id", "n", "both", "linked", "own"])
+
+    return filled.groupBy("hub", "share").applyInPandas(judge, "hub long, id long, n long, both long, linked boolean, own array<long>")
+
 
-    return filled.groupBy("hub", "share").applyInPandas(judge, "a long, b long")
+def links_of(found: DataFrame) -> DataFrame:
+    return found.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+
+
+def _linkable(shared, n, other):
+    """Whether sets of these sizes are linked if they share so much."""
+    return shared * (100 + PERCENT) >= (n + other) * PERCENT
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """(hub, id, n): each bucket's members with the set of greatest weight."""
+    """``rows`` with the ``hub`` of their bucket, its set of greatest weight;
+    the hub's own are left out."""
     best = rows.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("one"))
-    member = rows.join(best.select("bucket", (-F.col("one.id")).alias("hub")), "bucket").filter("id <> hub")
-    return member.groupBy("hub", "id").agg(F.first("n").alias("n"))
+    return rows.join(best.select("bucket", (-F.col("one.id")).alias("hub")), "bucket").filter("id <> hub")
 
 
-def across(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(hub, id, n): pairs of one bucket that are in different components and
-    near enough in size. A pair of several buckets is proposed in the first of
-    them. One of a pair is outside of its bucket's largest component, so only
-    those sets meet the whole bucket, in parts of bounded size."""
+def across(member: DataFrame, found: DataFrame, roots: DataFrame | None, cut: Cuts) -> DataFrame:
+    """(hub, id, n): pairs of members of one star that are in different
+    components and may be linked, each once; ``hub`` is just one of the two."""
+    star = found.select(F.col("hub").alias("star"), "id", "n", "both", "own")
     if roots is None:
-        rows = rows.withColumn("root", F.col("id"))
+        star = star.withColumn("root", F.col("id"))
     else:
-        rows = rows.join(roots, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
-    each = rows.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    live = each.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.max("size").alias("most"), F.sum("size").alias("all")).filter(F.col("all") > F.col("most"))
-    rows = rows.join(live.select("bucket", "major", F.ceil((F.col("all") - F.col("most")) / ACROSS).cast("int").alias("parts")), "bucket")
-    own = rows.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))  # at most BANDS
-    rows = rows.join(own, "id")
-    left = rows.filter("root <> major").select("bucket", F.expr("pmod(xxhash64(id, 3), parts)").alias("part"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("buckets").alias("hub_buckets"))
+        star = star.join(roots, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
+    live = star.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("star")
+    star = cut(star.join(live, "star"))
+    # Shingles of many members of a star count like its hub's.
+    each = star.select("star", "id", F.explode("own").alias("shingle"))
+    often = each.groupBy("star", "shingle").agg(F.count("*").alias("c"))
+    rare = each.join(often.filter(f"c > 1 and c <= {OFTEN}").drop("c"), ["star", "shingle"])
+    many = each.join(often.filter(f"c > {OFTEN}").drop("c"), ["star", "shingle"]).groupBy("star", "id").agg(F.count("*").alias("many"))
+    mine = rare.groupBy("star", "id").agg(F.sort_array(F.collect_list("shingle")).alias("rare"))
+    star_ = star.drop("own").join(many, ["star", "id"], "left").join(mine, ["star", "id"], "left")
+    star_ = cut(star_.select("star", "id", "n", "root", (F.col("both") + F.coalesce("many", F.lit(0))).alias("both"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare")))
+    enough = _linkable(F.least("both", "both1"), F.col("n"), F.col("n1"))
+    apart = (F.col("root") != F.col("root1")) & (F.col("id") < F.col("id1"))
+    pair = [F.least("id", "id1").alias("hub"), F.greatest("id", "id1").alias("id"), F.when(F.col("id") < F.col("id1"), F.col("n1")).otherwise(F.col("n")).alias("n")]
+
+    # Common shingles: each has OFTEN members at most; a pair is proposed at
+    # its first one.
+    def by_shingle(suffix):
+        return star_.select(*[F.col(c).alias(c + suffix) for c in ("star", "id", "n", "root", "both", "rare")], F.explode("rare").alias("shingle" + suffix))
+
+    both = F.array_intersect("rare", "rare1")
+    second = by_shingle("").join(by_shingle("1"), (F.col("star") == F.col("star1")) & (F.col("shingle") == F.col("shingle1")) & apart & (F.array_min(both) == F.col("shingle"))
+                                 & _linkable(F.least("both", "both1") + F.size(both), F.col("n"), F.col("n1")))
+    # Shares of P alone, by bucket: only members whose share leaves room for
+    # some other member of it, of those only the ones outside of the bucket's
+    # largest component against all.
+    rows = member.select("bucket", F.col("hub").alias("star"), "id").join(star_.drop("rare"), ["star", "id"])
+    rows = rows.withColumn("room", F.floor((F.col("both") * (100 + PERCENT) - F.col("n") * PERCENT) / PERCENT)).filter(F.col("room") * 100 >= F.col("n") * PERCENT)
+    limits = rows.groupBy("bucket").agg(F.min("n").alias("least"), F.max("room").alias("most"))
+    rows = rows.join(limits, "bucket").filter("room >= least and n <= most").drop("room", "least", "most")
+    size = rows.groupBy("bucket", "root").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("major"), F.max("size").alias("top"), F.sum("size").alias("all"))
+    size = size.filter(F.col("all") > F.col("top")).select("bucket", "major", F.ceil((F.col("all") - F.col("top")) / ACROSS).cast("int").alias("parts"))
+    rows = cut(rows.join(size, "bucket"))
+    rows = rows.join(rows.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "id")  # at most BANDS
+    left = rows.filter("root <> major").select("bucket", F.expr("pmod(xxhash64(id, 3), parts)").alias("part"), "id", "n", "root", "both", "buckets")
     parts = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
-    right = rows.select(F.col("bucket").alias("bucket1"), F.explode(parts).alias("part1"), "id", "n", "root", "major", "buckets")
-    same = (F.col("bucket") == F.col("bucket1")) & (F.col("part") == F.col("part1"))
-    once = (F.col("root") != F.col("hub_root")) & ((F.col("root") == F.col("major")) | (F.col("hub") < F.col("id")))
-    fits = (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")) & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("bucket"))
-    return left.join(right, same & once & fits).select("hub", "id", "n")
+    right = rows.select(F.col("bucket").alias("bucket1"), F.explode(parts).alias("part1"), F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("root").alias("root1"), F.col("both").alias("both1"), F.col("buckets").alias("buckets1"), F.col("major").alias("major1"))
+    once = (F.col("root") != F.col("root1")) & ((F.col("root1") == F.col("major1")) | (F.col("id") < F.col("id1")))
+    first = left.join(right, (F.col("bucket") == F.col("bucket1")) & (F.col("part") == F.col("part1")) & once & enough & (F.array_min(F.array_intersect("buckets", "buckets1")) == F.col("bucket")))
+    return first.select(*pair).unionByName(second.select(*pair)).groupBy("hub", "id").agg(F.first("n").alias("n"))
 
 
 def link(sketched: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame | None:
@@ -205,21 +251,22 @@ def link(sketched: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame
     bound = sketched.filter("bands is not null")
     keys = bound.groupBy("id").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("id", "n", F.explode("bands").alias("bucket"))
     often = keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(keys.join(often, "bucket"))
+    cut = Cuts()
+    shared = cut(keys.join(often, "bucket"))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    rows = materialize(shared.drop("size").join(weight, "id"))
-    wanted = bound.groupBy("id").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("one")).join(rows.select("id").distinct(), "id")
-    sets = materialize(full_sets(docs, wanted.select("id", "one.k", "one.th"), text, key))
-    first = materialize(confirm(stars(rows), sets))
-    one = connected_components(first) if first.limit(1).count() else None
-    second = materialize(confirm(across(rows, one), sets))
-    if second.limit(1).count():
-        roots = connected_components(second if one is None else first.unionByName(second))
-        if one is not None:
-            discard(one)
-    else:
-        roots = one
-    discard(shared, rows, sets, first, second)
+    member = cut(stars(shared.drop("size").join(weight, "id")))
+    one = F.struct(F.col("k").isNull().alias("none"), "k", "th")
+    wanted = bound.groupBy("id").agg(F.min(one).alias("one")).join(shared.select("id").distinct(), "id")
+    sets = cut(full_sets(docs, wanted.select("id", "one.k", "one.th"), text, key))
+    found = cut(confirm(member.groupBy("hub", "id").agg(F.first("n").alias("n")), sets))
+    first = links_of(found)
+    roots = connected_components(first) if first.limit(1).count() else None
+    more = cut(links_of(confirm(across(member, found, roots, cut), sets)))
+    if more.limit(1).count():
+        last, roots = roots, connected_components(first.unionByName(more))
+        if last is not None:
+            discard(last)
+    cut.drop()
     return roots
 
 

@@ -220,7 +220,7 @@ def test_components(spark):
 
 def test_a_hot_group(spark, monkeypatch):
     """Small shares and parts, so that stars and buckets are split."""
-    for name, value in (("SHARE", 2000), ("MEMBERS", 5), ("ACROSS", 7)):
+    for name, value in (("SHARE", 2000), ("MEMBERS", 5), ("ACROSS", 7), ("OFTEN", 3)):
         monkeypatch.setattr(minhash, name, value)
     rnd = random.Random(7)
     # Without their original, copies link only where their edits meet.
