@@ -39,3 +39,10 @@ UNITS = {
     "power": {"w": 1.0, "kw": 1000.0, "mw": 1_000_000.0, "va": 1.0, "kva": 1000.0},
     "ratio": {"%": 1.0},
 }
+#: Fixed values of the Perez et al. (1990) sky: upper ends of the clearness
+#: bins, and of each bin F11, F12, F13, F21, F22, F23 (all sites composite).
+PEREZ_BINS = [1.065, 1.23, 1.5, 1.95, 2.8, 4.5, 6.2]
+PEREZ = [(-0.008, 0.588, -0.062, -0.060, 0.072, -0.022), (0.130, 0.683, -0.151, -0.019, 0.066, -0.029), (0.330, 0.487, -0.221, 0.055, -0.064, -0.026),
+         (0.568, 0.187, -0.295, 0.109, -0.152, -0.014), (0.873, -0.392, -0.362, 0.226, -0.462, 0.001), (1.132, -1.237, -0.412, 0.288, -0.823, 0.056),
+         (1.060, -1.600, -0.359, 0.264, -1.127, 0.131), (0.678, -0.327, -0.250, 0.156, -1.377, 0.251)]
+PEREZ_KAPPA = 1.041

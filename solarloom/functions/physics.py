@@ -103,19 +103,41 @@ DAYLIGHT = [
     ("sunrise_ts", "noon_ts - half_day_s"),
     ("sunset_ts", "noon_ts + half_day_s"),
 ]
-#: The default model of the data that this replaces needs published tables that
-#: are not at hand; it is a declared alias of Hay-Davies here (PHY-08).
-MODELS = {"haydavies": "haydavies", "perez-driesse": "haydavies", "isotropic": "isotropic"}
+def _by_bin(column: int) -> str:
+    """A coefficient of the clearness bin of ``epsilon``."""
+    cases = " ".join(f"when epsilon < {end} then {row[column]}" for end, row in zip(C.PEREZ_BINS, C.PEREZ))
+    return f"case {cases} else {C.PEREZ[-1][column]} end"
+
+
+#: Steps of the anisotropic sky of Perez et al. (1990), with ``components_ok``
+#: (all components of the batch are plausible) besides the inputs.
+PEREZ = [
+    ("zenith", "acos(least(1.0, cz))"),
+    ("epsilon", f"case when dhi_used > 0 then ((dhi_used + dni_used) / dhi_used + {C.PEREZ_KAPPA} * zenith * zenith * zenith) / (1 + {C.PEREZ_KAPPA} * zenith * zenith * zenith) end"),
+    ("brightness", "dhi_used * coalesce(airmass * exp(altitude / 8434.5), 0.0) / e0"),
+    ("circumsolar", f"greatest(0.0, ({_by_bin(0)}) + ({_by_bin(1)}) * brightness + ({_by_bin(2)}) * zenith)"),
+    ("horizon", f"({_by_bin(3)}) + ({_by_bin(4)}) * brightness + ({_by_bin(5)}) * zenith"),
+]
+#: cos(85 degrees), below which the sun counts as that low.
+LOW_SUN = 0.0871557427476582
+SKIES = {
+    "haydavies": dict(PLANE)["poa_sky"],
+    "isotropic": "dhi_used * (1 + cos(radians(tilt))) / 2",
+    "perez": f"case when not components_ok then {dict(PLANE)['poa_sky']} when dhi_used > 0 then greatest(0.0, dhi_used * ((1 - circumsolar) * (1 + cos(radians(tilt))) / 2 + circumsolar * incidence / greatest(cz, {LOW_SUN}) + horizon * sin(radians(tilt)))) else 0.0 end",
+}
 
 
 def plane(model: str = "haydavies", scope: str = "beam") -> list[tuple[str, str]]:
     """Steps of the tilted plane: the model of sky light, and whether ``shade``
     takes the direct light alone (beam) or all of it (total); the share of
-    light that it left is ``shading_applied`` (PHY-08, PHY-10)."""
-    sky = {"haydavies": dict(PLANE)["poa_sky"], "isotropic": "dhi_used * (1 + cos(radians(tilt))) / 2"}[MODELS[model]]
+    light that it left is ``shading_applied`` (PHY-08, PHY-10). The perez sky
+    leans on the split of the light, so where ``components_ok`` says that some
+    of its batch is not plausible it gives way to Hay-Davies."""
+    if model not in SKIES:
+        raise ValueError(f"no sky model {model!r}; there are {', '.join(sorted(SKIES))}")
     effective = {"beam": "poa_direct * shade + poa_diffuse", "total": "(poa_direct + poa_diffuse) * shade", "column": "case when beam_scope then poa_direct * shade + poa_diffuse else (poa_direct + poa_diffuse) * shade end"}[scope]
-    steps = [(n, {"poa_sky": sky, "poa_effective": effective}.get(n, t)) for n, t in PLANE]
-    return steps + [("shading_applied", "case when poa > 0 then poa_effective / poa else 1.0 end")]
+    steps = [(n, {"poa_sky": SKIES[model], "poa_effective": effective}.get(n, t)) for n, t in PLANE]
+    return (PEREZ if model == "perez" else []) + steps + [("shading_applied", "case when poa > 0 then poa_effective / poa else 1.0 end")]
 
 
 def run(df: DataFrame, steps=None) -> DataFrame:

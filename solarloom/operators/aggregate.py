@@ -143,6 +143,27 @@ def score_populations(pairs: DataFrame, plant_kwp: float) -> DataFrame:
     return total.select("population", *[F.when(enough, c).alias(k) for k, c in shown.items()], "n", "days")
 
 
+def score_windows(pairs: DataFrame, today, windows: tuple[int, ...], plant_kwp: float) -> DataFrame:
+    """``score_populations`` over the last complete local days before ``today``
+    (a date column or value), for several numbers of days at once (MET-08,
+    MET-09): each day is summed once and its sums feed every window that it is
+    in, whether it has 23, 24 or 25 hours. ``pairs`` has day (date), predicted,
+    actual, censored. All windows and populations are there, with nulls below
+    three days and counts of 0 where there is nothing."""
+    miss = F.col("predicted") - F.col("actual")
+    daily = pairs.groupBy("day", "censored").agg(F.sum("predicted").alias("p"), F.sum("actual").alias("a"), F.sum(F.abs(miss)).alias("e"), F.sum(miss).alias("s"), F.count("*").alias("n"))
+    back = F.datediff(F.lit(today), F.col("day"))
+    spans = F.array(*[F.lit(w) for w in windows])
+    populations = F.when(F.col("censored"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("uncensored")))
+    each = daily.select("day", "p", "a", "e", "s", "n", F.explode(populations).alias("population"), F.filter(spans, lambda w: (back >= 1) & (back <= w)).alias("in"))
+    each = each.select("*", F.explode("in").alias("window_days")).groupBy("window_days", "population", "day").agg(*[F.sum(c).alias(c) for c in "paesn"])
+    total = each.groupBy("window_days", "population").agg(F.sum(F.abs(F.col("p") - F.col("a"))).alias("de"), F.sum("a").alias("da"), F.sum("e").alias("e"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("days"), F.avg(F.col("p") - F.col("a")).alias("daily_bias"))
+    shown = {"wmape": F.when(F.col("da") > 0, F.col("de") / F.col("da")), "nmae": F.col("e") / F.col("n") / plant_kwp, "mae": F.col("e") / F.col("n"), "bias": F.col("s") / F.col("n"), "daily_bias": F.col("daily_bias")}
+    grid = pairs.sparkSession.createDataFrame([(w, p) for w in windows for p in ("all", "uncensored")], "window_days int, population string")
+    out = grid.join(total, ["window_days", "population"], "left").withColumn("days", F.coalesce("days", F.lit(0))).withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("window_days", "population", *[F.when(F.col("days") >= C.SCORE_DAYS, c).alias(k) for k, c in shown.items()], "n", "days")
+
+
 def last_before(samples: DataFrame, end: int, entity: str = "entity_id") -> DataFrame:
     """Last valid value before ``end``, however old (AGG-03)."""
     return samples.filter(F.col("value").isNotNull() & (F.col("ts_utc") < end)).groupBy(entity).agg(F.max_by("value", "ts_utc").alias("last_value"))

@@ -12,6 +12,7 @@ from .. import constants as C
 from ..functions import physics as P
 from ..functions import predicates as R
 from .joins import geometry_asof, sky_lookup
+from .mutations import ranked
 
 #: Step values and what an hour without any of them gets.
 STEPS = {"temp_c": 20.0, "wind_ms": 1.0, "clouds_pct": None, "rain_mm": 0.0}
@@ -22,7 +23,7 @@ WH = C.INTERVAL_S / C.HOUR_S
 def latest_rows(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row per target hour, the last written (SET-07)."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select(*keys, "r.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked(seq)).alias("r")).select(*keys, "r.*")
 
 
 def without_hours(rows: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -126,7 +127,8 @@ def string_power(conditions: DataFrame, strings: DataFrame, geometry: DataFrame,
     given (their ``method`` says whether direct light alone is shaded), and
     unshaded, both within nameplate and tracker cap (CMP-04). ``strings`` has
     plant_id, string_id, system_eff, mount_a, mount_b, mount_dt, temp_coeff and
-    max_power_w. Strings without geometry are left out."""
+    max_power_w. Strings without geometry are left out. The perez ``model``
+    holds for plants all of whose intervals have plausible components."""
     hours = conditions.select("plant_id", "hour").distinct().join(strings.select("plant_id", "string_id"), "plant_id")
     segment = geometry_asof(hours.withColumnRenamed("hour", "ts_utc"), geometry).filter("azimuth_deg is not null").select(
         "plant_id", "string_id", F.col("ts_utc").alias("hour"), F.col("azimuth_deg").alias("azimuth"), F.col("tilt_deg").alias("tilt"), "kwp")
@@ -139,6 +141,9 @@ def string_power(conditions: DataFrame, strings: DataFrame, geometry: DataFrame,
         who = [c for c in ("plant_id", "string_id") if c in cells.columns]
         method = cells.groupBy(*who).agg((F.max("method") == "differential").alias("beam_scope"))
         rows = rows.join(method, who, "left").withColumn("beam_scope", F.coalesce("beam_scope", F.lit(False)))
+    if model == "perez":
+        sound = P.run(conditions, P.COMPONENTS).groupBy("plant_id").agg(F.every("plausible").alias("components_ok"))
+        rows = rows.join(sound, "plant_id")
     rows = P.run(rows, P.COMPONENTS + P.plane(model, "column") + P.POWER)
     bare = F.least(F.when(F.col("shading_applied") > 0, F.col("power_w") / F.col("shading_applied")).otherwise(F.col("power_w")), F.col("kwp") * 1000)
     rows = rows.withColumn("unshaded_w", F.least(bare, F.coalesce("max_power_w", bare)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .mutations import ranked
 
 
 def geometry_asof(hours: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def geometry_asof(hours: DataFrame, geometry: DataFrame) -> DataFrame:
 def newest_issue(forecasts: DataFrame, keys: list[str], issued: str = "issued_at_utc") -> DataFrame:
     """The newest issue per key as a partial aggregate (JON-02, WIN-08)."""
     rest = [c for c in forecasts.columns if c not in keys]
-    return forecasts.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(issued)).alias("r")).select(*keys, "r.*")
+    return forecasts.groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked(issued)).alias("r")).select(*keys, "r.*")
 
 
 def closest_issue(forecasts: DataFrame, keys: list[str]) -> DataFrame:

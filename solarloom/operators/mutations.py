@@ -11,10 +11,16 @@ from .. import constants as C
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The row of the highest ``seq`` per key wins (SNK-01)."""
+    """The row of the highest ``seq`` per key wins (SNK-01); one without
+    loses to any other, but is kept where no row of the key has one."""
     both = old.unionByName(new)
     rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select(*keys, "r.*")
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked(seq)).alias("r")).select(*keys, "r.*")
+
+
+def ranked(column: str):
+    """An order in which NULL is lowest, but still a place."""
+    return F.struct(F.col(column).isNotNull(), F.col(column))
 
 
 def coalesce_merge(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -67,7 +73,7 @@ def clear_pairs(pairs: DataFrame, string_id: str) -> DataFrame:
 
 def compact_raw(raw: DataFrame, hourly: DataFrame, now: int, days: int = C.RAW_DAYS) -> DataFrame:
     """Raw rows past ``days`` go only if their hour is folded (SNK-13)."""
-    old = F.col("ts_utc") < now - days * 86400
+    old = F.coalesce(F.col("ts_utc") < now - days * 86400, F.lit(False))
     folded = hourly.select("string_id", F.col("ts_utc").alias("__h")).distinct()
     gone = raw.withColumn("__h", (F.floor(F.col("ts_utc") / 3600) * 3600).cast("long"))
     marked = gone.join(folded.withColumn("__f", F.lit(True)), ["string_id", "__h"], "left")
@@ -75,10 +81,11 @@ def compact_raw(raw: DataFrame, hourly: DataFrame, now: int, days: int = C.RAW_D
 
 
 def compact_issues(log: DataFrame, now: int, keys: list[str], days: int = C.ISSUE_DAYS) -> DataFrame:
-    """Past ``days`` only the newest issue of a target stays."""
-    old = F.col("ts_utc") < now - days * 86400
+    """Past ``days`` only the newest issue of a target stays; a row without a
+    time is not past."""
+    old = F.coalesce(F.col("ts_utc") < now - days * 86400, F.lit(False))
     rest = [c for c in log.columns if c not in keys]
-    newest = log.filter(old).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("issued_at_utc")).alias("r")).select(*keys, "r.*")
+    newest = log.filter(old).groupBy(*keys).agg(F.max_by(F.struct(*rest), ranked("issued_at_utc")).alias("r")).select(*keys, "r.*")
     return log.filter(~old).unionByName(newest.select(*log.columns))
 
 

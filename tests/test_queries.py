@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import solarloom.cycle_queries  # noqa: F401  (registers its queries)
 import solarloom.publish_queries  # noqa: F401  (registers its queries)
 import solarloom.view_queries  # noqa: F401  (registers its queries and the forecast's)
 from solarloom.queries import QUERIES, SQL
