@@ -12,6 +12,7 @@ from .functions import physics as P
 from .functions import predicates as R
 from .operators import aggregate as A
 from .operators import joins as J
+from .operators import turbidity as U
 from .plans.cycle import learn_cycle
 from .plans.lineage import folder, shared_dir
 from .queries import INTEGRATED, LINES, LOG, SAMPLES, _doubles, _latest, query, rounded, sql_rounded
@@ -113,3 +114,30 @@ def _(spark, d):
     sound = light.groupBy("l_orderkey").agg(F.every("plausible").alias("components_ok"))
     rows = P.run(light.join(sound, "l_orderkey"), P.plane("perez") + P.POWER)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "components_ok", *[(F.round(c, 4) + 0.0).alias(c) for c in PEREZ_OUT])
+
+
+SITES = "SELECT DISTINCT c_custkey % 400 AS site, (c_custkey % 400) * 0.35 - 70 AS lat, (c_custkey % 400) * 0.8 - 160 AS lon, CAST(o_orderdate AS DATE) AS day FROM orders JOIN customer ON o_custkey = c_custkey"
+CELL_SQL = "CAST(greatest(0, least(2159, round_even((90 - 0.5 / 12 - lat) * 12, 0))) AS INT) AS r, CAST(greatest(0, least(4319, round_even((lon + 180 - 0.5 / 12) * 12, 0))) AS INT) AS c"
+
+
+@query("phy02_turbidity", f"""WITH st AS ({SITES}), sd AS (SELECT site, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, day FROM st),
+gc AS (SELECT DISTINCT {CELL_SQL}, s_suppkey % 400 AS k FROM (SELECT s_suppkey, CAST((s_suppkey % 400) * 0.35 - 70 AS DOUBLE) AS lat, CAST((s_suppkey % 400) * 0.8 - 160 AS DOUBLE) AS lon FROM supplier)),
+gr AS (SELECT r, c, month, 2 + (k * month) % 30 / 10.0 AS v FROM gc, generate_series(1, 12) m(month) WHERE NOT (k % 7 = 0 AND month = 6)),
+x AS (SELECT *, {CELL_SQL}, date_trunc('month', day) AS f, day(day) AS dm, month(day) AS m, day(last_day(day)) AS own FROM sd),
+y AS (SELECT *, day(last_day(f - INTERVAL 1 MONTH)) AS before, day(last_day(f + INTERVAL 1 MONTH)) AS after, dm >= own / 2.0 AS late FROM x),
+z AS (SELECT *, CASE WHEN late THEN m WHEN m = 1 THEN 12 ELSE m - 1 END AS a, CASE WHEN NOT late THEN m WHEN m = 12 THEN 1 ELSE m + 1 END AS b, CASE WHEN late THEN (dm - own / 2.0) / (own / 2.0 + after / 2.0) ELSE (dm + before / 2.0) / (before / 2.0 + own / 2.0) END AS share FROM y)
+SELECT site, day, round(coalesce(ga.v + (gb.v - ga.v) * share, 3.5 - 0.01 * abs(lat) + 0.8 * cos(2 * pi() * (dayofyear(day) - CASE WHEN lat >= 0 THEN 200 ELSE 17.5 END) / 365)), 6) + 0.0 AS turbidity, ga.v IS NOT NULL AND gb.v IS NOT NULL AS gridded
+FROM z LEFT JOIN gr ga ON ga.r = z.r AND ga.c = z.c AND ga.month = a LEFT JOIN gr gb ON gb.r = z.r AND gb.c = z.c AND gb.month = b""")
+def _(spark, d):
+    """Sites of the customers on the days of their orders; the cells of the
+    suppliers are the grid, of some without June."""
+    def place(key):
+        return [((F.col(key) % 400) * 0.35 - 70).cast("double").alias("lat"), ((F.col(key) % 400) * 0.8 - 160).cast("double").alias("lon")]
+
+    orders = D.table(spark, d, "orders").join(D.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    days = orders.select((F.col("c_custkey") % 400).alias("site"), *place("c_custkey"), F.to_date("o_orderdate").alias("day")).distinct()
+    row, col = U.grid_cell("lat", "lon")
+    cells = D.table(spark, d, "supplier").select((F.col("s_suppkey") % 400).alias("k"), *place("s_suppkey")).select("k", row.alias("row"), col.alias("col")).distinct()
+    grid = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).filter("not (k % 7 = 0 and month = 6)")
+    grid = grid.select("row", "col", "month", (2 + (F.col("k") * F.col("month")) % 30 / 10.0).alias("value"))
+    return U.site_turbidity(days, grid).select("site", "day", F.round("turbidity", 6).alias("turbidity"), "gridded")
