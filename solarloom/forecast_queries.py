@@ -271,20 +271,27 @@ def _(spark, d):
 
 SHARE = f"""hy AS (SELECT unnest(generate_series(1735689600, 1735689600 + 8759 * 3600, 3600)) AS hour),
 sy AS ({P.nested_sql("(SELECT hour, CAST(hour + 1800 AS DOUBLE) AS ts, CAST(53.5 AS DOUBLE) AS lat, CAST(10 AS DOUBLE) AS lon, CAST(5 AS DOUBLE) AS altitude, CAST(3.5 AS DOUBLE) AS turbidity FROM hy)", P.SUN + P.CLEARSKY)}),
-py AS ({P.nested_sql("(SELECT sy.*, cs_ghi AS ghi, cs_dni AS dni, cs_dhi AS dhi, CAST(1 AS DOUBLE) AS shade, v.* FROM sy, (VALUES ('a', CAST(180 AS DOUBLE), CAST(30 AS DOUBLE), CAST(1.8 AS DOUBLE)), ('b', 110, 60, 1.0)) v(string_id, azimuth, tilt, kwp))", P.COMPONENTS + P.plane('haydavies'))}),
+py AS ({P.nested_sql("(SELECT sy.*, cs_ghi AS ghi, cs_dni AS dni, cs_dhi AS dhi, CAST(1 AS DOUBLE) AS shade, v.* FROM sy, (SELECT n_nationkey AS string_id, CAST(90 + n_nationkey * 7 AS DOUBLE) AS azimuth, CAST(10 + n_nationkey * 3 AS DOUBLE) AS tilt, 1 + n_nationkey / 10.0 AS kwp FROM nation) v)", P.COMPONENTS + P.plane('haydavies'))}),
 my AS (SELECT string_id, kwp, month(make_timestamp(hour * 1000000)) AS month, sum(poa) AS poa FROM py GROUP BY ALL),
 wy AS (SELECT month, sum(s * kwp) AS w FROM (SELECT *, poa / sum(poa) OVER (PARTITION BY string_id) AS s FROM my) GROUP BY ALL)"""
 
 
 @query("agg20_monthly_share", f"WITH {SHARE} SELECT 'p1' AS plant_id, CAST(month AS INT) AS month, round(w / sum(w) OVER (), 6) + 0.0 AS share FROM wy")
 def _(spark, d):
-    planes = spark.createDataFrame([("p1", "a", 180.0, 30.0, 1.8), ("p1", "b", 110.0, 60.0, 1.0)], "plant_id string, string_id string, azimuth double, tilt double, kwp double")
+    n = F.col("n_nationkey")
+    planes = D.table(spark, d, "nation").select(F.lit("p1").alias("plant_id"), n.alias("string_id"), (90 + n * 7).cast("double").alias("azimuth"), (10 + n * 3).cast("double").alias("tilt"), (1 + n / 10.0).alias("kwp"))
     return rounded(W.monthly_share(plants(spark), planes))
 
 
-@query("agg23_total_kwp", "SELECT 'p1' AS plant_id, CAST(3.75 AS DOUBLE) AS kwp")
+KWP_AT = 750_000
+
+
+# Strings of twenty plants, at a moment between their segments.
+@query("agg23_total_kwp", f"WITH {D.PART_GEOMETRY}, st AS (SELECT DISTINCT string_id FROM pg), m AS (SELECT string_id, coalesce(max(valid_from_ts_utc) FILTER (valid_from_ts_utc <= {KWP_AT}), min(valid_from_ts_utc)) AS vf FROM pg GROUP BY ALL) SELECT 'w' || CAST(CAST(substr(string_id, 2) AS INT) % 20 AS VARCHAR) AS plant_id, round(sum(kwp), 3) + 0.0 AS kwp FROM m JOIN pg USING (string_id) WHERE valid_from_ts_utc = vf GROUP BY ALL")
 def _(spark, d):
-    return W.total_kwp(strings(spark), D.geometry(spark), 1704300000)
+    geometry = D.part_geometry(spark, d)
+    owned = geometry.select("string_id").distinct().select(F.concat(F.lit("w"), (F.substring("string_id", 2, 9).cast("int") % 20).cast("string")).alias("plant_id"), "string_id")
+    return W.total_kwp(owned, geometry, KWP_AT)
 
 
 @query("cmp03_nowcast_plan", sql_rounded("ts_utc nowcast_weight* ghi* dhi_used*", f"WITH {CONDITIONS}, nw AS (SELECT *, CASE WHEN NOT covered OR ts - {ISSUED} <= 0 OR ts - {ISSUED} >= 7200 THEN 0.0 ELSE 6.0 / 9.0 * pow(0.5, (ts - {ISSUED}) / 4200.0) END AS nowcast_weight FROM cn), na AS (SELECT * REPLACE (CASE WHEN nowcast_weight > 0 THEN greatest(0.0, least(nowcast_weight * 0.8 * cs_ghi + (1 - nowcast_weight) * ghi, 1.1 * cs_ghi)) ELSE ghi END AS ghi, CASE WHEN nowcast_weight <= 0 THEN dni END AS dni, CASE WHEN nowcast_weight <= 0 THEN dhi END AS dhi) FROM nw) SELECT {{cols}} FROM ({P.nested_sql('na', P.COMPONENTS)})", 6))

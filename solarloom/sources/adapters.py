@@ -65,3 +65,13 @@ def conversion(spark, sf_dir) -> DataFrame:
 def geometry(spark) -> DataFrame:
     rows = [("s1", 1704500000, 180.0, 30.0, 1.8), ("s1", 1705300000, 175.0, 35.0, 1.8), ("s2", 1704100000, 180.0, 60.0, 1.0), ("s3", 1704200000, 110.0, 27.0, 0.95), ("s3", 1705000000, 112.0, 27.0, 0.95), ("s3", 1706000000, 115.0, 28.0, 0.9)]
     return spark.createDataFrame(rows, "string_id string, valid_from_ts_utc long, azimuth_deg double, tilt_deg double, kwp double")
+
+
+def part_geometry(spark, sf_dir) -> DataFrame:
+    """Parts as geometry segments of up to 500 strings."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.concat(F.lit("t"), (F.col("p_partkey") % 500).cast("string")).alias("string_id"), (F.col("p_partkey") * 1000).alias("valid_from_ts_utc"), (F.col("p_partkey") % 360).cast("double").alias("azimuth_deg"), F.col("p_size").cast("double").alias("tilt_deg"), (F.floor("p_retailprice") / 1000).alias("kwp"))
+
+
+#: The same in SQL, as a CTE ``pg``.
+PART_GEOMETRY = "pg AS (SELECT 't' || CAST(p_partkey % 500 AS VARCHAR) AS string_id, p_partkey * 1000 AS valid_from_ts_utc, CAST(p_partkey % 360 AS DOUBLE) AS azimuth_deg, CAST(p_size AS DOUBLE) AS tilt_deg, floor(p_retailprice) / 1000 AS kwp FROM part)"

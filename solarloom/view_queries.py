@@ -239,10 +239,13 @@ def _(spark, d):
     return rounded(V.plant_ac(converted, spark.createDataFrame(ALL_STRINGS, "string_id string"), groups, members))
 
 
-@query("set06_output_paths", "SELECT * FROM (VALUES ('s1', 'direct'), ('s2', 'direct'), ('s3', 'storage'), ('s4', 'none')) t(string_id, path)")
+# Every string of the parts; suppliers are members of their nation's group.
+@query("set06_output_paths", f"WITH {D.PART_GEOMETRY}, mb AS (SELECT 't' || CAST(s_suppkey % 500 AS VARCHAR) AS string_id, min(s_nationkey) AS n FROM supplier GROUP BY ALL) SELECT string_id, coalesce(path, 'none') AS path FROM (SELECT DISTINCT string_id FROM pg) LEFT JOIN (SELECT string_id, CASE n_nationkey % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'storage' ELSE 'none' END AS path FROM mb JOIN nation ON n = n_nationkey) USING (string_id)")
 def _(spark, d):
-    _, members, groups = _converted(spark, d)
-    return V.path_lists(spark.createDataFrame(ALL_STRINGS, "string_id string"), groups, members)
+    members = D.table(spark, d, "supplier").groupBy(F.concat(F.lit("t"), (F.col("s_suppkey") % 500).cast("string")).alias("string_id")).agg(F.min("s_nationkey").alias("group_id"))
+    kind = F.col("n_nationkey") % 3
+    groups = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(kind == 0, "direct").when(kind == 1, "storage").otherwise("none").alias("output_path"))
+    return V.path_lists(D.part_geometry(spark, d).select("string_id").distinct(), groups, members)
 
 
 @query("snk16_forecast_attribute", f"WITH {FORECAST}, g AS (SELECT string_id, CAST({local_sql('ts_utc')} AS DATE) AS day, ts_utc FROM ev) SELECT string_id, day, CAST(count(*) AS INT) AS n, strftime({local_sql('min(ts_utc)')}, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS first_hour, strftime({local_sql('max(ts_utc)')}, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS last_hour FROM g GROUP BY string_id, day")
@@ -444,10 +447,11 @@ def _(spark, d):
     return rounded(T.merge_scope(old, new, ["scope", "key"]).select("scope", "key", "value"), 4)
 
 
-@query("snk07_replace_segment", "SELECT * FROM (VALUES ('s1', 1704500000, CAST(180.0 AS DOUBLE)), ('s1', 1705400000, 170.0), ('s2', 1704100000, 180.0), ('s3', 1704200000, 110.0), ('s3', 1705000000, 112.0), ('s3', 1706000000, 115.0)) t(string_id, valid_from_ts_utc, azimuth_deg)")
+@query("snk07_replace_segment", f"WITH {D.PART_GEOMETRY}, nw AS (SELECT 't' || CAST(s_suppkey AS VARCHAR) AS string_id, s_suppkey * 1000 + 7 AS valid_from_ts_utc, CAST(s_nationkey AS DOUBLE) AS azimuth_deg FROM supplier) SELECT string_id, valid_from_ts_utc, azimuth_deg FROM pg WHERE NOT (string_id IN (SELECT string_id FROM nw) AND valid_from_ts_utc = (SELECT max(q.valid_from_ts_utc) FROM pg q WHERE q.string_id = pg.string_id)) UNION ALL SELECT * FROM nw")
 def _(spark, d):
-    new = spark.createDataFrame([("s1", 1705400000, 170.0, 35.0, 1.8)], D.geometry(spark).schema)
-    return M.replace_latest_segment(D.geometry(spark), new).select("string_id", F.col("valid_from_ts_utc").cast("int").alias("valid_from_ts_utc"), "azimuth_deg")
+    key = F.col("s_suppkey")
+    new = D.table(spark, d, "supplier").select(F.concat(F.lit("t"), key.cast("string")).alias("string_id"), (key * 1000 + 7).alias("valid_from_ts_utc"), F.col("s_nationkey").cast("double").alias("azimuth_deg"), F.lit(20.0).alias("tilt_deg"), F.lit(1.0).alias("kwp"))
+    return M.replace_latest_segment(D.part_geometry(spark, d), new).select("string_id", "valid_from_ts_utc", "azimuth_deg")
 
 
 @query("snk11_resets", f"WITH {STORED} SELECT 'string' AS reset, count(*) AS n FROM fx WHERE key <> '3' AND NOT starts_with(key, '3|') UNION ALL SELECT 'scope', count(*) FROM fx WHERE scope <> 'plant' UNION ALL SELECT 'prefix', count(*) FROM fx WHERE NOT starts_with(key, '1|') UNION ALL SELECT 'all', 0 UNION ALL SELECT 'pairs', count(*) FROM lineitem WHERE l_suppkey % 5 <> 1 AND l_suppkey % 3 <> 0")
@@ -461,10 +465,11 @@ def _(spark, d):
     return out
 
 
-@query("snk12_cursor", "SELECT * FROM (VALUES ('bias', 5), ('learn', 7)) t(name, ts_utc)")
+@query("snk12_cursor", "SELECT c_name AS name, CASE c_name WHEN 'Customer#000000007' THEN 7 ELSE c_custkey * 3600 END AS ts_utc FROM customer UNION ALL SELECT 'Customer#000000007', 7 WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_name = 'Customer#000000007')")
 def _(spark, d):
-    old = spark.createDataFrame([("learn", 3), ("bias", 5)], "name string, ts_utc long")
-    return T.set_cursor(old, "learn", 7).select("name", F.col("ts_utc").cast("int").alias("ts_utc"))
+    """The marks of all customers, of which one is moved."""
+    old = D.table(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") * 3600).alias("ts_utc"))
+    return T.set_cursor(old, "Customer#000000007", 7)
 
 
 @query("snk13_tiers", f"SELECT t AS tier, count(*) AS n FROM (SELECT epoch_us(l_shipdate) // 1000000 AS ts FROM lineitem), (VALUES ('weather_actual_5min', 90), ('exclusions', 90), ('conversion_5min', 730), ('forecast_log', 730)) v(t, dd) WHERE ts >= {SKY_NOW} - dd * 86400 GROUP BY ALL")
@@ -528,10 +533,11 @@ def _(spark, d):
     return rounded(T.reachable(T.curves_from_rows(rows, reference.withColumn("stage", F.lit("inverter")))))
 
 
-@query("sta04_seed_geometry", "SELECT * FROM (VALUES ('s1', 2), ('s2', 1), ('s3', 3), ('s4', 1)) t(string_id, segments)")
+# Suppliers as configured strings, some of which have no segment yet.
+@query("sta04_seed_geometry", f"WITH {D.PART_GEOMETRY}, st AS (SELECT 't' || CAST(s_suppkey + 450 AS VARCHAR) AS string_id FROM supplier) SELECT string_id, CAST(count(*) AS INT) AS segments FROM (SELECT string_id FROM pg UNION ALL SELECT string_id FROM st WHERE string_id NOT IN (SELECT string_id FROM pg)) GROUP BY ALL")
 def _(spark, d):
-    strings = spark.createDataFrame([("s1", 1.0, 1.0, 1.0), ("s4", 200.0, 20.0, 0.5)], "string_id string, azimuth_deg double, tilt_deg double, kwp double")
-    return T.seed_geometry(D.geometry(spark), strings).groupBy("string_id").agg(F.count("*").cast("int").alias("segments"))
+    configured = D.table(spark, d, "supplier").select(F.concat(F.lit("t"), (F.col("s_suppkey") + 450).cast("string")).alias("string_id"), F.lit(200.0).alias("azimuth_deg"), F.lit(20.0).alias("tilt_deg"), F.lit(0.5).alias("kwp"))
+    return T.seed_geometry(D.part_geometry(spark, d), configured).groupBy("string_id").agg(F.count("*").cast("int").alias("segments"))
 
 
 @query("sta05_migrate", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(NULL AS DOUBLE) AS rain_probability_pct FROM orders")
