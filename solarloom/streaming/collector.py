@@ -17,6 +17,8 @@ from .. import constants as C
 ROWS = "ts_utc long, energy_wh double, power_mean_w double, coverage double, sample_count long, peak_w double"
 #: The state store that keeps lists and timers.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Least seconds of an entity's history that are one state.
+BLOCK_S = 6 * 3600
 
 
 def span_limit(watchdog_s: float) -> float:
@@ -67,21 +69,31 @@ def windows(t: np.ndarray, v: np.ndarray, first: int, stop: int, gap: float, ste
     return out.astype({c: object for c in ("energy_wh", "power_mean_w", "peak_w")}).where(out.notna(), None)
 
 
+def block_of(gap: float, step: int) -> int:
+    """Seconds of a block: about six hours, whole windows, over two spans."""
+    return step * max(1, math.ceil(max(BLOCK_S, 2 * gap + 1) / step))
+
+
 class Collector(StatefulProcessor):
-    """State of an entity: the samples that an open window may still need, one
-    carry-in among them, and the end of the last window that was closed. A
-    window is closed once the watermark says that no sample can come any more
-    that is within a span of its end. Rows only leave in event-time order, so a
-    closed window is never emitted again."""
+    """State of an entity's block: the samples that an open window may still
+    need, one carry-in among them, and the end of the last window that was
+    closed. A window is closed once the watermark says that no sample can come
+    any more that is within a span of its end. Rows only leave in event-time
+    order, so a closed window is never emitted again; with its last window a
+    block goes. ``block`` None: an entity has one state without end."""
 
-    def __init__(self, watchdog_s: float, repeat: bool, step: int):
-        self.gap, self.repeat, self.watchdog_s, self.step = span_limit(watchdog_s), repeat, watchdog_s, step
+    def __init__(self, watchdog_s: float, repeat: bool, step: int, block: int | None = None):
+        self.gap, self.repeat, self.watchdog_s, self.step, self.block = span_limit(watchdog_s), repeat, watchdog_s, step, block
 
     def init(self, handle) -> None:
         self.handle = handle
         self.samples = handle.getListState("samples", "t double, v double")
         self.closed = handle.getValueState("closed", "end long, timer long")
 
+    def _bounds(self, key) -> tuple[float, float]:
+        """The windows of a key begin at the first and before the second."""
+        return (-math.inf, math.inf) if self.block is None else (key[1] * self.block, (key[1] + 1) * self.block)
+
     def _mark(self) -> tuple[int | None, int | None]:
         found = self.closed.get() if self.closed.exists() else (None, None)
         return found[0], found[1]
@@ -109,6 +121,8 @@ class Collector(StatefulProcessor):
             first = int(earliest // self.step * self.step)
             if timer is not None:
                 first = min(first, round(timer / 1000 - self.gap) - self.step)
+            low, high = self._bounds(key)
+            first = min(max(first, low), high - self.step)
             self._wake(end, first if end is None else max(first, end), timer)
         yield pd.DataFrame(columns=["entity_id", *self._columns()])
 
@@ -124,11 +138,18 @@ class Collector(StatefulProcessor):
         v = np.array([np.nan if x[1] is None else x[1] for x in held], float)
         by = np.lexsort((v, t))
         t, v = t[by], v[by]
-        first = int(t[0] // self.step * self.step) if end is None else end
-        stop = max(first, int((now - self.gap) // self.step * self.step))
+        low, high = self._bounds(key)
+        first = min(max(int(t[0] // self.step * self.step), low), high - self.step) if end is None else end
+        stop = max(first, min(int((now - self.gap) // self.step * self.step), high))
         lasting = self.repeat and len(v) and not math.isnan(v[-1])
         dense = repeated(t, v, self.watchdog_s, first - self.watchdog_s, now if lasting else t[-1]) if self.repeat else (t, v)
         out = windows(*dense, first, stop, self.gap, self.step)
+        out = out.assign(entity_id=key[0])[["entity_id", *self._columns()]]
+        if stop >= high:
+            self.samples.clear()
+            self.closed.clear()
+            yield out
+            return
         keep = max(0, int(np.searchsorted(t, stop)) - 1)
         t, v = t[keep:], v[keep:]
         self.samples.put([(float(x), None if math.isnan(y) else float(y)) for x, y in zip(t, v)])
@@ -137,9 +158,11 @@ class Collector(StatefulProcessor):
         more = lasting or (len(t) and (t[-1] >= stop or t[-1] + self.gap > stop))
         if more:
             self._wake(stop, stop, None)
+        elif self.block is not None:
+            self._wake(stop, high - self.step, None)
         else:
             self.closed.update((stop, None))
-        yield out.assign(entity_id=key[0])[["entity_id", *self._columns()]]
+        yield out
 
 
 def collect(samples: DataFrame, watchdog_s: float = C.WATCHDOG_S, repeat: bool = False, lateness: str = "10 minutes", step: int = C.INTERVAL_S) -> DataFrame:
@@ -148,10 +171,18 @@ def collect(samples: DataFrame, watchdog_s: float = C.WATCHDOG_S, repeat: bool =
     ``lateness`` go in by time, later ones are dropped. With ``repeat`` each
     value counts again every ``watchdog_s`` until the next sample (SRC-02),
     also when none comes, as long as the watermark moves on. Needs the RocksDB
-    state store (``STORE``), which keeps the state in the checkpoint folder."""
+    state store (``STORE``), which keeps the state in the checkpoint folder.
+
+    State and timers are of an entity and a block of about six hours, so a long
+    history that is read at once never lies in one task; a sample within a span
+    of a block's edge is dealt to both sides. Only ``repeat`` keeps an entity
+    in one state, since a value may go on for any time."""
+    gap, block = span_limit(watchdog_s), None if repeat else block_of(span_limit(watchdog_s), step)
     keyed = samples.withWatermark("ts", lateness).select("entity_id", "ts", (F.unix_micros("ts") / 1e6).alias("ts_utc"), "value")
-    return keyed.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=Collector(watchdog_s, repeat, step), outputStructType=f"entity_id string, {ROWS}", outputMode="append", timeMode="EventTime")
+    at = [F.lit(0).cast("long")] if repeat else [F.floor((F.col("ts_utc") + far) / block).cast("long") for far in (-gap, 0.0, gap)]
+    keyed = keyed.withColumn("block", F.explode(F.array_distinct(F.array(*at))))
+    return keyed.groupBy("entity_id", "block").transformWithStateInPandas(
+        statefulProcessor=Collector(watchdog_s, repeat, step, block), outputStructType=f"entity_id string, {ROWS}", outputMode="append", timeMode="EventTime")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

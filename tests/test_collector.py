@@ -97,3 +97,26 @@ def test_repeats_are_those_of_the_batch(spark):
 def test_windows_of_nothing():
     none = np.zeros(0)
     assert len(windows(none, none, 0, 900, 75.0)) == 0 and len(windows(none, none, 0, 0, 75.0)) == 0
+
+
+def test_a_long_history_is_dealt_in_blocks(spark, tmp_path, monkeypatch):
+    """Two days read at once: no state holds much more than six hours of an
+    entity, and the rows are those of the batch across all edges."""
+    from solarloom.streaming import collector
+
+    rows = some_samples(9, 48)
+    seen = str(tmp_path / "held")
+
+    class Watched(collector.Collector):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            t = [x[0] for x in self.samples.get()]
+            with open(f"{seen}-{'-'.join(map(str, key))}", "w") as f:
+                f.write(str(max(t) - min(t)))
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    monkeypatch.setattr(collector, "Collector", Watched)
+    got = stream_of(spark, tmp_path, [rows, [("end", START + 72 * 3600.0, 1.0)]])[-1]
+    want = plain(integrate(spark.createDataFrame(rows, SCHEMA)))
+    assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+    spans = [float(f.read_text()) for f in tmp_path.glob("held-*")]
+    assert len(spans) >= 24 and max(spans) <= 6 * 3600 + 150
