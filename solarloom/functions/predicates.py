@@ -262,7 +262,10 @@ def recency(age_days, half_life: float) -> Column:
 
 def nearest_load(load_pct) -> Column:
     """Nearest bucket, the lower on ties (SCL-16)."""
-    return F.array_min(F.transform(F.array(*[F.lit(b) for b in C.LOAD_BUCKETS]), lambda b: F.struct(F.abs(b - _c(load_pct)).alias("d"), b.alias("b"))))["b"]
+    out = F.lit(C.LOAD_BUCKETS[0])
+    for low, high in zip(C.LOAD_BUCKETS, C.LOAD_BUCKETS[1:]):
+        out = F.when(_c(load_pct) > (low + high) / 2, high).otherwise(out)
+    return out
 
 
 def curve_at(curve, load_pct) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -130,20 +130,23 @@ def learn_effects(obs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 def fit_curves(pairs: DataFrame, reference: DataFrame, now: int) -> DataFrame:
     """Efficiency per scope and load bucket (CMP-14, AGG-21): weighted mean and
-    population variance (two passes) of the clean pairs (FLT-18), shrunk to the
-    prior at 50 observations and held within five points of it; and the
-    highest load seen before the pairs are cleaned. ``reference`` has scope_id,
-    reference_w, prior (array of load, eta)."""
+    population variance of the clean pairs (FLT-18), shrunk to the prior at 50
+    observations and held within five points of it; and the highest load seen
+    before the pairs are cleaned. ``reference`` has scope_id, reference_w,
+    prior (array of load, eta). One pass over the pairs: the variance is taken
+    about a value inside the range of clean pairs, so that little cancels; all
+    that is left after it is a row for each bucket."""
+    keys = ["scope_id", "bucket"]
     p = pairs.filter("in_w > 0 and out_w >= 0 and coverage > 0 and coalesce(censored, 1) = 0").join(reference, "scope_id")
     p = p.withColumn("load", F.col("in_w") / F.col("reference_w") * 100).withColumn("eta", F.col("out_w") / F.col("in_w")).filter("load >= 1")
-    top = p.groupBy("scope_id").agg(F.max("load").alias("max_load"))
-    clean = p.filter("out_w < 0.98 * reference_w and eta > 0.3 and eta <= 1.05")
-    clean = clean.select("scope_id", "eta", nearest_load("load").alias("bucket"), (F.col("coverage") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.CURVE_RECENCY_DAYS)).alias("w"))
-    keys = ["scope_id", "bucket"]
-    bins = clean.groupBy(*keys).agg(F.sum("w").alias("n_eff"), (F.sum(F.col("w") * F.col("eta")) / F.sum("w")).alias("measured"), F.count("*").alias("n"))
-    away = F.col("eta") - F.col("measured")
-    spread = clean.join(bins, keys).groupBy(*keys).agg((F.sum(F.col("w") * away * away) / F.sum("w")).alias("variance"))
-    bins = bins.join(spread, keys).join(reference, "scope_id").join(top, "scope_id").withColumn("base", curve_at("prior", "bucket"))
+    p = p.select(*keys[:1], "load", "eta", nearest_load("load").alias("bucket"), "prior", F.expr("out_w < 0.98 * reference_w and eta > 0.3 and eta <= 1.05").alias("clean"),
+                 (F.col("coverage") * recency((F.lit(now) - F.col("ts_utc")) / 86400, C.CURVE_RECENCY_DAYS)).alias("weight"))
+    p = p.withColumn("w", F.when(F.col("clean"), F.col("weight"))).withColumn("away", F.col("eta") - 0.95)
+    bins = p.groupBy(*keys).agg(F.max("load").alias("top"), F.count_if("clean").alias("n"), F.sum("w").alias("n_eff"), F.sum(F.col("w") * F.col("eta")).alias("sum"),
+                                F.sum(F.col("w") * F.col("away")).alias("first"), F.sum(F.col("w") * F.col("away") * F.col("away")).alias("second"), F.first("prior").alias("prior"))
+    bins = bins.withColumn("max_load", F.max("top").over(Window.partitionBy("scope_id"))).filter("n > 0").withColumn("base", curve_at("prior", "bucket"))
+    mean = F.col("first") / F.col("n_eff")
+    bins = bins.withColumn("measured", F.col("sum") / F.col("n_eff")).withColumn("variance", F.greatest(F.lit(0.0), F.col("second") / F.col("n_eff") - mean * mean))
     return bins.select(*keys, "n", "n_eff", "measured", "variance", held_to_prior("measured", "n_eff", "base").alias("eta"), "max_load")
 
 
