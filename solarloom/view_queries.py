@@ -20,6 +20,7 @@ from .operators import publish as PB
 from .operators import shading as S
 from .operators import state as T
 from .operators import views as V
+from .plans.lineage import materialize
 from .publish_queries import AT
 from .queries import ASOF, INTEGRATED, KWH, LOG, PLANT, SKY, SKY_NOW, SQL, _latest, _sky, query, rounded, sql_rounded
 from .sources import adapters as D
@@ -519,17 +520,21 @@ def _(spark, d):
     return L.looks_derived(_curves(spark, d)[0])
 
 
+def _stored_curves(spark, d):
+    """The curves as stored rows, fitted once: their readers scan them often."""
+    bins, reference = _curves(spark, d)
+    return T.curve_rows(materialize(bins.withColumn("stage", F.lit("inverter")))), reference
+
+
 @query("sta02_stored_curves", sql_rounded("scope_id stage bucket eta* n_eff* learned max_load*", f"WITH {CURVES}, b AS (SELECT unnest([2, 5, 10, 20, 35, 50, 75, 100]) AS bucket), s AS (SELECT unnest(['g0', 'g1', 'g2', 'g3', 'g4']) AS scope_id), p AS (SELECT *, CASE WHEN bucket <= 10 THEN 0.86 + 0.07 * (bucket - 2) / 8 WHEN bucket <= 50 THEN 0.93 + 0.03 * (bucket - 10) / 40 ELSE 0.96 - 0.01 * (bucket - 50) / 50 END AS pe FROM b, s) SELECT {{cols}} FROM (SELECT p.scope_id, 'inverter' AS stage, p.bucket, coalesce(cv.eta, pe) AS eta, coalesce(cv.n_eff, 0) AS n_eff, coalesce(cv.n_eff, 0) >= 50 AS learned, coalesce(cx.max_load, 0) AS max_load FROM p LEFT JOIN cv USING (scope_id, bucket) LEFT JOIN cx ON cx.scope_id = p.scope_id)"))
 def _(spark, d):
-    bins, reference = _curves(spark, d)
-    rows = T.curve_rows(bins.withColumn("stage", F.lit("inverter")))
+    rows, reference = _stored_curves(spark, d)
     return rounded(T.curves_from_rows(rows, reference.withColumn("stage", F.lit("inverter"))).drop("prior_eta"))
 
 
 @query("cmp14_reachable", f"WITH {CURVES}, b AS (SELECT unnest([2, 5, 10, 20, 35, 50, 75, 100]) AS bucket), r AS (SELECT cx.scope_id, b.bucket, b.bucket <= [2, 5, 10, 20, 35, 50, 75, 100][1 + len(list_filter([3.5, 7.5, 15, 27.5, 42.5, 62.5, 87.5], lambda e: e < cx.max_load))] AS within, coalesce(cv.n_eff, 0) >= 50 AS learned FROM cx CROSS JOIN b LEFT JOIN cv ON cv.scope_id = cx.scope_id AND cv.bucket = b.bucket) SELECT scope_id, 'inverter' AS stage, count(*) FILTER (within) AS reachable, count(*) FILTER (within AND learned) AS learned, round(count(*) FILTER (within AND learned) / count(*) FILTER (within), 6) + 0.0 AS coverage FROM r GROUP BY ALL")
 def _(spark, d):
-    bins, reference = _curves(spark, d)
-    rows = T.curve_rows(bins.withColumn("stage", F.lit("inverter")))
+    rows, reference = _stored_curves(spark, d)
     return rounded(T.reachable(T.curves_from_rows(rows, reference.withColumn("stage", F.lit("inverter")))))
 
 
