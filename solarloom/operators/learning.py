@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.predicates import curve_at, nearest_load, recency
-from ..plans.lineage import Cuts, discard, materialize
+from ..plans.lineage import Cuts
 
 ALPHA = 1 - 0.5 ** (1 / C.EMA_HALF_LIFE)
 
@@ -91,41 +91,103 @@ def running_effect(rows: DataFrame, by: list[str], value: str, weight: str, orde
     return cut.keep(dealt.groupBy("__block").cogroup(begin.groupBy("__block")).applyInPandas(replay, schema))
 
 
-def learn_effects(obs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+LAYERS = {"plant": ["weather", "part"], "string": ["string_id"], "string_daypart": ["string_id", "part"]}
+
+
+def _running(frame: pd.DataFrame, by: list[str], value: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of rows in order: their places by bucket, the buckets' numbers there,
+    and the maps of value and n_eff up to each."""
+    number = frame.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+    at = np.argsort(number, kind="stable")
+    segment, a = number[at], np.minimum(1.0, ALPHA * w[at])
+    return at, segment, [*composed(segment, 1 - a, a * value[at]), *composed(segment, np.full(len(at), 1 - ALPHA), w[at])]
+
+
+def _left_by(frame: pd.DataFrame, by: list[str], value: np.ndarray, w: np.ndarray, begin: pd.DataFrame) -> np.ndarray:
+    """What the effect of a layer, from the states that its buckets begin with,
+    leaves of each value."""
+    at, segment, (scale, shift, keep, add) = _running(frame, by, value, w)
+    heads = np.flatnonzero(np.diff(segment, prepend=-1))
+    had = frame.iloc[at[heads]][by].merge(begin, on=by, how="left")[["__v", "__n"]].to_numpy(float)[segment]
+    v, n = scale * had[:, 0] + shift, keep * had[:, 1] + add
+    out = value.copy()
+    out[at] -= np.where(n > 0, np.clip(v * n / np.where(n > 0, n + C.SHRINK_K, 1.0), -C.EFFECT_CLAMP, C.EFFECT_CLAMP), 0.0)
+    return out
+
+
+def learn_effects(obs: DataFrame, stored: DataFrame | None = None, block_rows: int = 50_000) -> DataFrame:
     """Three keyed scans in place of one global loop (ITR-01): the plant layer
     sees the residual, the string layer what that leaves, the third layer what
     both leave. ``obs`` has hour, string_id, weather, part, residual, weight,
     and plant_id where it is of several plants, which then learn apart.
     Gives (plant_id, scope, key, value, n_eff) after the last row of each
-    bucket; ``stored``, of the same form, is what earlier hours taught."""
-    order = ["hour", "string_id", "residual", "weight"]  # the last two settle ties alone
+    bucket; ``stored``, of the same form, is what earlier hours taught.
+
+    The layers share one order, so rows are dealt to blocks once (see
+    ``running_effect``) and never written again: the pass of a layer works out
+    what the layers before it leave from the states that its block begins
+    with, and only gives a map for each of its buckets. The end of a bucket's
+    chain is its effect."""
     who = ["plant_id"] if "plant_id" in obs.columns else []
+    order = ["hour", *who, "string_id", "residual", "weight", "weather", "part"]  # those after string_id settle ties alone
+    kinds, cut = dict(obs.dtypes), Cuts()
 
     def start(scope, by):
-        if stored is None:
-            return None
         names = by[len(who):]
         parts = [F.col("key")] if len(names) == 1 else [F.regexp_extract("key", r"^(.*)\|([^|]*)$", i) for i in (1, 2)]
-        return stored.filter(F.col("scope") == scope).select(*who, *[c.alias(k) for c, k in zip(parts, names)], "value", "n_eff")
-
-    def scan(rows, scope, by, value):
-        by = [*who, *by]
-        return running_effect(rows, by, value, "weight", [*order[:1], *who, *order[1:]], start=start(scope, by))
-
-    first = materialize(obs)
-    one = scan(first, "plant", ["weather", "part"], "residual")
-    rest = one.withColumn("rest", F.col("residual") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v1", "n_eff": "n1"}).drop("ema_shrunk")
-    two = scan(rest, "string", ["string_id"], "rest")
-    last = two.withColumn("rest2", F.col("rest") - F.col("ema_shrunk")).withColumnsRenamed({"ema": "v2", "n_eff": "n2"}).drop("ema_shrunk")
-    three = scan(last, "string_daypart", ["string_id", "part"], "rest2")
-    discard(first, one, two)
-    at = F.struct(*order)
-
-    def final(scope, key, v, n):
-        return three.groupBy(*who, key.alias("key")).agg(F.max_by(v, at).alias("value"), F.max_by(n, at).alias("n_eff")).select(*who, F.lit(scope).alias("scope"), "key", "value", "n_eff")
-
-    return final("plant", F.concat_ws("|", "weather", "part"), "v1", "n1").unionByName(final("string", F.col("string_id"), "v2", "n2")).unionByName(
-        final("string_daypart", F.concat_ws("|", "string_id", "part"), "ema", "n_eff"))
+        return stored.filter(F.col("scope") == scope).select(*who, *[c.alias(k) for c, k in zip(parts, names)], F.col("value").alias("__v0"), F.col("n_eff").alias("__n0"))
+
+    def layer(number: int, by: list[str]):
+        before = [[*who, *names] for names in list(LAYERS.values())[:number]]
+
+        def fold(frame: pd.DataFrame, begin: pd.DataFrame | None) -> pd.DataFrame:
+            if not len(frame):
+                return pd.DataFrame(columns=["__block", *by, "scale", "shift", "keep", "add"])
+            frame = frame.sort_values(order, kind="stable")
+            left, w = frame["residual"].to_numpy(float), frame["weight"].to_numpy(float)
+            for i, earlier in enumerate(before):
+                left = _left_by(frame, earlier, left, w, begin.loc[begin["__layer"] == i, [*earlier, "__v", "__n"]])
+            at, segment, found = _running(frame, by, left, w)
+            last = np.append(segment[1:] != segment[:-1], True)
+            return frame.iloc[at[last]][["__block", *by]].assign(**{c: x[last] for c, x in zip(("scale", "shift", "keep", "add"), found)})
+
+        def alone(frame: pd.DataFrame) -> pd.DataFrame:
+            return fold(frame, None)
+
+        def chain(frame: pd.DataFrame) -> pd.DataFrame:
+            """The states that a bucket's blocks begin with, and its last as
+            that of block -1."""
+            frame = frame.sort_values("__block")
+            one = np.zeros(len(frame), np.int64)
+            out = pd.concat([frame[["__block", *by]], frame[["__block", *by]].iloc[-1:].assign(__block=-1)])
+            for begin, scale, shift in (("__v", "scale", "shift"), ("__n", "keep", "add")):
+                first = float(frame[f"{begin}0"].iloc[0])
+                a, b = composed(one, frame[scale].to_numpy(), frame[shift].to_numpy())
+                out[begin] = np.append(first, a * first + b)
+            return out
+
+        return alone if number == 0 else fold, chain
+
+    rows = cut(obs.select(*order))
+    blocks = max(1, -(-rows.count() // block_rows))
+    dealt = cut(rows.repartitionByRange(blocks, *order).withColumn("__block", F.spark_partition_id().cast("long")))
+    states, out = None, None
+    for number, (scope, names) in enumerate(LAYERS.items()):
+        by = [*who, *names]
+        head = "__block long, " + ", ".join(f"`{k}` {kinds[k]}" for k in by)
+        fold, chain = layer(number, by)
+        maps, grouped = f"{head}, scale double, shift double, keep double, add double", dealt.groupBy("__block")
+        folded = grouped.applyInPandas(fold, maps) if states is None else grouped.cogroup(states.groupBy("__block")).applyInPandas(fold, maps)
+        if stored is None:
+            folded = folded.withColumn("__v0", F.lit(0.0)).withColumn("__n0", F.lit(0.0))
+        else:
+            folded = folded.join(start(scope, by), by, "left").fillna(0.0, ["__v0", "__n0"])
+        chained = cut(folded.groupBy(*by).applyInPandas(chain, f"{head}, __v double, __n double"))
+        begin = chained.filter("__block >= 0").select("__block", F.lit(number).alias("__layer"), *who, *[(F.col(k) if k in names else F.lit(None).cast(kinds[k])).alias(k) for k in ("weather", "part", "string_id")], "__v", "__n")
+        states = begin if states is None else states.unionByName(begin)
+        ends = chained.filter("__block = -1").select(*who, F.lit(scope).alias("scope"), F.concat_ws("|", *names).alias("key"), F.col("__v").alias("value"), F.col("__n").alias("n_eff"))
+        out = ends if out is None else out.unionByName(ends)
+    return cut.keep(out)
 
 
 def fit_curves(pairs: DataFrame, reference: DataFrame, now: int) -> DataFrame:

@@ -96,3 +96,26 @@ def test_a_burst_is_split(spark, monkeypatch):
 
 def test_nothing_to_learn(spark):
     assert learn_effects(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_are_dealt_once(spark, monkeypatch):
+    """Rows are written as they came and once by blocks, whatever the layers;
+    many blocks learn what the loop learns, from stored effects too."""
+    rows, more = some_rows(5, 3000), [(*r[:1], r[1] + 2000, *r[2:]) for r in some_rows(6, 900)]
+    wrote = []
+    whole = L.Cuts.__call__
+
+    def watched(self, df):
+        out = whole(self, df)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(L.Cuts, "__call__", watched)
+    first = learn_effects(spark.createDataFrame(rows, SCHEMA), block_rows=100)
+    want = by_loop(rows)
+    got = learned(first)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert wrote.count(3000) == 2 and max(n for n in wrote if n != 3000) < 1500
+    then = learned(learn_effects(spark.createDataFrame(more, SCHEMA), first, block_rows=100))
+    want = by_loop(more, want)
+    assert all(then[k] == pytest.approx(want[k], abs=1e-9) for k in then)
