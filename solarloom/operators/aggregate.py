@@ -96,7 +96,7 @@ def merge_series(*series: DataFrame) -> DataFrame:
     return out.groupBy("ts_utc").agg(F.round(F.sum("value"), 4).alias("value"))
 
 
-def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q: float, grain: int = 256) -> DataFrame:
+def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q: float, grain: int = 256, parts: int | None = None) -> DataFrame:
     """First value, in order, whose running weight reaches q of the total, else
     the last (AGG-17); with the total weight and the count of rows.
 
@@ -105,10 +105,14 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, q:
     running weight of the bins (some thousands a group) finds the bin where the
     share is reached, and only inside of bins are values sorted. So the largest
     task holds the different values of one bin, whatever group has most rows.
-    NULL and NaN values are left out."""
+    NULL and NaN values are left out. Where most values differ, summing equal
+    ones first only fills a table of them in each task: with ``parts`` rows are
+    dealt by bin to as many tasks at once, for both the sums and the order."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(weight).isNotNull())
-    rows = rows.groupBy(*by, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"), F.count("*").alias("__n"))
-    rows = rows.withColumn("__bin", F.floor(F.col("__v") * grain))
+    rows = rows.select(*by, F.floor(F.col(value) * grain).alias("__bin"), F.col(value).alias("__v"), F.col(weight).alias("__w"))
+    if parts is not None:
+        rows = rows.repartition(parts, *by, "__bin")
+    rows = rows.groupBy(*by, "__bin", "__v").agg(F.sum("__w").alias("__w"), F.count("*").alias("__n"))
     inside = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__cum", F.sum("__w").over(inside))
     bins = rows.groupBy(*by, "__bin").agg(F.sum("__w").alias("__w"), F.sum("__n").alias("__n"))

@@ -20,6 +20,8 @@ from ..plans.lineage import Cuts
 from .aggregate import weighted_quantile
 
 CELL = ["az_bin", "el_bin"]
+#: Rows of the joint fit that one task sorts, about.
+TASK_ROWS = 250_000
 
 
 def observations(obs: DataFrame, now: int) -> DataFrame:
@@ -58,11 +60,11 @@ def absolute_fit(rows: DataFrame) -> DataFrame:
     return cell.select(*owner(rows), *CELL, log_factor(F.col("cell"), F.col("n"), F.col("level")).alias("value"), "n", F.col("cell").alias("raw"), "level", F.col("cell").alias("cell"), F.col("level").alias("reference"))
 
 
-def _halves(rows: DataFrame, value: str, weight: str, q: float, most: float | None = None) -> DataFrame:
+def _halves(rows: DataFrame, value: str, weight: str, q: float, most: float | None = None, parts: int | None = None) -> DataFrame:
     """(owner, cell, half, cell value, n) of the cells whose two halves have
     ten days and enough weight each and differ."""
     keys = [*owner(rows), *CELL]
-    each = weighted_quantile(rows, [*keys, "half"], value, weight, q).filter(F.col("total") >= C.CELL_WEIGHT)
+    each = weighted_quantile(rows, [*keys, "half"], value, weight, q, parts=parts).filter(F.col("total") >= C.CELL_WEIGHT)
     quantile = F.col("quantile") if most is None else F.least("quantile", F.lit(most))
     days = rows.groupBy(*keys, "half").agg(F.countDistinct(F.floor(F.col("ts_utc") / 86400)).alias("days"))
     each = each.join(days, [*keys, "half"]).filter(F.col("days") >= C.SEASON_DAYS).select(*keys, "half", quantile.alias("cell"), F.col("total").alias("n"))
@@ -131,6 +133,9 @@ def joint_fit(rows: DataFrame, rounds: int = 3) -> DataFrame:
     if not enough.limit(1).count():
         return _named(cut.keep(solo), named)
     mine = cut(rows.join(enough, who, "left_semi"))
+    # What is left of a ratio differs from row to row, so tasks are as many as
+    # rows ask for; by bytes, which compress well, they would be few and large.
+    parts = -(-mine.count() // TASK_ROWS)
     level = cut(mine.groupBy(*who).agg((F.sum(F.col("logr") * F.col("w")) / F.sum("w")).alias("level")))
     epochs = mine.groupBy(*epoch).agg(F.countDistinct("string_id").alias("c"), F.bool_and(F.col("physics_w").isNotNull()).alias("watts")).filter("c >= 2").drop("c")
     pull = F.col("w") * F.when(F.col("watts"), F.col("physics_w")).otherwise(1.0)
@@ -148,18 +153,18 @@ def joint_fit(rows: DataFrame, rounds: int = 3) -> DataFrame:
         # A string without a tied epoch keeps its level.
         level = level.join(fresh, who, "left").select(*who, F.coalesce("fresh", "level").alias("level"))
         left = _left(tied, level)
-        cell = weighted_quantile(left, keys, "left", "lit", 0.5).filter(F.col("total") >= C.CELL_WEIGHT)
+        cell = weighted_quantile(left, keys, "left", "lit", 0.5, parts=parts).filter(F.col("total") >= C.CELL_WEIGHT)
         cell = cut(cell.select(*keys, F.col("quantile").alias("q"), F.col("total").alias("n")))
         zero = weighted_quantile(cell, who, "q", "n", C.REFERENCE_QUANTILE).select(*who, F.col("quantile").alias("zero"))
         level = cut(level.join(zero, who, "left").select(*who, (F.col("level") + F.coalesce("zero", F.lit(0.0))).alias("level")))
         fixed = cut(cell.join(zero, who).select(*keys, F.least(F.col("q") - F.col("zero"), F.lit(0.0)).alias("shade"), "n"))
         shade = fixed.drop("n")
     left = _left(tied, level).join(shade.select(*keys), keys, "left_semi")
-    split = cut(_halves(cut(left), "left", "lit", 0.5, most=0.0))
+    split = cut(_halves(cut(left), "left", "lit", 0.5, most=0.0, parts=parts))
     shown = mine.join(shade.select(*keys), keys, "left_semi")
 
     def envelope(rows, by):
-        return weighted_quantile(rows, by, "logr", "w", C.CELL_QUANTILE).select(*by, F.col("quantile").alias("raw"))
+        return weighted_quantile(rows, by, "logr", "w", C.CELL_QUANTILE, parts=parts).select(*by, F.col("quantile").alias("raw"))
 
     pooled = fixed.withColumnRenamed("shade", "cell").join(envelope(shown, keys), keys).withColumn("half", F.lit(None).cast("int"))
     sides = [*keys, "half"]

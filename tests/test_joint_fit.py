@@ -126,3 +126,22 @@ def test_absolute_where_no_two_strings_meet(spark):
     rows = [(t * 2 + (s == "b"), s, t % 3, 1, -0.1 * (t % 4), 0.7 + t / 331, None, None) for t in range(60) for s in "ab"]
     assert {v[3] for v in check(spark, rows).values()} == {"absolute"}
     assert joint_fit(spark.createDataFrame([], KEYS)).count() == 0
+
+
+def test_tasks_follow_rows(spark, monkeypatch):
+    """Quantiles of the fit are dealt to as many tasks as rows ask for, and
+    give what they give undealt."""
+    from solarloom.operators import shading
+
+    rows = plant(lambda r: (None, None))
+    seen = []
+    made = shading.weighted_quantile
+
+    def watched(*args, parts=None, **named):
+        seen.append((args[2], parts))
+        return made(*args, parts=parts, **named)
+
+    monkeypatch.setattr(shading, "TASK_ROWS", 100)
+    monkeypatch.setattr(shading, "weighted_quantile", watched)
+    check(spark, rows)
+    assert {p for v, p in seen if v == "left"} == {-(-sum(r[1] != "d" for r in rows) // 100)} or {p for v, p in seen if v == "left"} == {-(-len(rows) // 100)}
