@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import SPACE, bounded_batches, numbered, row_chunks, slot, text_buffer, word_numbers, word_spans
+from .common import SPACE, bounded_batches, discard, materialize, mix, numbered, row_chunks, slot, text_buffer, word_numbers, word_spans
 
-#: Labelled rows that the forest and its threshold are fitted on at most.
-SAMPLE = 12_000
+#: The method's own numbers: trees of a forest, rows that each of them draws
+#: anew out of all labelled rows, and its depth.
 TREES, SUBSAMPLE, DEPTH = 50, 256, 12
 #: Share of the labelled good rows that the threshold has to keep.
 KEEP = 0.9995
@@ -25,6 +25,7 @@ MARK = np.zeros(256, bool)
 MARK[list(b"!?.,;:-_/=+@^~\"'()[]{}")] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
+FEATURES = [f"x{i}" for i in range(8)]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -89,12 +90,17 @@ def features(s: dict[str, np.ndarray]) -> np.ndarray:
 
 
 class IsolationForest:
-    """Random split trees over SUBSAMPLE rows each, in arrays."""
+    """Random split trees over SUBSAMPLE rows each, in arrays. ``x`` are rows
+    to draw from, or a list with the rows of each tree."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1):
+    def __init__(self, x: np.ndarray | list[np.ndarray], seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.size = min(SUBSAMPLE, len(x))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(TREES)]
+        if isinstance(x, list):
+            self.size = len(x[0])
+            self.trees = [self._grow(rows, rng) for rows in x]
+        else:
+            self.size = min(SUBSAMPLE, len(x))
+            self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(TREES)]
 
     @staticmethod
     def _average(n: int) -> float:
@@ -143,42 +149,116 @@ def _each(batch_column):
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]} if found else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str):
-    """Forests and thresholds from the SAMPLE labelled rows of smallest key
-    hash: one forest for each statistic and one for all together. They grow on
-    good rows with one bad row in RARE, so that bad ones are isolated early;
-    each threshold keeps the share KEEP of the good rows, and a forest that
-    catches under the share WORTH of the bad ones is left out. No good rows:
-    no forest, only the base rules decide."""
-    chosen = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    rows = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("text")).join(F.broadcast(chosen), "k").distinct()
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("text"))).filter("at = 1").select("y", "text")
+def base_failure(s: dict[str, np.ndarray]) -> np.ndarray:
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str) -> DataFrame:
+    """Label ``y``, hash ``id`` and features of all labelled rows that pass the
+    base rules, a text of a key once. The texts are read where they lie: only
+    their features are shuffled."""
+    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("long").alias("y")).filter("y in (0, 1)")
+    rows = docs.select(docs[f"`{key}`"].alias("k"), docs[f"`{text}`"].alias("text")).filter("k is not null").select("k", F.xxhash64("text").alias("th"), "text")
+    schema = StructType([rows.schema["k"], rows.schema["th"]] + StructType.fromDDL(", ".join(f"{c} double" for c in FEATURES)).fields)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                s = _each(batch.column(1))
-                x = features(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s["n_words"]), pa.array(s["n_repeat_words"]), *[pa.array(c) for c in x.T]], names=["y", "w", "r", *[f"x{i}" for i in range(x.shape[1])]])
-
-    seen = rows.mapInArrow(run, "y long, w long, r long, " + ", ".join(f"x{i} double" for i in range(8))).toPandas()
-    seen = seen[(seen["w"] >= 50) & (100 * seen["r"] <= 50 * seen["w"])].sort_values(list(seen.columns))
-    good, bad = (seen.loc[seen["y"] == v].iloc[:, 3:].to_numpy() for v in (1, 0))
-    if len(good) < 8:
+                s = _each(batch.column(2))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c) for c in features(s).T]], names=schema.names).filter(pa.array(~base_failure(s)))
+
+    seen = rows.mapInArrow(run, schema).join(known, "k").select("k", "th", "y", *FEATURES).distinct()
+    return seen.select("y", F.xxhash64("k", "th").alias("id"), *FEATURES)
+
+
+def _matrix(batch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+
+
+def draw(seen: DataFrame, good: int, bad: int) -> list[np.ndarray]:
+    """The rows of each tree: of all good rows and one bad row in RARE those of
+    smallest hash under the tree's salt, so that each tree has a draw of its
+    own, whatever the partitions. Tasks send on the rows under a bound that
+    leaves too few about once in 10**16."""
+    rare = min(bad, max(1, good // RARE))
+    size = min(SUBSAMPLE, good + rare)
+    n_bad = round(size * rare / (good + rare))
+    need, salts = {1: size - n_bad, 0: n_bad}, mix(np.arange(1, TREES + 1, dtype=np.uint64))
+    share = {y: (n + 10 * n**0.5 + 20) / max(1, total) for (y, n), total in zip(need.items(), (good, bad))}
+    bound = {y: np.uint64(2**64 - 1 if p >= 1 else int(p * 2**64)) for y, p in share.items()}
+
+    def run(batches):
+        for batch in batches:
+            y, key = batch.column("y").to_numpy(), batch.column("id").to_numpy().view(np.uint64)
+            most = np.where(y == 1, bound[1], bound[0])
+            for tree, salt in enumerate(salts):
+                u = mix(key ^ salt)
+                at = np.flatnonzero(u <= most)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), tree, np.int32)), pa.array((u[at] >> np.uint64(1)).view(np.int64)), *batch.select(["y", *FEATURES]).take(pa.array(at)).columns], names=["tree", "u", "y", *FEATURES])
+
+    drawn = seen.mapInArrow(run, "tree int, u long, y long, " + ", ".join(f"{c} double" for c in FEATURES)).toPandas()
+    drawn = drawn.sort_values(["tree", "y", "u", *FEATURES])
+    first = drawn[drawn.groupby(["tree", "y"]).cumcount() < drawn["y"].map(need)]
+    return [rows[FEATURES].to_numpy() for _, rows in first.groupby("tree")]
+
+
+def order_statistic(scores: DataFrame, rank: int, forests: int) -> list[float]:
+    """The ``rank``-th smallest ``score`` of each ``forest`` (scores from 0 to
+    1), exactly: by counts of 4096 bins, of 4096 bins of the one that holds it,
+    then of that one's values."""
+    at, left, rows = [], [rank] * forests, scores
+    for value in (F.floor(F.col("score") * 2**12), F.floor(F.col("score") * 2**24), F.col("score")):
+        counts = [{} for _ in range(forests)]
+        for r in rows.groupBy("forest", value.alias("v")).count().collect():
+            counts[r["forest"]][r["v"]] = r["count"]
+        at = []
+        for f, mine in enumerate(counts):
+            for v in sorted(mine):
+                if left[f] <= mine[v]:
+                    break
+                left[f] -= mine[v]
+            at.append(v)
+        rows = rows.filter(value == F.get(F.array(*map(F.lit, at)), F.col("forest")))
+    return at
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str):
+    """Forests and thresholds from all labelled rows: one forest for each
+    statistic and one for all together. They grow on good rows with one bad row
+    in RARE, so that bad ones are isolated early; each threshold keeps the
+    share KEEP of the good rows, and a forest that catches under the share
+    WORTH of the bad ones is left out. Under 8 good or 3 bad rows: no forest,
+    only the base rules decide."""
+    seen = materialize(labelled_features(docs, labels, text, key, label))
+    count = {r["y"]: r["count"] for r in seen.groupBy("y").count().collect()}
+    good, bad = count.get(1, 0), count.get(0, 0)
+    if good < 8 or bad < 3:
+        discard(seen)
         return []
-    few = max(1, len(good) // RARE)
-    mixed = np.concatenate([good, bad[:: max(1, len(bad) // few)][:few]]) if len(bad) else good
-    out = []
-    for columns in [[i] for i in range(good.shape[1])] + [list(range(good.shape[1]))]:
-        forest = IsolationForest(mixed[:, columns], len(out))
-        g, b = np.sort(forest.score(good[:, columns])), np.sort(forest.score(bad[:, columns]))
-        # The lowest cut that keeps the share KEEP of the good rows, moved up
-        # to halfway between the last good row kept and the next bad one.
-        last = g[max(0, int(np.ceil(KEEP * len(g))) - 1)]
-        caught = b[b > last + 1e-9]
-        if len(caught) >= max(3, WORTH * len(b)):
-            out.append((columns, forest, float(last + caught[0]) / 2))
-    return out
+    draws = draw(seen, good, bad)
+    columns = [[i] for i in range(len(FEATURES))] + [list(range(len(FEATURES)))]
+    forests = [IsolationForest([rows[:, c] for rows in draws], i) for i, c in enumerate(columns)]
+    shared = seen.sparkSession.sparkContext.broadcast((columns, forests))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch, FEATURES)
+                yield pa.RecordBatch.from_arrays([batch.column("y"), *[pa.array(forest.score(x[:, c])) for c, forest in zip(*shared.value)]], names=["y", *names])
+
+    names = [f"s{i}" for i in range(len(columns))]
+    scored = materialize(seen.mapInArrow(run, "y long, " + ", ".join(f"{n} double" for n in names)))
+    each = scored.select("y", F.posexplode(F.array(*names)).alias("forest", "score"))
+    # The lowest cut that keeps the share KEEP of the good rows, moved up to
+    # halfway between the last good row kept and the next bad one.
+    last = order_statistic(each.filter("y = 1"), max(1, int(np.ceil(KEEP * good))), len(columns))
+    over = each.filter((F.col("y") == 0) & (F.col("score") > F.get(F.array(*map(F.lit, last)), F.col("forest")) + 1e-9))
+    caught = {r["forest"]: (r["n"], r["next"]) for r in over.groupBy("forest").agg(F.count("*").alias("n"), F.min("score").alias("next")).collect()}
+    discard(seen, scored)
+    shared.unpersist()
+    return [(columns[i], forests[i], (last[i] + caught[i][1]) / 2) for i in sorted(caught) if caught[i][0] >= max(3, WORTH * bad)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -187,9 +267,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
     forest score as a share of its threshold, 0 without forests).
 
     Null or empty text: no words, base fails; a text may be of any length.
-    Repeated rows are judged each, null keys too; the forests learn once from a
-    key, from the first of its texts. Without labels the base rules alone
-    decide. Empty table: empty result. Extra columns of any name are kept, but
+    Repeated rows are judged each, null keys too; the forests learn from all
+    texts of a labelled key, once from each. Without labels the base
+    rules alone decide. Empty table: empty result. Extra columns of any name are kept, but
     those named like the added ones are replaced.
     """
     bounded_batches(docs.sparkSession)
@@ -205,7 +285,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
             if not batch.num_rows:
                 continue
             s = _each(batch.column(at))
-            failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+            failed = base_failure(s)
             x, odd = features(s), np.zeros(batch.num_rows)
             for columns, forest, most in forests:
                 odd = np.maximum(odd, forest.score(x[:, columns]) / most)
