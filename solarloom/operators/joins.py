@@ -67,7 +67,8 @@ def sky_lookup(queries: DataFrame, cells: DataFrame, seasonal: DataFrame | None
     (``half`` of the query) where ``seasonal`` (string_id, az_bin, el_bin, half,
     value) has one, else the cell, else its eight neighbours, else 1 (JON-14,
     JON-15). Neighbours give their mean by weight, as a cell of their mean
-    weight. Azimuth wraps at 36 bins; every step is an equi-join. ``plant_id``
+    weight; of cells that come without ``cell`` and ``reference``, the mean of
+    their values. Azimuth wraps at 36 bins; every step is an equi-join. ``plant_id``
     is part of the key where the cells have it. ``cells`` may hold the halves
     too, as the joint map does."""
     from .shading import log_factor
@@ -81,9 +82,10 @@ def sky_lookup(queries: DataFrame, cells: DataFrame, seasonal: DataFrame | None
     near = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(e).alias("de")) for a in (-1, 0, 1) for e in (-1, 0, 1) if (a, e) != (0, 0)])
     want = queries.select(*keys).distinct()
     around = want.select("*", F.explode(near).alias("d")).select(*keys, F.pmod(F.col("az_bin") + F.col("d.da"), F.lit(36)).alias("__a"), (F.col("el_bin") + F.col("d.de")).alias("__e"))
-    c = cells.select(*who, F.col("az_bin").alias("__a"), F.col("el_bin").alias("__e"), "cell", "n", "reference")
-    mean = around.join(c, [*who, "__a", "__e"]).groupBy(*keys).agg(
-        log_factor(F.sum(F.col("cell") * F.col("n")) / F.sum("n"), F.avg("n"), F.max("reference")).alias("near"))
+    drawn = {"cell", "reference"} <= set(cells.columns)
+    c = cells.select(*who, F.col("az_bin").alias("__a"), F.col("el_bin").alias("__e"), "n", *(["cell", "reference"] if drawn else [F.col("value").alias("cell")]))
+    level = F.sum(F.col("cell") * F.col("n")) / F.sum("n")
+    mean = around.join(c, [*who, "__a", "__e"]).groupBy(*keys).agg((log_factor(level, F.avg("n"), F.max("reference")) if drawn else level).alias("near"))
     out = queries.join(cells.select(*keys, F.col("value").alias("own")), keys, "left").join(mean, keys, "left")
     if seasonal is not None:
         out = out.join(seasonal.select(*keys, "half", F.col("value").alias("season")), [*keys, "half"], "left")
