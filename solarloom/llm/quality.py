@@ -179,7 +179,7 @@ def draw(seen: DataFrame, good: int, bad: int) -> list[np.ndarray]:
     """The rows of each tree: of all good rows and one bad row in RARE those of
     smallest hash under the tree's salt, so that each tree has a draw of its
     own, whatever the partitions. Tasks send on the rows under a bound that
-    leaves too few about once in 10**16."""
+    leaves a tree too few under once in 10**12."""
     rare = min(bad, max(1, good // RARE))
     size = min(SUBSAMPLE, good + rare)
     n_bad = round(size * rare / (good + rare))
